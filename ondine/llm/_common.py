@@ -56,30 +56,28 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def prefix_sums(df: DataFrame, order: list[Column], value: str, out: str, within: str | None = None, label: str = "sums") -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows up to and with this one.
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str], within: str | None = None, label: str = "sums") -> DataFrame:
+    """Adds, for each ``out: value`` of ``sums``, the sum of ``value`` over the rows up to and with this one.
 
     Rows are ranged by ``order`` (with ``within``, each of its values counts by itself and
     must come first in ``order``). The ranges are staged, each is summed by itself, and a table with a row
     for each range (and value of ``within``) carries the sums before it, so no
     task holds more than a range, however many rows one value has.
     """
-    spark = df.sparkSession
     keys = [within] if within else []
-    ranged = df.repartitionByRange(spread(spark), *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(spread(df.sparkSession), *order).sortWithinPartitions(*order)
     rows = staged(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), label)
-    whole = rows.groupBy("__part", *keys).agg(F.sum(value).alias("__whole"))
+    whole = rows.groupBy("__part", *keys).agg(*[F.sum(v).alias(f"__whole_{o}") for o, v in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("__before", F.coalesce(F.sum("__whole").over(before), F.lit(0))).drop("__whole")
+    whole = whole.select("__part", *keys, *[F.coalesce(F.sum(f"__whole_{o}").over(before), F.lit(0)).alias(f"__before_{o}") for o in sums])
     inside = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__inside", F.sum(value).over(inside))
+    rows = rows.withColumns({f"__inside_{o}": F.sum(v).over(inside) for o, v in sums.items()})
+    whole = whole.withColumnsRenamed({"__part": "__p"} | ({within: "__w"} if within else {}))
+    on = F.col("__part") == F.col("__p")
     if within:
-        whole = whole.withColumnsRenamed({"__part": "__p", within: "__w"})
-        on = (F.col("__part") == F.col("__p")) & F.col(within).eqNullSafe(F.col("__w"))
-        rows = rows.join(whole, on, "left").drop("__p", "__w")
-    else:
-        rows = rows.join(whole, "__part", "left")
-    return rows.withColumn(out, F.col("__before") + F.col("__inside")).drop("__part", "__at", "__before", "__inside")
+        on = on & F.col(within).eqNullSafe(F.col("__w"))
+    rows = rows.join(whole, on, "left")
+    return rows.select(*df.columns, *[(F.col(f"__before_{o}") + F.col(f"__inside_{o}")).alias(o) for o in sums])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import forced_bpe
+from ondine.llm import fair_mix, forced_bpe
 from ondine.llm._common import documents
 
 
@@ -15,8 +15,13 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.mix(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op8_fair_mix": op8_fair_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_fair_mix": fair_mix.SQL}
