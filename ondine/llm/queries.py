@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import fair_mix, forced_bpe
+from ondine.llm import fair_mix, forced_bpe, secret_owners
 from ondine.llm._common import documents
 
 
@@ -19,9 +19,14 @@ def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(documents(spark, sf_dir))
 
 
+def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_owners.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_fair_mix": op8_fair_mix,
+    "op9_secret_owners": op9_secret_owners,
 }
 
-SQL: dict[str, str] = {"op8_fair_mix": fair_mix.SQL}
+SQL: dict[str, str] = {"op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL}
