@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import fair_mix, forced_bpe, secret_owners
+from ondine.llm import fair_mix, forced_bpe, secret_owners, wavelet_store
 from ondine.llm._common import documents
 
 
+def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_store.read(wavelet_store.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,6 +28,7 @@ def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_wavelet_ids": op4_wavelet_ids,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_fair_mix": op8_fair_mix,
     "op9_secret_owners": op9_secret_owners,
