@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import fair_mix, forced_bpe, secret_owners, wavelet_store
+from ondine.llm import audio_columns, fair_mix, forced_bpe, secret_owners, wavelet_store
 from ondine.llm._common import documents
 
 
@@ -27,11 +27,16 @@ def op9_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(documents(spark, sf_dir))
 
 
+def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_columns.digests(audio_columns.store(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_wavelet_ids": op4_wavelet_ids,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_fair_mix": op8_fair_mix,
     "op9_secret_owners": op9_secret_owners,
+    "op10_audio_columns": op10_audio_columns,
 }
 
 SQL: dict[str, str] = {"op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL}
