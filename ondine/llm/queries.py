@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import audio_columns, fair_mix, forced_bpe, secret_owners, wavelet_store
+from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, secret_owners, wavelet_store
 from ondine.llm._common import documents
 
 
+def op2_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_store.read(wavelet_store.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -32,6 +36,7 @@ def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_block_neighbours": op2_block_neighbours,
     "op4_wavelet_ids": op4_wavelet_ids,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_fair_mix": op8_fair_mix,
@@ -39,4 +44,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_audio_columns": op10_audio_columns,
 }
 
-SQL: dict[str, str] = {"op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL}
+SQL: dict[str, str] = {"op2_block_neighbours": block_neighbours.SQL, "op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL}
