@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, secret_owners, wavelet_store
+from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, minhash_groups, secret_owners, wavelet_store
 from ondine.llm._common import documents
 
 
@@ -15,6 +15,10 @@ def op2_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_store.read(wavelet_store.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -37,6 +41,7 @@ def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_neighbours": op2_block_neighbours,
+    "op3_minhash_groups": op3_minhash_groups,
     "op4_wavelet_ids": op4_wavelet_ids,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_fair_mix": op8_fair_mix,
