@@ -7,8 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, minhash_groups, secret_owners, wavelet_store
-from ondine.llm._common import documents
+from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, minhash_groups, secret_owners, toxic_channel, wavelet_store
+from ondine.llm._common import documents, labels
+
+
+def op1_toxic_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxic_channel.scores(docs, toxic_channel.train(docs, labels(spark, sf_dir)))
 
 
 def op2_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,7 @@ def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxic_channel": op1_toxic_channel,
     "op2_block_neighbours": op2_block_neighbours,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_wavelet_ids": op4_wavelet_ids,
