@@ -40,7 +40,7 @@ TABLE_WORDS = 400_000
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "µ": "u"}
 SEPARATORS = ".-_*~'’^,`"
 #: Costs of the channel, in nats.
-COST_SIGN, COST_SEPARATOR, COST_REPEAT, COST_SPACE, COST_LOST = 1.0, 1.5, 1.0, 1.0, 7.0
+COST_SIGN, COST_SEPARATOR, COST_REPEAT, COST_SPACE, COST_LOST = 1.0, 1.5, 1.0, 1.0, 14.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 #: Code 0 is any other character and the border of a word; the last code is any other letter.
