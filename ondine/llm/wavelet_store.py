@@ -35,7 +35,7 @@ from ondine.llm._common import spread, staged
 #: Tokens from which on a shard is full; it ends with the document that fills it.
 SHARD_TOKENS = 1 << 20
 #: Pieces that a worker's table holds before it starts anew.
-TABLE_PIECES = 700_000
+TABLE_PIECES = 1_000_000
 BLOCK = 512
 
 
@@ -137,11 +137,10 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         x = np.zeros(self.n, kind)
         for k in reversed(range(len(self.planes))):
-            bits = np.unpackbits(self.planes[k], count=self.n)
+            mask = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up = np.empty(self.n, kind)
-            mask = bits.view(bool)
-            np.place(up, ~mask, x[: self.zeros[k]])
-            np.place(up, mask, x[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k)))
+            up[np.flatnonzero(~mask)] = x[: self.zeros[k]]
+            up[np.flatnonzero(mask)] = x[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
             x = up
         return self.alphabet[x] if self.n else np.zeros(0, np.uint32)
 
@@ -182,7 +181,8 @@ class Pieces:
 
     A space before a character that is no white space always starts a pretoken, so a text may be cut
     there; a text with another white space (or its end) after a space, or with a
-    special token's opening, is encoded whole.
+    special token's opening, is encoded whole. New pieces are encoded many in one string; there the tokens that begin with the
+    space show where each piece starts.
     """
 
     def __init__(self, path: str, table_pieces: int = TABLE_PIECES):
@@ -192,28 +192,47 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.table: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
+        self.table: dict[str, bytes] = {}  # by piece, without its space
         self.most = table_pieces
+        self.marks = dict(zip(",.", self._fresh([",", "."])))
         self.whole = re.compile(r" (?:\s|\Z)|<\|")
 
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _fresh(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str], at_once: int = 500) -> None:
+        """Encodes new pieces. One of letters and a last comma or stop is two pretokens: its letters' and the mark's."""
+        wide = self.kind().itemsize
+        marked = [p for p in new if p[-1] in self.marks and p[:-1].isalpha()]
+        whole = {p for p in new if not (p[-1] in self.marks and p[:-1].isalpha())}
+        new = [*(whole | {p for p in (m[:-1] for m in marked) if p not in self.table})]
+        for k in range(0, len(new), at_once):
+            some = new[k : k + at_once]
+            ids = self._fresh([" " + " ".join(some)])[0]
+            starts = (np.flatnonzero(self.opens[np.frombuffer(ids, self.kind)]) * wide).tolist()
+            if len(starts) != len(some):
+                raise ValueError("a piece is no run of whole tokens; is the vocabulary byte-level?")
+            self.table.update(zip(some, map(ids.__getitem__, map(slice, starts, [*starts[1:], len(ids)]))))
+        self.table.update((p, self.table[p[:-1]] + self.marks[p[-1]]) for p in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        cut: list[list[str]] = []
-        for text in texts:
-            if self.whole.search(text):
-                cut.append([text])
-            else:
-                words = text.split(" ")
-                cut.append([words[0], *map(" ".__add__, words[1:])])
         if len(self.table) > self.most:
             self.table.clear()
-        new = list({p for pieces in cut for p in pieces} - self.table.keys())
-        self.table.update(zip(new, self._fresh(new)))
-        return [b"".join(map(self.table.__getitem__, pieces)) for pieces in cut]
+        get = self.table.get
+        cut = [None if self.whole.search(t) else t.split(" ") for t in texts]
+        heads = self._fresh([t if words is None else words[0] for t, words in zip(texts, cut)])
+        found = [[] if words is None else [*map(get, words[1:])] for words in cut]
+        gaps = [[i for i, v in enumerate(values) if v is None] for values in found]
+        self._learn([*{words[i + 1] for words, missing in zip(cut, gaps) for i in missing}])
+        for words, values, missing in zip(cut, found, gaps):
+            for i in missing:
+                values[i] = self.table[words[i + 1]]
+        return [head + b"".join(values) for head, values in zip(heads, found)]
 
 
 @functools.lru_cache(maxsize=2)
