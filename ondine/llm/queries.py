@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, minhash_groups, nbsvm_quality, secret_owners, toxic_channel, wavelet_store
+from ondine.llm import audio_columns, block_neighbours, crf_language, fair_mix, forced_bpe, minhash_groups, nbsvm_quality, secret_owners, toxic_channel, wavelet_store
 from ondine.llm._common import documents, labels
 
 
@@ -32,6 +32,11 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return crf_language.predictions(docs, crf_language.train(docs))
+
+
 def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return nbsvm_quality.scores(docs, nbsvm_quality.train(docs, labels(spark, sf_dir)))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_groups": op3_minhash_groups,
     "op4_wavelet_ids": op4_wavelet_ids,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_crf_language": op6_crf_language,
     "op7_nbsvm_quality": op7_nbsvm_quality,
     "op8_fair_mix": op8_fair_mix,
     "op9_secret_owners": op9_secret_owners,
