@@ -19,7 +19,8 @@ AC = "ac as (select a.track, lag, sum(a.e * b.e) / (max(a.c) - lag) as r from oe
 TEMPO = """pk as (select * from (select track, lag, r, r > lag(r) over w and r > lead(r) over w as hit from ac window w as (partition by track order by lag)) where hit),
   p5 as (select *, row_number() over (partition by track order by r desc, lag) as p from pk), cd as (select track, p, floor(6000 / lag::double + 0.5)::bigint as bpm, floor(r * 100 + 0.5)::bigint as c from p5 where p <= 5 and 6000 / lag::double between 40 and 200),
   cn as (select track, p, bpm, floor(c / greatest(max(c) over (partition by track), 1)::double * 100 + 0.5)::bigint as confidence from cd), ck as (select *, row_number() over (partition by track order by confidence desc, p) as rank from cn),
-  tp as (select track, arg_min(bpm, rank) as bpm, arg_min(confidence, rank) as confidence, list(bpm) as bs from ck group by track)"""
+  tb as (select track, arg_min(bpm, rank) as bpm, arg_min(confidence, rank) as confidence, list(bpm) as bs from ck group by track),
+  tp as (select track, case when c >= 100 then coalesce(bpm, 120) else 120 end as bpm, case when c >= 100 then coalesce(confidence, 0) else 0 end as confidence, case when c >= 100 then bs end as bs from (select distinct track, c from oe) left join tb using (track))"""
 
 
 def envelope(spark, d):
@@ -36,7 +37,7 @@ def q_autocorr_bpm(spark, d):
     return M.tempo_candidates(envelope(spark, d))
 
 
-@query(f"with {LONG}, {ENV}, {AC}, {TEMPO} select track, bpm, confidence, len(list_filter(bs, lambda b: abs(b - bpm * 2) < 5 or abs(b - bpm / 2) < 3)) > 0 as ambiguous from tp")
+@query(f"with {LONG}, {ENV}, {AC}, {TEMPO} select track, bpm, confidence, coalesce(len(list_filter(bs, lambda b: abs(b - bpm * 2) < 5 or abs(b - bpm / 2) < 3)) > 0, false) as ambiguous from tp")
 def q_tempo(spark, d):
     return M.tempo(envelope(spark, d))
 
