@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 TABLE_PIECES = 700_000
 
 #: Unicode's White_Space, where the pretokeniser's \s splits.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def byte_letters() -> list[str]:
@@ -150,7 +150,7 @@ def coder(path: str) -> ForcedBpe:
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``ids`` (binary: little-endian unsigned 32-bit) and ``decoded``.
+    """Per row: the id and ``ids`` (binary: little-endian unsigned 32-bit).
 
     Rows are independent: repeated rows give repeated rows, an empty table an empty one, other columns are not read.
     """
@@ -158,12 +158,29 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer)
         for batch in batches:
-            pieces = [code.encode_pieces(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(p) for p in pieces], pa.binary()), pa.array([code.decode_pieces(p) for p in pieces], pa.string())], ["id", "ids", "decoded"])
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                ids = [b"".join(code.encode_pieces(t.as_py())) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
+    """Adds ``decoded``: the text of ``ids_col`` as the library decodes it; null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(tokenizer)
+        for batch in batches:
+            at = batch.schema.get_field_index(ids_col)
+            texts = [None if (b := x.as_py()) is None else " ".join(map(code.names.__getitem__, memoryview(b).cast("I"))) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+    from pyspark.sql import types as T
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

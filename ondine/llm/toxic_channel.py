@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -134,6 +135,9 @@ def restored(token: str, model: CharModel) -> str:
     return model.decode(lattice_of(core))[0]
 
 
+_met: dict[str, dict[str, tuple[int, ...]]] = {}
+
+
 @dataclass
 class Scorer:
     """Scores texts by the logistic model over the features of their restored words."""
@@ -144,14 +148,23 @@ class Scorer:
     bias: float
     #: Log-odds that a feature gives by itself (-inf: not certain).
     alone: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    @property
+    def words(self) -> dict[str, tuple[int, ...]]:
+        """Features of the words that this worker has met; one model's at a time."""
+        if self.name not in _met:
+            _met.clear()
+            _met[self.name] = {}
+        return _met[self.name]
 
     def features(self, word: str) -> tuple[int, ...]:
-        if len(self.words) > TABLE_WORDS:
-            self.words.clear()
+        words = self.words
+        if len(words) > TABLE_WORDS:
+            words.clear()
         get = self.weights.get
         found = {i for w in restored(word, self.chars).split() for f in forms(w) if (i := get(f)) is not None}
-        self.words[word] = out = tuple(found)
+        words[word] = out = tuple(found)
         return out
 
     def score(self, text: str | None) -> float:
