@@ -184,7 +184,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: ``id``, ``key`` (md5 of the text), ``n`` (set size), ``component`` (least id) and ``first`` (digest of the kept set)."""
+    """Per row: ``id``, ``key`` (md5 of the text), ``n`` (set size), ``component`` (least id) and ``first`` (id and key of the row that stays; a null id only where no other is there)."""
     base = staged(_sketched(docs, id_col, text_col, words, bands, rows), "sketches")
     classes = base.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "key")).alias("one"), F.first("sign").alias("sign"))
     met = base.where("n > 0").select("fp", F.explode("bands").alias("bucket")).distinct()
@@ -222,7 +222,7 @@ def groups(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id
     first = base.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("comp", "fp")).drop("comp")
     named = first.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("comp", "c"))).select("id", "key", "n", "group")
     named = staged(named, "grouped")
-    least = named.where("n > 0").groupBy("group").agg(F.min("id").alias("component"), F.min(F.struct("id", "key")).alias("first"))
+    least = named.where("n > 0").groupBy("group").agg(F.min("id").alias("component"), F.min_by(F.struct("id", "key"), F.struct(F.isnull("id"), "id", "key")).alias("first"))
     out = named.join(least, "group", "left")
     return out.select("id", "key", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "first")
 
