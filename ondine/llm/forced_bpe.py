@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces that a worker's table holds before it starts anew.
-TABLE_PIECES = 700_000
+TABLE_PIECES = 600_000
 
 #: Unicode's White_Space, where the pretokeniser's \s splits.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -74,6 +75,7 @@ class ForcedBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
         self.pretokens = regex.compile(pattern)
         self.fragments = Bounded(self._merge, table_pieces // 4)
+        self.words = Bounded(self._word, table_pieces)
         self.pieces = Bounded(self._piece, table_pieces)
         self.texts = Bounded(self._names_of, table_pieces)
         self.runs = re.compile(f"[^{SPACE}]+")
@@ -83,7 +85,7 @@ class ForcedBpe:
         joined = self.joined
         return [i for i in range(1, len(symbols)) if symbols[i - 1 : i + 1] not in joined]
 
-    def _merge(self, fragment: tuple[str, bool]) -> tuple[int, ...]:
+    def _merge(self, fragment: tuple[str, bool]) -> list[int]:
         text, last = fragment
         parts = list(text)
         if last:
@@ -98,20 +100,27 @@ class ForcedBpe:
                 order[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
             if i < len(order):
                 order[i] = ranks.get((parts[i], parts[i + 1]), none)
-        return tuple(map(self.vocab.__getitem__, parts))
+        return [*map(self.vocab.__getitem__, parts)]
 
     def pretoken_ids(self, pretoken: str) -> list[int]:
         letters = self.letters
-        symbols = "".join([letters[b] for b in pretoken.encode()])
-        at = [0, *self.cuts(symbols), len(symbols)]
+        # printable ASCII stands for itself
+        symbols = pretoken if pretoken.isascii() and pretoken.isprintable() else "".join([letters[b] for b in pretoken.encode()])
+        cuts = self.cuts(symbols)
+        if not cuts:
+            return self._merge((symbols, True))
+        at = [0, *cuts, len(symbols)]
         return [i for a, b in zip(at, at[1:]) for i in self.fragments[symbols[a:b], b == len(symbols)]]
 
+    def _word(self, pretoken: str) -> bytes:
+        ids = self.pretoken_ids(pretoken)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: str) -> bytes:
         text = unicodedata.normalize("NFC", piece)
         # each character by itself: a final sigma is not special here
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        ids = [i for p in self.pretokens.findall(text) for i in self.pretoken_ids(p)]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return b"".join(map(self.words.__getitem__, self.pretokens.findall(text)))
 
     def _plain(self, text: str) -> list[bytes]:
         # str.split also splits at four control characters that are no white space to the pretokeniser
