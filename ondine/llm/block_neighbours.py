@@ -130,7 +130,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
 SQL = """
 with v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings
            where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p as (select q.r, q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score, row_number() over (partition by q.r order by list_distance(q.e, c.e), c.vec_id, c.r)::int as rank
-      from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+s as (select q.r, q.vec_id as query_id, c.vec_id, c.r as cr, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, x: a + x)) as score
+      from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+p as (select *, row_number() over (partition by r order by score, vec_id, cr)::int as rank from s)
 select query_id, rank, vec_id, score from p where rank <= 10
 """
