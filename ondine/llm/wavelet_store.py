@@ -35,7 +35,7 @@ from ondine.llm._common import spread, staged
 #: Tokens from which on a shard is full; it ends with the document that fills it.
 SHARD_TOKENS = 1 << 20
 #: Pieces that a worker's table holds before it starts anew.
-TABLE_PIECES = 1_000_000
+TABLE_PIECES = 1_600_000
 BLOCK = 512
 
 
