@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ondine.operators import raster, spectral
@@ -28,7 +29,7 @@ def q_wav_header(spark, d):
 @query()
 def q_reader_wav(spark, d):
     """Broken files give a row with the reason."""
-    rows = spark.createDataFrame([("a.wav", b"RIFFxxxxWAVE"), ("b.wav", b"none"), ("c.wav", wav.encoded(__import__("numpy").zeros((5, 2)), 8000))], "path string, content binary")
+    rows = spark.createDataFrame([("a.wav", b"RIFFxxxxWAVE"), ("b.wav", b"none"), ("c.wav", wav.encoded(np.zeros((5, 2)), 8000))], "path string, content binary")
     return wav.parsed(rows).select("path", "sample_rate", "channels", F.size("l").alias("samples"), "error")
 
 

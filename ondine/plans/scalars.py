@@ -154,3 +154,15 @@ def q_frame_iterator(spark, d):
 def q_synth_signals(spark, d):
     made = synth.signals(spark, 8000, 2000)
     return rounded(made.groupBy("kind").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.max(F.abs("x")).alias("peak")))
+
+
+@query("""select count(*) as samples, round(sum(x * x), 5) as energy, round(sum(x), 5) as total from (select sin(2 * pi() * 100 * 0.5 / ln(100) * (exp(n / 8000::double / 0.5 * ln(100)) - 1)) as x from range(4000) r(n))""")
+def q_log_sweep(spark, d):
+    made = synth.log_sweep(spark, 8000, 4000)
+    return made.agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.round(F.sum("x"), 5).alias("total"))
+
+
+@query()
+def q_pink_noise(spark, d):
+    """Seeded: the same on every run, whatever the partitions."""
+    return rounded(synth.noise(spark, 1000, seed=7))
