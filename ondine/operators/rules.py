@@ -21,6 +21,7 @@ def _text(pattern: str, *values: Column) -> Column:
     return F.format_string(pattern, *values)
 
 
+# Bounds and wording of the rules below.
 def issues() -> Column:
     """What keeps a track from distribution."""
     c = F.col
