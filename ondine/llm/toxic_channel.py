@@ -41,7 +41,9 @@ TABLE_WORDS = 400_000
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "µ": "u"}
 SEPARATORS = ".-_*~'’^,`"
 #: Costs of the channel, in nats.
-COST_SIGN, COST_SEPARATOR, COST_REPEAT, COST_SPACE, COST_LOST = 1.0, 1.5, 1.0, 1.0, 14.0
+COST_SIGN, COST_SEPARATOR, COST_REPEAT, COST_SPACE, COST_LOST = 1.0, 1.5, 1.0, 0.3, 14.0
+#: In a run of single letters a space seldom parts words.
+COST_KEPT = 2.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 #: Code 0 is any other character and the border of a word; the last code is any other letter.
@@ -115,7 +117,7 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
         elif c in LOOKALIKES:
             out.append([(x, COST_SIGN) for x in LOOKALIKES[c]] + [("", COST_LOST)])
         elif c == " ":
-            out.append([(" ", 0.0), ("", COST_SPACE)])
+            out.append([(" ", COST_KEPT), ("", COST_SPACE)])
         else:
             out.append([("", COST_SEPARATOR)])
     return out
