@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns
 of documents. A row that is toxic goes, of near-duplicates one row stays, live-looking secrets are cut from the texts, sources
-are mixed to their targets by repeating and leaving out rows, and what is left is encoded.
+are mixed to their targets by repeating and leaving out rows, and what is left is encoded and decoded again.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row: doc_id, n_tokens and ids (little-endian unsigned 32-bit)."""
-    made = forced_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return made.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
+    """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the sha256 of the text that they decode to."""
+    made = forced_bpe.roundtrip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return made.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", cut_secrets), ("mixing", mix_sources), ("bpe", encode)]
@@ -48,10 +48,16 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the last stage returns; the query ``pipeline``."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{name}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids alone, without what the check of decoding adds."""
+    return whole(spark, sf_dir).select("doc_id", "n_tokens", "ids")

@@ -192,6 +192,23 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
+def roundtrip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``encode``, and ``decoded_sha256`` of the text that ``ids`` decode to; one decoded text at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(tokenizer)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                ids = [b"".join(code.encode_pieces(t.as_py())) for t in some.column(1)]
+                decoded = [hashlib.sha256(code.decode(memoryview(b).cast("I")).encode()).hexdigest() for b in ids]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["id", "ids", "decoded_sha256"])
+
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, ids binary, decoded_sha256 string").withColumnRenamed("id", id_col)
+
+
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; digests are taken where the ids are made."""
 

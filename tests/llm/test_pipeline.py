@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import struct
@@ -12,6 +13,7 @@ from collections import Counter
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import __spark_entry__
 import corpus_pipeline
 from ondine.llm import fair_mix, minhash_groups, secret_owners, toxic_channel
 from ondine.llm._common import documents, labels, staged
@@ -46,6 +48,17 @@ def test_stages_take_effect(spark):
     assert Counter((r.doc_id, struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in encoded.collect()) == want
 
 
+def test_last_stage_decodes_its_ids(spark, hard):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in hard.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, struct.pack(f"<{len(ids)}I", *ids), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    made = corpus_pipeline.encode(spark, hard, SF).collect()
+    assert Counter((r.doc_id, bytes(r.ids), r.decoded_sha256) for r in made) == want
+    assert __spark_entry__.queries()["pipeline"](spark, SF).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+
+
 def test_run_agrees_with_the_stages(spark):
     made = corpus_pipeline.run(spark, SF)
     again = corpus_pipeline.run(spark, SF)
