@@ -4,7 +4,7 @@
 unsigned sample per byte). ``features`` reads the stored bytes back and computes, per row: samples resampled by a
 polyphase filter; overlapped Hann frames of them through a mel filterbank, in dB; and segments in which the frame
 energy is loud, with hysteresis. The filterbank output is cut into blocks of a fixed shape, an Arrow fixed-shape tensor
-each, with the time span that a block covers.
+each, with the time span that a block covers. ``digests`` stores the features as a table and describes the tensors and spans that it reads back.
 
 Null and empty texts are stored as 64 zero bytes. Repeated rows give repeated rows and equal bytes equal values; an empty table gives
 an empty one; other columns are not read. A row is computed by itself, so its values don't depend on its neighbours.
@@ -149,16 +149,27 @@ def tensor_stream(mel: np.ndarray, rate: float) -> bytes:
     last = np.minimum((np.arange(len(made)) + 1) * BLOCK_FRAMES, len(mel)) - 1
     tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(made)
     batch = pa.RecordBatch.from_arrays([pa.array(start), pa.array((last * HOP + FRAME) / rate), tensor], ["start", "end", "mel"])
+    batch = batch.replace_schema_metadata({"rate": repr(float(rate))})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def described(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
-    """Frames, segments, loud seconds, and each band's mean over the tensors' frames to a tenth of a dB."""
-    means = np.round(mel.mean(0), 1) + 0.0
-    return f"frames={len(mel)};segments={len(spans)};loud={sum(b - a for a, b in spans):.2f};mel=" + ",".join(f"{x:.1f}" for x in means)
+def stored_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of a ``tensor_stream``, and the log-mel frames in them without what fills up the last block."""
+    batch = pa.ipc.open_stream(stream).read_next_batch()
+    made = batch.column("mel").to_numpy_ndarray()
+    end = batch.column("end")[-1].as_py() * float(batch.schema.metadata[b"rate"])
+    return made, made.reshape(-1, made.shape[2])[: round((end - FRAME) / HOP) + 1]
+
+
+def described(tensors: bytes, spans: list[tuple[float, float]]) -> str:
+    """Frames, segments, loud seconds, each band's mean over the tensors' frames to a tenth of a dB, and a digest of the tensors' values."""
+    made, mel = stored_tensors(tensors)
+    means = np.round(mel.mean(0, dtype=np.float64), 1) + 0.0
+    head = f"frames={len(mel)};segments={len(spans)};loud={sum(b - a for a, b in spans):.2f};mel="
+    return head + ",".join(f"{x:.1f}" for x in means) + f";tensors={hashlib.sha256(made.tobytes()).hexdigest()}"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,36 +187,46 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return staged(rows.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary"), "media")
 
 
+#: What ``features`` keeps of the media that it has read back.
+READ_BACK = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+READ_BACK_SQL = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+
+
 def features(media: DataFrame) -> DataFrame:
-    """Per stored row: id, ``tensors`` (see ``tensor_stream``) and ``spans`` of the loud segments."""
+    """Per stored row: id, ``n_bytes``, sizes and digests of what is read back, ``tensors`` (see ``tensor_stream``) and ``spans`` of the loud segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 some = batch.slice(k, 200)
-                made = [analyse(*samples_of(m.as_py())) for m in some.column(1)]
-                spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in made]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([tensor_stream(m, r) for m, _, r in made], pa.binary()), pa.array(spans, spans_type)], ["id", "tensors", "spans"])
+                read, tensors, spans = [], [], []
+                for m in some.column(2):
+                    data = m.as_py()
+                    samples, rate = samples_of(data)
+                    mel, loud, low = analyse(samples, rate)
+                    read.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest()))
+                    tensors.append(tensor_stream(mel, low))
+                    spans.append([{"start": a, "end": b} for a, b in loud])
+                columns = [pa.array([x[i] for x in read], t) for i, t in enumerate(READ_BACK.values())]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns, pa.array(tensors, pa.binary()), pa.array(spans, spans_type)], ["id", "n_bytes", *READ_BACK, "tensors", "spans"])
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.select("id", "media").mapInArrow(run, f"id {kind}, tensors binary, spans array<struct<start: double, end: double>>")
+    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes bigint, {READ_BACK_SQL}, tensors binary, spans array<struct<start: double, end: double>>")
 
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per stored row: sizes and digests of what is read back, and its features described in a string."""
+    """Per stored row: sizes and digests of what is read back, and its stored features described in a string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for m in batch.column(2):
-                data = m.as_py()
-                samples, rate = samples_of(data)
-                mel, spans, _ = analyse(samples, rate)
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), described(mel, spans)))
-            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for k in range(0, batch.num_rows, 200):
+                some = batch.slice(k, 200)
+                spans = [[(x["start"], x["end"]) for x in s.as_py()] for s in some.column(kept + 1)]
+                made = [described(t.as_py(), s) for t, s in zip(some.column(kept), spans)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:kept], pa.array(made, pa.string())], ["id", "n_bytes", *READ_BACK, "feature"])
 
+    kept = 2 + len(READ_BACK)
+    rows = staged(features(media), "audio-features")
     kind = media.schema["id"].dataType.simpleString()
-    rows = media.select("id", "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    return rows.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_bytes bigint, {READ_BACK_SQL}, feature string").withColumnRenamed("id", id_col)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ondine.llm import audio_columns, block_neighbours, fair_mix, forced_bpe, minhash_groups, secret_owners, wavelet_store
+from ondine.llm._common import staged
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -287,6 +288,26 @@ def test_media_round_trip(hard):
     assert all(len(x) == 1 for x in features.values())
 
 
+def test_features_are_read_back_from_stored_tensors(hard, monkeypatch):
+    media = audio_columns.store(hard).cache()
+    tables = []
+    monkeypatch.setattr(audio_columns, "staged", lambda df, label: tables.append(staged(df, label)) or tables[-1])
+    got = rows(audio_columns.digests(media), "doc_id", "media_sha256", "feature")
+    want = Counter()
+    for r in media.collect():
+        mel, spans, _ = audio_columns.analyse(*audio_columns.samples_of(bytes(r.media)))
+        means = np.round(mel.astype(np.float32).mean(0, dtype=np.float64), 1) + 0.0
+        digest = hashlib.sha256(audio_columns.blocks(mel).tobytes()).hexdigest()
+        feature = f"frames={len(mel)};segments={len(spans)};loud={sum(b - a for a, b in spans):.2f};mel={','.join(f'{x:.1f}' for x in means)};tensors={digest}"
+        want[r.id, hashlib.sha256(r.media).hexdigest(), feature] += 1
+    assert got == want
+    (table,) = tables
+    for r in table.collect():
+        blocks, mel = audio_columns.stored_tensors(bytes(r.tensors))
+        assert blocks.shape[1:] == (64, 20) and 0 < len(mel) <= blocks.shape[0] * 64
+        assert f";segments={len(r.spans)};" in audio_columns.described(bytes(r.tensors), [(s.start, s.end) for s in r.spans])
+
+
 def test_resampler_and_tensors():
     import pyarrow as pa
 
