@@ -2,9 +2,9 @@
 
 A character language model (trigrams over letters, counted over all documents) and a channel (a letter may be written as
 itself, as a look-alike sign, several times, or with a separator after it) restore disguised words: a token with look-alikes, separators or
-long repetitions is a lattice of the letters that it may stand for, and Viterbi decoding finds its likeliest reading.
-A run of single letters is one lattice whose spaces may be real or not. Undisguised tokens have one
-reading, so no lattice is built for them.
+repetitions is a lattice of the letters that it may stand for, and Viterbi decoding finds its likeliest reading; a separator may part words or not.
+A run of single letters is one lattice whose spaces may be real or not. Tokens of letters without repetition have one
+reading, so no lattice is built for them; neither is one for plain numbers. The parts of a token and a word as it is written count beside the decoder's reading.
 
 The restored words are scored. Their whole forms and prefixes are evidence that is counted over a bounded sample of labelled
 documents; the strongest are the features of a logistic model, whose probability is the score. Empty and null texts are
@@ -44,15 +44,20 @@ SEPARATORS = ".-_*~'’^,`"
 COST_SIGN, COST_SEPARATOR, COST_REPEAT, COST_SPACE, COST_LOST = 1.0, 1.5, 1.0, 0.3, 14.0
 #: In a run of single letters a space seldom parts words.
 COST_KEPT = 2.0
+#: A separator that parts words, and a letter of a pair that is a repetition: many words have pairs.
+COST_PARTED, COST_PAIR = 1.5, 2.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 #: Code 0 is any other character and the border of a word; the last code is any other letter.
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 K = len(LETTERS) + 2
 
-SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S(?:\s+|[.\-_*])){2,}\S(?!\S)")
 CLEAN = re.compile(r"[^\W\d_]+\Z")
-LONG_RUN = re.compile(r"(.)\1\1")
+PAIR = re.compile(r"(.)\1")
+PARTS = re.compile("[" + re.escape(SEPARATORS) + r"\s/:;=\"]+")
+#: Digits with marks between them, a sign of currency before or after.
+NUMBER = re.compile(r"[$€£¥§+(<]?\d[\d\s.,:;/'’^*_~=+-]*[$€£¥§]?\Z")
 EDGE = re.compile(r"\A[^\w@$!|+(<€£¥§]+|[^\w@$€£¥§]+\Z")
 
 
@@ -113,28 +118,36 @@ def lattice_of(token: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             run = c == token[i - 1] if i else False
             long = run and (token[i - 2 : i + 1] == c * 3 or token[i - 1 : i + 2] == c * 3)
-            out.append([(c, 0.0), ("", COST_REPEAT)] if long else [(c, 0.0)])
+            out.append([(c, 0.0), ("", COST_REPEAT if long else COST_PAIR)] if run else [(c, 0.0)])
         elif c in LOOKALIKES:
             out.append([(x, COST_SIGN) for x in LOOKALIKES[c]] + [("", COST_LOST)])
         elif c == " ":
             out.append([(" ", COST_KEPT), ("", COST_SPACE)])
         else:
-            out.append([("", COST_SEPARATOR)])
+            out.append([("", COST_SEPARATOR), (" ", COST_PARTED)])
     return out
 
 
 def restored(token: str, model: CharModel) -> str:
     """The words (with spaces between them) that a lower-case token stands for."""
-    core = EDGE.sub("", token)
-    if not core or CLEAN.match(core) and not LONG_RUN.search(core):
+    core = " ".join(EDGE.sub("", token).split())
+    if not core or CLEAN.match(core) and not PAIR.search(core):
         return core
-    if not any(c.isalpha() for c in core):
+    if NUMBER.match(core):
         return ""
-    # words joined by separators stay words; a disguise has pieces of a letter or two
-    parts = re.split("[" + re.escape(SEPARATORS) + r"\s/:;=\"]+", core)
+    return " ".join(model.decode(lattice_of(core))[0].split())
+
+
+def readings(token: str, model: CharModel) -> set[str]:
+    """The words of the likeliest reading; also those of each part between separators, and a word of letters as it is written."""
+    out = set(restored(token, model).split())
+    parts = PARTS.split(token)
     if len(parts) > 1 and sum(map(len, parts)) > 2 * len(parts):
-        return " ".join(filter(None, (restored(p, model) for p in parts)))
-    return model.decode(lattice_of(core))[0]
+        for part in parts:
+            out |= readings(part, model)
+    elif CLEAN.match(core := EDGE.sub("", token)):
+        out.add(core)
+    return out
 
 
 _met: dict[str, dict[str, tuple[int, ...]]] = {}
@@ -165,7 +178,7 @@ class Scorer:
         if len(words) > TABLE_WORDS:
             words.clear()
         get = self.weights.get
-        found = {i for w in restored(word, self.chars).split() for f in forms(w) if (i := get(f)) is not None}
+        found = {i for w in readings(word, self.chars) for f in forms(w) if (i := get(f)) is not None}
         words[word] = out = tuple(found)
         return out
 
@@ -250,7 +263,7 @@ def _evidence(sample: DataFrame, chars: CharModel) -> DataFrame:
 def document_forms(text: str | None, chars: CharModel) -> set[str]:
     text = (text or "").lower()
     tokens = [*set(text.split()), *(m.group() for m in SPACED.finditer(text))]
-    return {f for t in tokens for w in restored(t, chars).split() for f in forms(w)}
+    return {f for t in tokens for w in readings(t, chars) for f in forms(w)}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = SAMPLE_ROWS, features: int = FEATURES) -> Scorer:

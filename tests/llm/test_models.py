@@ -59,6 +59,21 @@ def test_disguised_words_are_restored(chars, token, word):
     assert restored(token, chars) == word
 
 
+@pytest.mark.parametrize("token,word", [("idi.ot", "idiot"), ("wor-thless", "worthless"), ("4$$", "ass"), ("iiddiioott", "idiot"), ("ppaatthheettiicc", "pathetic"), ("the-idiot", "the idiot"), ("$45", ""), ("10:30", ""), ("455", "")])
+def test_signs_separators_and_pairs_get_a_lattice(chars, token, word):
+    assert restored(token, chars) == word
+
+
+@pytest.mark.parametrize("text", ["the i d i o t on", "i  d  i  o  t", "the\ni\nd\ni\no\nt\non", "i\td\ti\to\tt", "the i.d-i o t"])
+def test_runs_are_joined_by_any_white_space(chars, text):
+    assert "idiot$" in toxic_channel.document_forms(text, chars)
+
+
+def test_short_runs_parts_and_written_words_count(chars):
+    found = toxic_channel.document_forms("the a s s on pathetic-idiot worthless scumbag/the", chars)
+    assert {"ass$", "pathetic$", "idiot$", "worthless$", "scumbag$", "the$"} <= found
+
+
 def test_viterbi_finds_the_best_reading(chars):
     rng = random.Random(3)
     for _ in range(60):
@@ -85,6 +100,11 @@ def test_toxicity_held_out(learned):
     assert model.score("the on 1d10t er shing") >= 0.5 and model.score("the on er shing s c u m b a g an") >= 0.5 and model.score("the on er shing") < 0.5
 
 
+def test_disguises_are_toxic(learned):
+    model = toxic_channel.train(*learned[1:])
+    assert all(model.score(f"the on er shing {x} an") >= 0.5 for x in ("idi.ot", "wor-thless", "iiddiioott", "i\td\ti\to\tt", "s  c  u  m  b  a  g", "idiot/the"))
+
+
 def test_quality_held_out(learned):
     rows, docs, marks = learned
     got = {r.doc_id: r for r in nbsvm_quality.scores(docs, nbsvm_quality.train(docs, marks)).collect()}
