@@ -1,11 +1,13 @@
 """Nearest neighbours of a stated query set by a block matrix join.
 
 Vectors are quantised to int8 with a scale of their own, and the norm of what that loses is kept. Queries and
-candidates are dealt into tiles; in a tile one product of int8 codes (done in float32, whose sums are exact up to 1,024
-dimensions) gives all distances between the quantised vectors. By the triangle inequality the true distance lies within the two losses
+candidates are dealt into tiles; in a tile products of int8 codes give all distances between the quantised vectors. They are made
+in float32 over slices of 1,024 dimensions, in which its sums are exact, and the slices are added in double precision, so any
+width is exact. By the triangle inequality the true distance lies within the two losses
 of that, so a candidate whose lower bound is above the k-th smallest upper bound of a query cannot be among its k. The others
 are computed again in double precision from the original vectors, each tile keeps a heap of k per query, and heaps are merged in
-rounds of bounded groups. The result is exact.
+rounds of bounded groups. The result is exact. Bounds are made on vectors scaled by a tile's common power of two, and a distance whose
+squares leave the range of doubles is computed at a scale of its own, so sizes from 1e-300 to 1e300 may meet. Tiles hold fewer vectors the longer these are.
 
 Vectors that are null, all zero, or hold null or non-finite components take no part, neither as queries nor as candidates;
 only vectors of one length are compared. Rows are their own selves: a repeated row is a candidate of its twin. Rows with a null id
@@ -27,6 +29,10 @@ from ondine.llm._common import spread, staged
 #: Rows of a tile: of its candidates and of its queries.
 TILE_CANDIDATES = 8192
 TILE_QUERIES = 4096
+#: Components that one side of a tile holds at most; longer vectors come in tiles of fewer rows.
+TILE_COMPONENTS = 1 << 22
+#: Dimensions over which float32 adds up products of int8 codes without rounding.
+EXACT = 1024
 #: Heaps of a query that one merge takes.
 MERGED = 32
 
@@ -40,36 +46,62 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, and an upper bound of the norm that rounding loses."""
+    """int8 codes, scales, and an upper bound of the norm that rounding loses; components are at most 1."""
     scale = np.abs(x).max(1) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    codes = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
     lost = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(1))
     return codes, scale, lost * (1 + 1e-9) + 1e-12 * np.abs(x).max(1)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All inner products of int8 codes, exact: 1,024 products of at most 127 * 127 stay below 2**24."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT):
+        out += a[:, d : d + EXACT].astype(np.float32) @ b[:, d : d + EXACT].astype(np.float32).T
+    return out
+
+
+def added(x: np.ndarray, q: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of rows ``q`` of x and ``c`` of y; one dimension after the other, as a plain loop adds them up."""
+    total = np.zeros(len(q))
+    for d in range(x.shape[1]):
+        total += (x[q, d] - y[c, d]) ** 2
+    return np.sqrt(total)
+
+
+def distances(x: np.ndarray, q: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """As ``added``; a pair whose squares overflow or vanish is computed again at the power of two of its largest component."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = added(x, q, y, c)
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-145))
+        for k in range(0, len(odd), 512):
+            some = odd[k : k + 512]
+            u, v, every = x[q[some]], y[c[some]], np.arange(len(some))
+            power = np.frexp(np.maximum(np.abs(u).max(1), np.abs(v).max(1)))[1]
+            out[some] = np.ldexp(added(np.ldexp(u, -power[:, None]), every, np.ldexp(v, -power[:, None]), every), power)
+    return out
+
+
 def near(queries: np.ndarray, candidates: np.ndarray, k: int, own: np.ndarray, names: np.ndarray) -> list[tuple[int, int, float]]:
     """(query, candidate, distance) of each query's k nearest in the tile; ``own`` is its own place or -1."""
-    a, sa, ea = quantised(queries)
-    b, sb, eb = quantised(candidates)
-    fa, fb = a.astype(np.float32), b.astype(np.float32)
+    power = -int(np.frexp(max(np.abs(queries).max(), np.abs(candidates).max()))[1])
+    a, sa, ea = quantised(np.ldexp(queries, power))
+    b, sb, eb = quantised(np.ldexp(candidates, power))
     na, nb = (a.astype(np.float64) ** 2).sum(1) * sa**2, (b.astype(np.float64) ** 2).sum(1) * sb**2
     out = []
     for at in range(0, len(a), 256):
         part = slice(at, at + 256)
-        product = (fa[part] @ fb.T).astype(np.float64) * sa[part, None] * sb
-        rough = np.sqrt(np.maximum(0, na[part, None] + nb - 2 * product))
-        # the difference of large squares is rounded; that is far below this share of the norms
-        slack = ea[part, None] + eb + 1e-7 * (np.sqrt(na[part, None]) + np.sqrt(nb))
+        rough = np.sqrt(np.maximum(0, na[part, None] + nb - 2 * products(a[part], b) * sa[part, None] * sb))
+        # the difference of large squares is rounded, and what is far below 1 vanishes; both stay below these shares
+        slack = ea[part, None] + eb + 1e-7 * (np.sqrt(na[part, None]) + np.sqrt(nb)) + 1e-150
         low, high = rough - slack, rough + slack
-        rows = np.arange(len(low))
-        held = own[part] >= 0
-        low[rows[held], own[part][held]] = high[rows[held], own[part][held]] = np.inf
+        held = np.flatnonzero(own[part] >= 0)
+        high[held, own[part][held]] = np.inf
         limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k else np.full(len(high), np.inf)
-        q, c = np.nonzero((low <= limit[:, None]) & np.isfinite(low))
-        exact = np.zeros(len(q))
-        for d in range(queries.shape[1]):  # one dimension after the other, as a plain loop adds them up
-            exact += (queries[at + q, d] - candidates[c, d]) ** 2
-        exact = np.sqrt(exact)
+        asked = low <= limit[:, None]
+        asked[held, own[part][held]] = False
+        q, c = np.nonzero(asked)
+        exact = distances(queries[part], q, candidates, c)
         order = np.lexsort((c, names[c], exact, q))
         q, c, exact = q[order], c[order], exact[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -110,7 +142,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     part = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].alias("vector"))
     part = part.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = staged(part.select("vec_id", "vector", F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("row")), "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    n, n_queries, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max("dim"), F.lit(1))).first()
+    fit = max(1, TILE_COMPONENTS // width)
+    tile_candidates, tile_queries = min(tile_candidates, fit), min(tile_queries, fit)
     stripes = max(1, math.ceil(n / tile_candidates), min(spread(vectors.sparkSession), math.ceil(n / 1024)))
     belts = max(1, math.ceil(n_queries / tile_queries))
     stripe, belt = F.pmod(F.xxhash64("row"), F.lit(stripes)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(belts))

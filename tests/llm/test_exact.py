@@ -182,6 +182,52 @@ def test_neighbours_are_the_nearest(spark):
     assert asked == {i for i, v in good if i % 100 == 0 and len(v) == 8}
 
 
+@pytest.mark.parametrize("width", [1024, 1025, 1536, 4096])
+def test_bounds_hold_at_any_width(width):
+    """Near-equal vectors whose codes lose nothing: only exact products tell them apart."""
+    rng = np.random.default_rng(width)
+    base = rng.integers(-127, 128, width)
+    base[0] = 127
+    y = np.repeat(base[None], 300, 0).astype(np.float64)
+    for i in range(300):
+        some = rng.integers(1, width, rng.integers(1, 40))
+        y[i, some] = np.clip(y[i, some] + rng.integers(-3, 4, len(some)), -127, 127)
+    x = y[:20]
+    found = block_neighbours.near(x, y, 10, np.arange(20), np.arange(300))
+    for i in range(20):
+        d = np.sqrt(((x[i] - y) ** 2).sum(1))
+        want = sorted((v, j) for j, v in enumerate(d) if j != i)[:10]
+        assert [(d, c) for q, c, d in found if q == i] == [(pytest.approx(v, abs=1e-9), j) for v, j in want]
+
+
+@pytest.mark.parametrize("sizes", [[1e200], [1e-200], [1e300, 1e200, 1.0, 1e-200, 1e-300]])
+def test_neighbours_of_any_size(sizes):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(120, 6)) * rng.choice(sizes, (120, 1))
+    found = block_neighbours.near(y[:30], y, 5, np.arange(30), np.arange(120))
+    exact = [[Fraction(float(v)) for v in row] for row in y]
+    for i in range(30):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(exact[i], row)), j) for j, row in enumerate(exact) if j != i)[:5]
+        got = sorted((sum((a - b) ** 2 for a, b in zip(exact[i], exact[c])), d) for q, c, d in found if q == i)
+        assert len(got) == 5
+        for (true, _), (mine, d) in zip(want, got):
+            assert mine == true or abs(mine / true - 1) < 1e-12
+            assert Fraction(d) ** 2 == 0 or abs(float(Fraction(d) ** 2 / mine) - 1) < 1e-9
+
+
+def test_wide_vectors_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(block_neighbours, "TILE_COMPONENTS", 1200 * 20)
+    x = np.random.default_rng(1).normal(size=(110, 1200)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in block_neighbours.search(df).collect()}
+    d = np.sqrt(((x.astype(np.float64)[:, None] - x.astype(np.float64)[[0, 100]]) ** 2).sum(2))
+    for k, q in enumerate((0, 100)):
+        order = [j for j in np.argsort(d[:, k], kind="stable") if j != q][:10]
+        assert [got[q, r + 1] for r in range(10)] == [(j, pytest.approx(d[j, k], rel=1e-12)) for j in order]
+
+
 def test_neighbours_of_nothing(spark):
     assert block_neighbours.search(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
