@@ -4,7 +4,8 @@ A shard holds whole documents, in ascending order of their ids, up to a number o
 to their ranks among the shard's distinct ids; of these ranks each bit, from the highest on, is a plane, and each plane
 orders the ids for the next one: zeros first, both sides stable. With counts of ones at
 every 512th place a plane answers rank and select, so a token, the count of an id before a
-place and the k-th place of an id are read from the shard's bytes without decoding it.
+place and the k-th place of an id are read from the shard's bytes without decoding it. ``tokens_at``, ``counts``,
+``occurrences`` and ``kth`` ask the stored table so; ``read`` decodes every document, and counts its end ids by rank.
 
 Format, little-endian: ``b"WVM1"``, then as uint32 the numbers of tokens, documents, distinct ids and planes;
 the distinct ids (uint32, ascending); the documents' lengths (uint32), ids (int64) and null flags (uint8); per plane the number of
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,9 @@ from ondine.llm._common import spread, staged
 
 #: Tokens from which on a shard is full; it ends with the document that fills it.
 SHARD_TOKENS = 1 << 20
-#: Pieces that a worker's table holds before it starts anew.
+#: Pieces that a worker's table holds before it starts anew, and the length from which on a piece is not kept.
 TABLE_PIECES = 1_600_000
+LONG = 200
 BLOCK = 512
 
 
@@ -132,6 +135,50 @@ class WaveletMatrix:
             i = self._select(level, bit, i - self.zeros[level] * bit)
         return i
 
+    def _ranks1(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        block, rest = at // BLOCK, at % BLOCK
+        plane = np.zeros((self.n // BLOCK + 1) * (BLOCK // 8), np.uint8)
+        plane[: len(self.planes[level])] = self.planes[level]
+        place, edge = np.arange(BLOCK // 8), (rest // 8)[:, None]
+        mask = np.where(place < edge, 0xFF, np.where(place == edge, (0xFF00 >> rest % 8)[:, None] & 0xFF, 0)).astype(np.uint8)
+        return self.ones[level][block].astype(np.int64) + np.bitwise_count(plane.reshape(-1, BLOCK // 8)[block] & mask).sum(1, dtype=np.int64)
+
+    def tokens(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many places."""
+        at, value = np.asarray(at, np.int64), np.zeros(len(at), np.int64)
+        for k in range(len(self.planes)):
+            bit = self.planes[k][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            one = self._ranks1(k, at)
+            value, at = value << 1 | bit, np.where(bit, self.zeros[k] + one, at - one)
+        return self.alphabet[value]
+
+    def ranks(self, token: int, at: np.ndarray) -> np.ndarray:
+        """How often ``token`` stands before each of many places."""
+        code, at = self._code(token), np.asarray(at, np.int64)
+        if code is None:
+            return np.zeros(len(at), np.int64)
+        low = np.zeros(1, np.int64)
+        for k in range(len(self.planes)):
+            a, b = self._ranks1(k, low), self._ranks1(k, at)
+            low, at = (self.zeros[k] + a, self.zeros[k] + b) if code >> (len(self.planes) - 1 - k) & 1 else (low - a, at - b)
+        return at - low
+
+    def places(self, token: int) -> np.ndarray:
+        """All places of ``token``, ascending, by selecting upwards from the last plane."""
+        n = self.count(token)
+        if not n:
+            return np.zeros(0, np.int64)
+        code, low = self._code(token), 0
+        for k in range(len(self.planes)):
+            one = self._rank1(k, low)
+            low = self.zeros[k] + one if code >> (len(self.planes) - 1 - k) & 1 else low - one
+        at = np.arange(low, low + n)
+        for k in reversed(range(len(self.planes))):
+            bit = code >> (len(self.planes) - 1 - k) & 1
+            at = np.flatnonzero(np.unpackbits(self.planes[k], count=self.n) == bit)[at - self.zeros[k] * bit]
+        return at
+
     def ids(self) -> np.ndarray:
         """All ids in order, from the last plane back to the first."""
         kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
@@ -192,6 +239,10 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        split, special = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"] or any(t[k] for t in special for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("not the byte-level pretokeniser that texts are cut for here")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -199,7 +250,7 @@ class Pieces:
         self.table: dict[str, bytes] = {}  # by piece, without its space
         self.most = table_pieces
         self.marks = dict(zip(",.", self._fresh([",", "."])))
-        self.whole = re.compile(r" (?:\s|\Z)|<\|")
+        self.whole = re.compile("|".join([r" (?:\s|\Z)", *(re.escape(t["content"][:2]) for t in special)]))
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -228,10 +279,15 @@ class Pieces:
         heads = self._fresh([t if words is None else words[0] for t, words in zip(texts, cut)])
         found = [[] if words is None else [*map(get, words[1:])] for words in cut]
         gaps = [[i for i, v in enumerate(values) if v is None] for values in found]
-        self._learn([*{words[i + 1] for words, missing in zip(cut, gaps) for i in missing}])
+        fresh = {words[i + 1] for words, missing in zip(cut, gaps) for i in missing}
+        self._learn([*fresh])
         for words, values, missing in zip(cut, found, gaps):
             for i in missing:
                 values[i] = self.table[words[i + 1]]
+        for p in fresh:
+            if len(p) >= LONG:
+                self.table.pop(p, None)
+                self.table.pop(p[:-1], None)
         return [head + b"".join(values) for head, values in zip(heads, found)]
 
 
@@ -281,7 +337,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int =
     return staged(made, "wavelet", codec="none")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, base, data in zip(batch.column(0), batch.column(1), batch.column(2)):
             matrix, lengths, names = from_bytes(data.as_py())
@@ -290,14 +346,98 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = ends - lengths
             view = memoryview(ids)
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            columns = [pa.array([part.as_py()] * len(crc), pa.int32()), pa.array(names, pa.int64()), pa.array(starts + base.as_py()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "id", "at", "n_tokens", "ids_crc32"])
+            ended = matrix.ranks(end_id, ends) - matrix.ranks(end_id, starts)
+            if not (matrix.tokens(ends - 1) == end_id).all():
+                raise ValueError("a document of the shard doesn't close with the end id")
+            columns = [pa.array([part.as_py()] * len(crc), pa.int32()), pa.array(names, pa.int64()), pa.array(starts + base.as_py()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(ended)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "id", "at", "n_tokens", "ids_crc32", "n_end"])
 
 
-def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document of the stored shards: id, ``start`` among all ids, ``n_tokens`` and ``ids_crc32``."""
+def offsets(stored: DataFrame) -> DataFrame:
+    """Per part the tokens of all parts before it; a part is a partition of the writer, so these are few rows."""
     sizes = stored.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = stored.select("part", "base", "shard").mapInArrow(_read, "part int, id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(offsets, "part").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def read(stored: DataFrame, end_id: int = 2, id_col: str = "doc_id") -> DataFrame:
+    """Per document of the stored shards: id, ``start`` among all ids, ``n_tokens``, ``ids_crc32`` and ``n_end``, its end ids counted by rank."""
+    rows = stored.select("part", "base", "shard").mapInArrow(lambda it: _read(it, end_id), "part int, id bigint, at bigint, n_tokens bigint, ids_crc32 bigint, n_end bigint")
+    return rows.join(offsets(stored), "part").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_end")
+
+
+def _per_shard(stored: DataFrame, ask: Callable[[WaveletMatrix], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """(part, seq, base, token, value) for the values that ``ask`` yields for the tokens of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, base, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for token, values in ask(from_bytes(data)[0]):
+                    n = len(values)
+                    columns = [pa.array(np.full(n, x, t)) for x, t in ((part, np.int32), (seq, np.int64), (base, np.int64), (token, np.int64))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.int64())], ["part", "seq", "base", "token", "value"])
+
+    return stored.select("part", "seq", "base", "shard").mapInArrow(run, "part int, seq bigint, base bigint, token bigint, value bigint")
+
+
+def counts(stored: DataFrame, tokens: list[int]) -> DataFrame:
+    """Per asked id: token and ``n``, how often it stands in all shards; nothing for an id that is in none."""
+    found = _per_shard(stored, lambda m: ((t, np.array([n])) for t in dict.fromkeys(tokens) if (n := m.count(t))))
+    return found.groupBy("token").agg(F.sum("value").alias("n"))
+
+
+def occurrences(stored: DataFrame, tokens: list[int]) -> DataFrame:
+    """A row for each place ``at`` (among all ids) of each asked id."""
+    found = _per_shard(stored, lambda m: ((t, m.places(t)) for t in dict.fromkeys(tokens)))
+    return found.join(F.broadcast(offsets(stored)), "part").select("token", (F.col("before") + F.col("base") + F.col("value")).alias("at"))
+
+
+def kth(stored: DataFrame, asked: list[tuple[int, int]]) -> DataFrame:
+    """Per (token, k) the place ``at`` of the id's k-th occurrence (from 0) among all ids; null if there are fewer.
+
+    Counts of the shards, summed within their part and over the parts, name the one shard that each k falls into.
+    """
+    spark, tokens = stored.sparkSession, sorted({t for t, _ in asked})
+    wanted = spark.createDataFrame(sorted(set(asked)), "token bigint, k bigint")
+    n = _per_shard(stored, lambda m: ((t, np.array([c])) for t in tokens if (c := m.count(t)))).withColumnRenamed("value", "n")
+    inside = Window.partitionBy("token", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = n.groupBy("token", "part").agg(F.sum("n").alias("whole")).select("token", "part", F.coalesce(F.sum("whole").over(over), F.lit(0)).alias("earlier"))
+    first = n.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, ["token", "part"])
+    first = first.withColumn("first", F.col("earlier") + F.col("inside"))
+    hit = first.join(F.broadcast(wanted), "token").where((F.col("k") >= F.col("first")) & (F.col("k") < F.col("first") + F.col("n")))
+    local = hit.groupBy("part", "seq").agg(F.collect_list(F.struct("token", "k", (F.col("k") - F.col("first")).alias("own"))).alias("wants"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, base, data, wants in zip(*(c.to_pylist() for c in batch.columns)):
+                m = from_bytes(data)[0]
+                got = [(part, w["token"], w["k"], base + m.select(w["token"], w["own"])) for w in wants]
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["part", "token", "k", "at"])
+
+    found = stored.join(local, ["part", "seq"]).select("part", "base", "shard", "wants").mapInArrow(run, "part int, token bigint, k bigint, at bigint")
+    found = found.join(F.broadcast(offsets(stored)), "part").select("token", "k", (F.col("before") + F.col("at")).alias("at"))
+    return wanted.join(found, ["token", "k"], "left")
+
+
+def tokens_at(stored: DataFrame, places: DataFrame, at_col: str = "at", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Per distinct place among all ids: ``at`` and ``token`` (null beyond the last id), by access to the shards that hold them.
+
+    Shards and places meet in cells of ``shard_tokens`` ids, so no table is compared with all of the other. A shard is
+    asked for at most ``shard_tokens`` places at once.
+    """
+    cell = lambda x: F.floor(x / shard_tokens)
+    shards = stored.join(F.broadcast(offsets(stored)), "part").select("part", "seq", "n", (F.col("before") + F.col("base")).alias("start"))
+    shards = shards.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("n") - 1))))
+    asked = places.select(F.col(at_col).cast("bigint").alias("at")).where("at is not null").distinct()
+    met = asked.withColumn("cell", cell(F.col("at"))).join(shards, "cell").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("n")))
+    local = met.groupBy("part", "seq", "cell").agg(F.first("start").alias("start"), F.sort_array(F.collect_list("at")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, data, wants in zip(*batch.columns):
+                at = wants.values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(from_bytes(data.as_py())[0].tokens(at - start.as_py()).astype(np.int64))], ["at", "token"])
+
+    found = stored.join(local, ["part", "seq"]).select("start", "shard", "places").mapInArrow(run, "at bigint, token bigint")
+    return asked.join(found, "at", "left")

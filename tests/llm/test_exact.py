@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,6 +55,44 @@ def test_cuts_are_certain():
         assert code.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "é" * 50_000, "ab" * 100_000 + "!", "x" * 47, "x" * 48, "supercalifragilisticexpialidocious" * 500])
+def test_long_runs_are_merged_in_time(text):
+    code, library = forced_bpe.ForcedBpe(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    began = time.process_time()
+    got = code.encode(text)
+    assert time.process_time() - began < 20
+    assert got == library.encode(text, add_special_tokens=False).ids
+    assert all(len(k) < forced_bpe.LONG for table in (code.pieces, code.words, code.fragments) for k in table)
+
+
+def test_both_merges_agree():
+    code, rng = forced_bpe.ForcedBpe(WORD_BPE), random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choices("abcdeinorst", k=rng.randint(1, 60)))
+        parts = list(text)
+        parts[-1] += code.end
+        short = parts
+        while pairs := [(r, i) for i, p in enumerate(zip(short, short[1:])) if (r := code.ranks.get(p)) is not None]:
+            _, i = min(pairs)
+            short = [*short[:i], short[i] + short[i + 1], *short[i + 2 :]]
+        want = [code.vocab[p] for p in short]
+        assert code._merge(text, True) == code._merge_long(parts) == want
+
+
+def test_other_files_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        forced_bpe.ForcedBpe(BYTE_BPE)
+    with pytest.raises(ValueError):
+        wavelet_store.Pieces(WORD_BPE)
+    spec = json.load(open(WORD_BPE))
+    spec["added_tokens"].append({"id": 49408, "content": "[MASK]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(spec))
+    code, library = forced_bpe.ForcedBpe(str(path)), Tokenizer.from_file(str(path))
+    for text in ("a [MASK]b", "[mask] [MASK", "x<|endoftext|>[MASK]"):
+        assert code.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 # op4
 
 
@@ -68,6 +108,36 @@ def test_shards_give_back_all_ids(hard):
         ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
         want[r.doc_id, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found.values()) == want
+    assert all(r.n_end >= 1 for r in found.values())
+
+
+def test_lookups_over_stored_shards(spark, hard):
+    library, stored = Tokenizer.from_file(BYTE_BPE), wavelet_store.write(hard.repartition(3), BYTE_BPE, shard_tokens=100)
+    texts = defaultdict(list)
+    for r in hard.collect():
+        texts[r.doc_id].append([*library.encode(r.text or "", add_special_tokens=False).ids, 2])
+    made = sorted(wavelet_store.read(stored).collect(), key=lambda r: r.start)
+    every = []
+    for r in made:
+        ids = next(x for x in texts[r.doc_id] if zlib.crc32(struct.pack(f"<{len(x)}I", *x)) == r.ids_crc32)
+        assert r.n_end == ids.count(2)
+        every += ids
+    assert stored.count() > 4
+    tokens = [2, every[0], every[500], 49_999, 50_256]
+    n = Counter(every)
+    assert {r.token: r.n for r in wavelet_store.counts(stored, tokens).collect()} == {t: n[t] for t in tokens if n[t]}
+    want = sorted((t, i) for i, t in enumerate(every) if t in tokens)
+    assert sorted((r.token, r["at"]) for r in wavelet_store.occurrences(stored, tokens).collect()) == want
+    by = defaultdict(list)
+    for t, i in want:
+        by[t].append(i)
+    asked = [(t, k) for t in tokens for k in (0, 1, n[t] // 2, n[t] - 1, n[t]) if k >= 0]
+    got = {(r.token, r.k): r["at"] for r in wavelet_store.kth(stored, asked).collect()}
+    assert got == {(t, k): by[t][k] if k < n[t] else None for t, k in asked}
+    places = [*range(0, len(every), 97), len(every) - 1, len(every), None, 0]
+    frame = spark.createDataFrame([(p,) for p in places], "at bigint")
+    got = {r["at"]: r.token for r in wavelet_store.tokens_at(stored, frame, shard_tokens=100).collect()}
+    assert got == {p: every[p] if p < len(every) else None for p in places if p is not None}
 
 
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (511, 3), (512, 3), (513, 70_000), (3000, 40)])
@@ -79,7 +149,12 @@ def test_wavelet_access_rank_select(n, top):
         token = int(ids[i])
         assert matrix.access(i) == token and matrix.select(token, matrix.rank(token, i)) == i
         assert matrix.count(token) == (ids == token).sum()
-    assert matrix.count(999_999) == 0
+    assert matrix.count(999_999) == 0 and not len(matrix.places(999_999))
+    if n:
+        at = np.arange(n)
+        assert (matrix.tokens(at) == ids).all()
+        assert matrix.ranks(int(ids[0]), np.arange(n + 1)).tolist() == [0, *np.cumsum(ids == ids[0]).tolist()]
+        assert matrix.places(int(ids[0])).tolist() == np.flatnonzero(ids == ids[0]).tolist()
     with pytest.raises(IndexError):
         matrix.select(999_999, 0)
 
