@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with at least one in so many of all rows is hot; there are at most so many of them.
+HOT_KEYS = 256
 
-_made: set[str] = set()
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine), a new temporary folder is set.
+    Only where the session names none (tests on one machine), a folder of the warehouse is set, which they share too.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="ondine-checkpoint-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ondine"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -40,15 +42,33 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     This cuts the lineage: what follows reads files that outlive any executor, and values that
-    depend on a task (partition numbers) stay as they were written.
+    depend on a task (partition numbers) stay as they were written. The files go when ``released``, or with the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ondine-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    if path not in _made:
-        _made.add(path)
-        atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[table] = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for table in tables:
+        if path := _places.pop(table, None):
+            _remove(table.sparkSession, path)
+
+
+def joined_by_count(rows: DataFrame, answers: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``answers`` on ``key``; answers has a row for each key, and in ``count`` how many rows hold it.
+
+    Keys of 1 / HOT_KEYS of all rows or more, of which there are at most HOT_KEYS, are broadcast, so that no task gets a hot key's
+    rows; the others are joined by a shuffle.
+    """
+    total = answers.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.broadcast(answers.where(F.col(count) * HOT_KEYS >= total))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(answers, key))
 
 
 def spread(spark: SparkSession) -> int:

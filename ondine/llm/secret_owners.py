@@ -11,75 +11,83 @@ An owner is the source up to its first slash, a repository the whole source; a n
 Null and empty texts have no spans. Spans are in code points, end exclusive, one per match, leftmost first and without
 overlap within a kind. Repeated rows give repeated rows, an empty table an empty result. Only DataFrame functions are used.
 
-Counting takes one row for each hash, owner and repository after the map-side sums, so a value that a third of all
-documents hold is a few rows for each task; the answers go back by a join whose hot keys Spark splits.
+A text is cut at its matches and the lengths of the gaps are summed by a window over the text's matches, so the time grows in
+proportion to them. Counting takes one row for each hash, owner and repository after the map-side sums, so a value that a third of all
+documents hold is a few rows for each task; the answers of values that make up much of all spans are broadcast (there can
+be few such), the others go back by a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondine.llm._common import staged
+from ondine.llm._common import joined_by_count, staged
 
 #: Owners from which on a value counts as a widely copied example.
 WIDELY = 5
+#: Code points of the chunks in which a text's spans are cut out.
+CHUNK = 4096
 
 #: The patterns of the base kinds, with the group that is the value and its least length.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_.=-])"
-VALUE = r"[A-Za-z0-9+/_.=-]+$"
 KINDS = ("assign", "access", "hex", "opaque")
 
 
-def found(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (at, kind, end, match): the text is split at the matches and the lengths are added up."""
+def found(text: Column, kind: str, pattern: str, least: int = 0, value: int = 0) -> Column:
+    """Array of (kind, i, gap, size, hash) in the order of the text: how many code points stand between the match and the one before, and
+    the digest of its group ``value``; no digest if that is shorter than ``least``."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("at"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out"),
-    )
-    none = F.from_json(F.lit("[]"), "array<struct<at int, kind int, end int, match string>>")
+    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    none = F.from_json(F.lit("[]"), "array<struct<kind int, i int, gap int, size int, hash string>>")
+
+    def one(pair: Column, i: Column) -> Column:
+        match = pair["match"]
+        held = F.regexp_extract(match, pattern, value) if value else match
+        fine = F.length(held) >= least
+        if kind == "opaque":
+            fine = fine & match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), pair["gap"].alias("gap"), F.length(match).alias("size"), F.when(fine, F.sha2(held, 256)).alias("hash"))
+
     pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(pairs, one)).otherwise(none)
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Per row: id, source, and the candidates of all kinds that pass."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Per row: id, hash of the text, source, and the matches of all kinds."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    value = lambda x: F.regexp_extract(x["match"], VALUE, 0)
-    # of an assignment the value is what follows its first separator and an opening quote
-    held = lambda x: F.regexp_extract(x["match"], ASSIGN, 2)
-    assign = F.filter(found(text, "assign", ASSIGN), lambda x: F.length(held(x)) >= 12)
-    access = F.filter(found(text, "access", ACCESS), lambda x: F.length(x["match"]) >= 18)
-    mixed = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[a-z]") & x["match"].rlike("[A-Z]")
-    opaque = F.filter(found(text, "opaque", OPAQUE), mixed)
-    every = F.concat(assign, access, found(text, "hex", HEX), opaque)
-    short = F.transform(every, lambda x: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(F.when(x["kind"] == 0, held(x)).otherwise(value(x)), 256).alias("hash")))
-    return docs.select(docs[id_col].alias("__id"), F.xxhash64(text).alias("__text"), docs[source_col].cast("string").alias("__source"), F.array_sort(short).alias("__spans"))
-
-
-def owners(rows: DataFrame) -> DataFrame:
-    """Per hash: how many distinct owners and repositories hold it."""
-    held = rows.select("__source", F.explode("__spans").alias("s"))
-    each = held.select(F.col("s.hash").alias("hash"), F.substring_index("__source", "/", 1).alias("owner"), F.col("__source").alias("repo")).groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    every = F.concat(found(text, "assign", ASSIGN, 12, 2), found(text, "access", ACCESS, 18), found(text, "hex", HEX), found(text, "opaque", OPAQUE))
+    return docs.select(docs[id_col].alias("__id"), F.xxhash64(text).alias("__text"), docs[source_col].cast("string").alias("__source"), every.alias("__found"))
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """A row for each match that passes, with its place: the gaps and matches before it are summed up."""
+    each = rows.select("__row", "__source", F.explode("__found").alias("s")).select("__row", "__source", "s.*")
+    before = Window.partitionBy("__row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    return each.where("hash is not null").select("__row", "__source", (F.col("end") - F.col("size")).alias("at"), "kind", "end", "hash")
+
+
+def owners(each: DataFrame) -> DataFrame:
+    """Per hash: how many distinct owners and repositories hold it, and how many spans it has."""
+    held = each.select("hash", F.substring_index("__source", "/", 1).alias("owner"), F.col("__source").alias("repo")).groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", widely: int = WIDELY) -> DataFrame:
-    """Per row: ``__id``, ``__row``, and ``__spans`` with owners, repositories and ``live``; opaque ones of several owners are gone."""
-    rows = staged(spans(docs, id_col, text_col, source_col).withColumn("__row", F.monotonically_increasing_id()), "secret-spans")
-    each = rows.select("__row", F.explode("__spans").alias("s"))
-    known = each.join(owners(rows), F.col("s.hash") == F.col("hash"))
-    kept = known.where((F.col("s.kind") < 3) | (F.col("n_owners") == 1))
-    one = F.struct(F.col("s.at").alias("at"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.hash").alias("hash"), "n_owners", "n_repos", (F.col("n_owners") < widely).alias("live"))
+    """Per row: ``__id``, ``__text``, ``__row``, and ``__spans`` with owners, repositories and ``live``; opaque ones of several owners are gone."""
+    rows = staged(candidates(docs, id_col, text_col, source_col).withColumn("__row", F.monotonically_increasing_id()), "secret-spans")
+    each = staged(spans(rows), "secret-places")
+    known = joined_by_count(each, staged(owners(each), "secret-owners"), "hash", "n_spans")
+    kept = known.where((F.col("kind") < 3) | (F.col("n_owners") == 1))
+    one = F.struct("at", "kind", "end", "hash", "n_owners", "n_repos", (F.col("n_owners") < widely).alias("live"))
     back = kept.groupBy("__row").agg(F.array_sort(F.collect_list(one)).alias("__spans"))
-    return rows.drop("__spans").join(back, "__row", "left").withColumn("__spans", F.coalesce("__spans", F.filter(F.array(F.lit(None).cast(back.schema["__spans"].dataType.elementType)), lambda x: F.lit(False))))
+    none = F.filter(F.array(F.lit(None).cast(back.schema["__spans"].dataType.elementType)), lambda x: F.lit(False))
+    return rows.drop("__found").join(back, "__row", "left").withColumn("__spans", F.coalesce("__spans", none))
 
 
 def listed(spans: Column) -> Column:
@@ -98,18 +106,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     )
 
 
+def cut_out(text: Column, cuts: Column, mark: str) -> Column:
+    """``text`` with each run of overlapping spans replaced by ``mark``.
+
+    ``cuts`` maps a chunk's number to its spans as (at, starts, end) within the chunk; ``starts`` is false where the
+    span began in an earlier chunk. Only a chunk's own spans are gone through in it, so the time grows with the text.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.when((x["at"] < acc["at"]) | ~x["starts"], F.lit("")).otherwise(F.concat(F.substr(acc["chunk"], acc["at"] + 1, x["at"] - acc["at"]), F.lit(mark)))
+        cut = F.struct(x["end"].alias("at"), F.concat(acc["out"], gap).alias("out"), acc["chunk"].alias("chunk"))
+        return F.when(x["end"] <= acc["at"], acc).otherwise(cut)
+
+    def without(chunk: Column, i: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), chunk.alias("chunk"))
+        return F.aggregate(cuts[i], start, step, lambda acc: F.concat(acc["out"], F.substr(acc["chunk"], acc["at"] + 1)))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.array_join(F.transform(chunks, lambda c, i: F.coalesce(without(c, i), c)), "")
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", widely: int = WIDELY, mark: str = "<secret>") -> DataFrame:
     """The rows of ``docs`` with live-looking values out of their texts; copied examples stay.
 
-    The spans come back to the rows by id and hash of the text, which rows of one id may not share.
+    The spans come back to the rows by id and hash of the text; rows that agree in both have the same text.
     """
     live = judged(docs, id_col, text_col, source_col, widely).select("__id", "__text", F.explode(F.filter("__spans", lambda x: x["live"])).alias("s"))
-    per = live.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(F.struct(F.col("s.at").alias("at"), F.col("s.end").alias("end")))).alias("__cut"))
+    each = live.select("__id", "__text", F.col("s.at").alias("at"), F.col("s.end").alias("end"))
+    each = each.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / CHUNK).cast("int"), F.floor((F.col("end") - 1) / CHUNK).cast("int"))))
+    base = F.col("chunk") * CHUNK
+    part = F.struct(F.greatest(F.col("at") - base, F.lit(0)).alias("at"), (F.col("at") >= base).alias("starts"), F.least(F.col("end") - base, F.lit(CHUNK)).alias("end"))
+    per = each.groupBy("__id", "__text", "chunk").agg(F.sort_array(F.collect_set(part)).alias("parts"))
+    per = per.groupBy("__id", "__text").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "parts"))).alias("__cut"))
     joined = docs.join(per, docs[id_col].eqNullSafe(per["__id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == per["__text"]), "left")
     text = docs[text_col]
-    step = lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.when(x["at"] < acc["at"], "").otherwise(F.concat(F.substr(text, acc["at"] + 1, x["at"] - acc["at"]), F.lit(mark)))).alias("out")))
-    done = F.aggregate("__cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return joined.select(*[F.when(F.col("__cut").isNull(), text).otherwise(done).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col("__cut").isNull(), text).otherwise(cut_out(text, F.col("__cut"), mark)).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 SQL = rf"""
