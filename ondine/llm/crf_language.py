@@ -2,11 +2,11 @@
 
 Each word has affix, character n-gram and lexicon features; a transition between languages costs what the field has learned. The
 posteriors of all words come from the forward-backward algorithm, and a text's language is the one with the most posterior
-words. The chains of many texts are laid end to end and cut into columns of equal length: the products of the columns'
+words; ``switches`` gives the stretches of one language instead. The chains of many texts are laid end to end and cut into columns of equal length: the products of the columns'
 transfer matrices are made side by side, then handed from column to column, so numpy steps over the length of a column and not of a text.
 
 The field is fitted by the gradient of its conditional likelihood on chains that are spliced from segments of labelled documents, a
-bounded sample of them. A null text or one without letters is ``und`` with score 0; so is every text where no label was
+bounded sample of them with an equal part for each language, so a rare language is learned from all that it has, up to its part. A null text or one without letters is ``und`` with score 0; so is every text where no label was
 learned. Words without letters are passed over. Repeated rows get equal results; an empty table gives an empty one; other columns are not read.
 """
 
@@ -19,23 +19,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ondine.llm._common import staged
 
 #: Bounds of the sample: labelled rows, and segments and words of a segment that each gives.
 SAMPLE_ROWS, SEGMENTS, SEGMENT_WORDS = 4_000, 4, 24
+#: Rows of one language at most; up to here Spark keeps the first rows of a window's group before it shuffles.
+PARTIAL = 1_000
 #: Words that are in the lexicon of a language, hashed feature buckets, gradient steps.
 LEXICON, BUCKETS, STEPS = 2_000, 1 << 16, 40
 #: Segments of a training chain, steps of a column, words that are labelled together.
 CHAIN, COLUMN, TOGETHER = 32, 128, 200_000
-TABLE_WORDS = 600_000
+#: Words that a worker remembers before it starts anew, and the length from which on a word is not kept.
+TABLE_WORDS, LONG = 600_000, 100
 NONE = "und"
 
 #: The feature of a word in no lexicon.
 NO_LEXICON = [zlib.crc32(b"none", 5)]
 
+#: Splits where str.split does.
+TOKEN = re.compile(r"\S+")
 EDGES = re.compile(r"\A(?:[\W\d_])+|(?:[\W\d_])+\Z")
 
 
@@ -45,7 +50,8 @@ def plain(token: str) -> str:
         return token.lower()
     if token[:-1].isalpha() and token[-1] in ".,!?;:":
         return token[:-1].lower()
-    return EDGES.sub("", token.lower())
+    word = EDGES.sub("", token.lower())
+    return word if any(map(str.isalpha, word)) else ""  # what is left may be a number such as a half or a Roman eight
 
 
 def word_features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
@@ -108,14 +114,16 @@ def scan(e: np.ndarray, reset: np.ndarray, a: np.ndarray, pi: np.ndarray, column
 
 
 class Table(dict):
-    """Places of tokens, filled by the field as they come."""
+    """Places of tokens, filled by the field as they come; those of long ones are not kept."""
 
     def __init__(self, field: Field):
         super().__init__()
         self.field = field
 
     def __missing__(self, token: str) -> int:
-        at = self[token] = self.field.place(token)
+        at = self.field.place(token)
+        if len(token) < LONG:
+            self[token] = at
         return at
 
 
@@ -130,11 +138,12 @@ class Field:
     def __post_init__(self):
         self.table = Table(self)
         self.words: dict[str, int] = {}
+        self.places = 1
         self.new: list[list[int]] = []
         self.emissions = np.ones((1, len(self.languages)))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "words", "new", "emissions")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "words", "places", "new", "emissions")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -147,8 +156,10 @@ class Field:
             return 0
         at = self.words.get(word)
         if at is None:
-            at = self.words[word] = len(self.words) + 1
+            at, self.places = self.places, self.places + 1
             self.new.append(word_features(word, self.lexicon))
+            if len(word) < LONG:
+                self.words[word] = at
         return at
 
     def _learn(self) -> None:
@@ -160,37 +171,50 @@ class Field:
             self.emissions = np.concatenate([self.emissions, np.exp(score - score.max(1, keepdims=True)) + 1e-12])
             self.new = []
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and mean posterior of each text."""
-        out: list[tuple[str, float]] = [(NONE, 0.0)] * len(texts)
+    def posteriors(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per text with a word: its place in the list, the numbers of its tokens that are words, and these words' posteriors."""
         if not self.languages:
-            return out
-        if len(self.table) > TABLE_WORDS:
+            return
+        if max(len(self.table), self.places) > TABLE_WORDS:
             self.__post_init__()
-        parts, held, n = [], [], 0
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        n = 0
         for i, text in enumerate(texts):
             tokens = (text or "").split()
             at = np.fromiter(map(self.table.__getitem__, tokens), np.int64, len(tokens))
-            at = at[at > 0]
-            if len(at):
-                parts.append(at)
-                held.append(i)
-                n += len(at)
+            words = np.flatnonzero(at)
+            if len(words):
+                held.append((i, words, at[words]))
+                n += len(words)
             if n >= TOGETHER or (i == len(texts) - 1 and n):
                 self._learn()
-                for k, found in zip(held, self._posteriors(parts)):
-                    out[k] = found
-                parts, held, n = [], [], 0
+                starts = np.cumsum([0, *(len(p) for _, _, p in held)])
+                reset = np.zeros(n, bool)
+                reset[starts[:-1]] = True
+                _, gamma, _ = scan(self.emissions[np.concatenate([p for _, _, p in held])], reset, np.exp(self.transitions), np.exp(self.starts))
+                yield from ((k, words, gamma[a:b]) for (k, words, _), a, b in zip(held, starts, starts[1:]))
+                held, n = [], 0
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and mean posterior of each text."""
+        out: list[tuple[str, float]] = [(NONE, 0.0)] * len(texts)
+        for i, _, gamma in self.posteriors(texts):
+            share = gamma.mean(0)
+            k = int(share.argmax())
+            out[i] = self.languages[k], float(min(1.0, share[k]))
         return out
 
-    def _posteriors(self, parts: list[np.ndarray]) -> list[tuple[str, float]]:
-        lengths = np.array([len(p) for p in parts])
-        starts = np.concatenate([[0], lengths.cumsum()[:-1]])
-        reset = np.zeros(lengths.sum(), bool)
-        reset[starts] = True
-        _, gamma, _ = scan(self.emissions[np.concatenate(parts)], reset, np.exp(self.transitions), np.exp(self.starts))
-        share = np.add.reduceat(gamma, starts) / lengths[:, None]
-        return [(self.languages[k], float(min(1.0, s[k]))) for s in share for k in [int(s.argmax())]]
+    def stretches(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+        """Per text its stretches of one language: start and end (code points), language, mean posterior of their words."""
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+        for i, words, gamma in self.posteriors(texts):
+            spans = [m.span() for m in TOKEN.finditer(texts[i] or "")]
+            best = gamma.argmax(1)
+            first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(best)]):
+                k = int(best[a])
+                out[i].append((spans[words[a]][0], spans[words[b - 1]][1], self.languages[k], float(min(1.0, gamma[a:b, k].mean()))))
+        return out
 
 
 def held_out(name: str):
@@ -215,17 +239,21 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_ROWS) -> Field:
-    """Learns from at most ``most`` labelled rows outside the held-out fold, by the hash of their ids."""
+    """Learns from labelled rows outside the held-out fold: of each language ``most`` by the number of languages (one at least), by the hash of their ids."""
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    sample = rows.join(F.broadcast(chosen), "id").mapInArrow(_segments, "id bigint, lang string, words array<string>")
-    found = staged(sample, "segments").orderBy(F.xxhash64("words", "id"), "lang", "words").limit(most * SEGMENTS).toArrow()
+    kinds = rows.agg(F.count_distinct("lang")).first()[0]
+    part = min(PARTIAL, max(1, most // max(1, kinds)))
+    # a task passes on `part` rows of a language at most, so the window gets few rows, however common a language is
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= part).select("id", "lang").distinct()
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_segments, "id bigint, lang string, words array<string>")
+    found = staged(sample, "segments").orderBy(F.xxhash64("words", "id"), "lang", "words").limit(max(most, kinds) * SEGMENTS).toArrow()
     return fit(found.column("words").to_pylist(), found.column("lang").to_pylist())
 
 
 def fit(segments: list[list[str]], langs: list[str], steps: int = STEPS) -> Field:
-    """Gradient ascent (Adam) of the log-likelihood of chains of CHAIN segments, in the order given."""
+    """Gradient ascent (Adam) of the log-likelihood of chains, with a ridge."""
     languages = sorted(set(langs))
     k = len(languages)
     if not k:
@@ -238,36 +266,13 @@ def fit(segments: list[list[str]], langs: list[str], steps: int = STEPS) -> Fiel
     for lang in languages:
         for w in sorted((w for w, c in counts[lang].items() if c > 1), key=lambda w: (-counts[lang][w], w))[:LEXICON]:
             lexicon.setdefault(w, []).append(zlib.crc32(lang.encode(), 6))
-    words = [w for some in segments for w in some]
-    y = np.repeat([languages.index(x) for x in langs], [len(s) for s in segments])
-    lengths = np.array([len(s) for s in segments])
-    first = lengths.cumsum() - lengths
-    reset = np.zeros(len(words), bool)
-    reset[first[::CHAIN]] = True
-    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    of_word = np.array([names[w] for w in words])
-    ids = [word_features(w, lexicon) for w in names]
-    row, feature = np.repeat(np.arange(len(ids)), [len(i) for i in ids]), np.array([f for i in ids for f in i])
-    truth = np.eye(k)[y]
+    chains = Chains.of(segments, [languages.index(x) for x in langs], lexicon, k)
     w, t, s = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, t, s)]
-    inner = ~reset
-    inner[0] = False
-    seen = np.zeros((k, k))
-    np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
     for step in range(1, steps + 1):
-        score = np.stack([np.bincount(row, w[feature, c], len(ids)) for c in range(k)], 1)
-        e = np.exp(score - score.max(1, keepdims=True)) + 1e-12
-        a, pi = np.exp(t - t.max()), np.exp(s - s.max())
-        alpha, gamma, ahead = scan(e[of_word], reset, a, pi / pi.sum())
-        left, right = alpha[np.flatnonzero(inner) - 1], ahead[inner]
-        z = ((left @ a) * right).sum(1)
-        pairs = a * (left.T @ (right / z[:, None]))
-        wrong = truth - gamma
-        by_word = np.stack([np.bincount(of_word, wrong[:, c], len(ids)) for c in range(k)], 1)
-        gw = np.stack([np.bincount(feature, by_word[row, c], BUCKETS) for c in range(k)], 1) - 0.1 * w
-        gradients = (gw, seen - pairs - 0.1 * t, wrong[reset].sum(0) - 0.1 * s)
+        gradients = chains.gradient(w, t, s)
         for x, g, (m1, m2) in zip((w, t, s), gradients, moments):
+            g = g - 0.1 * x
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
             x += 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -275,6 +280,48 @@ def fit(segments: list[list[str]], langs: list[str], steps: int = STEPS) -> Fiel
     return Field(languages, w.astype(np.float32), t - t.max(), s, lexicon)
 
 
+@dataclass
+class Chains:
+    """Training chains laid end to end: the features of the distinct words, each place's word and language, and where chains start."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    of_word: np.ndarray
+    y: np.ndarray
+    reset: np.ndarray
+    k: int
+
+    @classmethod
+    def of(cls, segments: list[list[str]], langs: list[int], lexicon: dict[str, list[int]], k: int, chain: int = CHAIN) -> Chains:
+        """CHAIN segments make a chain, in the order given."""
+        words = [w for some in segments for w in some]
+        lengths = np.array([len(s) for s in segments])
+        reset = np.zeros(len(words), bool)
+        reset[(lengths.cumsum() - lengths)[::chain]] = True
+        names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids = [word_features(w, lexicon) for w in names]
+        row, feature = np.repeat(np.arange(len(ids)), [len(i) for i in ids]), np.array([f for i in ids for f in i])
+        return cls(row, feature, np.array([names[w] for w in words]), np.repeat(langs, lengths), reset, k)
+
+    def gradient(self, w: np.ndarray, t: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log-likelihood, by the weights of features, transitions and starts: what is there less what is expected."""
+        k, n = self.k, int(self.row[-1]) + 1
+        score = np.stack([np.bincount(self.row, w[self.feature, c], n) for c in range(k)], 1)
+        e = np.exp(score - score.max(1, keepdims=True)) + 1e-12
+        a, pi = np.exp(t - t.max()), np.exp(s - s.max())
+        alpha, gamma, ahead = scan(e[self.of_word], self.reset, a, pi / pi.sum())
+        inner = np.flatnonzero(~self.reset)
+        left, right = alpha[inner - 1], ahead[inner]
+        z = ((left @ a) * right).sum(1)
+        pairs = a * (left.T @ (right / z[:, None]))
+        seen = np.zeros((k, k))
+        np.add.at(seen, (self.y[inner - 1], self.y[inner]), 1)
+        wrong = np.eye(k)[self.y] - gamma
+        by_word = np.stack([np.bincount(self.of_word, wrong[:, c], n) for c in range(k)], 1)
+        gw = np.stack([np.bincount(self.feature, by_word[self.row, c], len(w)) for c in range(k)], 1)
+        return gw, seen - pairs, wrong[self.reset].sum(0)
+
+
 def predictions(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``held_out``, ``lang_pred`` and ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS weights and LEXICON words for each language
@@ -290,3 +337,26 @@ def predictions(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return made.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+def switches(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each stretch of one language in a text: id, ``start`` and ``end`` (code points, end exclusive), ``lang`` and ``posterior``.
+
+    A stretch goes from its first word to its last; words without letters part nothing. A text without letters has no row.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                found = own.stretches(some.column(1).to_pylist())
+                flat = [x for xs in found for x in xs]
+                names = some.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(xs) for xs in found])))
+                columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([names, *columns], ["id", "start", "end", "lang", "posterior"])
+
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, start bigint, end bigint, lang string, posterior double").withColumnRenamed("id", id_col)
