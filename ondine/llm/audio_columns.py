@@ -5,6 +5,7 @@ unsigned sample per byte). ``features`` reads the stored bytes back and computes
 polyphase filter; overlapped Hann frames of them through a mel filterbank, in dB; and segments in which the frame
 energy is loud, with hysteresis. The filterbank output is cut into blocks of a fixed shape, an Arrow fixed-shape tensor
 each, with the time span that a block covers. ``digests`` stores the features as a table and describes the tensors and spans that it reads back.
+A long text is gone through in slices of frames, from samples to filterbank, so beside its bytes only the filterbank's output is held.
 
 Null and empty texts are stored as 64 zero bytes. Repeated rows give repeated rows and equal bytes equal values; an empty table gives
 an empty one; other columns are not read. A row is computed by itself, so its values don't depend on its neighbours.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ FRAME, HOP, BANDS, BLOCK_FRAMES = 256, 128, 20, 64
 #: dB over the mean frame energy at which a segment starts, and under which it ends.
 START_DB, END_DB = 0.5, -0.5
 FLOOR = 1e-10
+#: Frames that are made at a time.
+SLICE = 4096
+#: Bytes of media after which a batch of results is handed on.
+BATCH_BYTES = 8 << 20
 
 
 def payload(text: bytes | None) -> bytes:
@@ -77,13 +83,19 @@ def phases(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     return bank
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
-    """Output n stands at input n * down / up; all phases of a period are one matrix product with the inputs around it."""
-    n = -(-len(x) * up // down)
-    periods = -(-n // up)
-    padded = np.pad(x, (taps // 2 - 1, periods * down - len(x) + taps // 2 + 1))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, taps + down)[::down][:periods]
-    return (windows @ phases(up, down, taps)).ravel()[:n]
+def resample(x: np.ndarray, first: int = 0, last: int | None = None, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
+    """Outputs ``first`` to ``last`` (exclusive; all), zeros beyond the end. Output n stands at input n * down / up; all phases of a period are one
+    matrix product with the inputs around it. ``x`` may be raw bytes, which become -1 to 1 here."""
+    last = -(-len(x) * up // down) if last is None else last
+    low, high = first // up, -(-last // up)
+    a, b = low * down - (taps // 2 - 1), high * down + taps // 2 + 1
+    held = x[max(a, 0) : max(b, 0)]
+    held = (held.astype(np.float64) - 128) / 128 if held.dtype == np.uint8 else held
+    padded = np.pad(held, (max(-a, 0), max(0, b - a - max(-a, 0) - len(held))))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, taps + down)[::down][: high - low]
+    out = (windows @ phases(up, down, taps)).ravel()[first - low * up : last - low * up]
+    out[max(0, -(-len(x) * up // down) - first) :] = 0
+    return out
 
 
 @functools.lru_cache(maxsize=8)
@@ -101,18 +113,22 @@ def hann(frame: int = FRAME) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
 
 
-def log_mel(y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, bands) in dB and the frames' energies in dB; the end is padded with zeros to a whole frame."""
-    frames = max(1, -(-(len(y) - FRAME) // HOP) + 1)
-    y = np.pad(y, (0, max(0, (frames - 1) * HOP + FRAME - len(y))))
-    cut = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * hann()
-    mel, energy = np.empty((frames, BANDS)), np.empty(frames)
-    for k in range(0, frames, 4096):
-        some = cut[k : k + 4096]
-        spectrum = np.fft.rfft(some)
-        mel[k : k + 4096] = (spectrum.real**2 + spectrum.imag**2) @ mel_bank(rate)
-        energy[k : k + 4096] = (some**2).mean(1)
-    return 10 * np.log10(np.maximum(mel, FLOOR)), 10 * np.log10(np.maximum(energy, FLOOR))
+def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, bands) in dB of the resampled samples, as float32, and the frames' energies in dB; the end is padded with zeros to a whole frame.
+
+    ``rate`` is the one after resampling. SLICE frames are made at a time.
+    """
+    n = -(-len(x) * UP // DOWN)
+    frames = max(1, -(-(n - FRAME) // HOP) + 1)
+    mel, energy = np.empty((frames, BANDS), np.float32), np.empty(frames)
+    for k in range(0, frames, SLICE):
+        count = min(SLICE, frames - k)
+        y = resample(x, k * HOP, (k + count - 1) * HOP + FRAME)
+        cut = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * hann()
+        spectrum = np.fft.rfft(cut)
+        mel[k : k + count] = 10 * np.log10(np.maximum((spectrum.real**2 + spectrum.imag**2) @ mel_bank(rate), FLOOR))
+        energy[k : k + count] = (cut**2).mean(1)
+    return mel, 10 * np.log10(np.maximum(energy, FLOOR))
 
 
 def segments(energy: np.ndarray, start_db: float = START_DB, end_db: float = END_DB) -> list[tuple[int, int]]:
@@ -127,9 +143,8 @@ def segments(energy: np.ndarray, start_db: float = START_DB, end_db: float = END
 
 def analyse(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, float]], float]:
     """Log-mel frames, segments as time spans in seconds, and the rate after resampling."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
     low = rate * UP / DOWN
-    mel, energy = log_mel(resample(x), low)
+    mel, energy = log_mel(np.frombuffer(samples, np.uint8), low)
     spans = [(a * HOP / low, ((b - 1) * HOP + FRAME) / low) for a, b in segments(energy)]
     return mel, spans, low
 
@@ -137,6 +152,8 @@ def analyse(samples: bytes, rate: int) -> tuple[np.ndarray, list[tuple[float, fl
 def blocks(mel: np.ndarray) -> np.ndarray:
     """(blocks, BLOCK_FRAMES, BANDS) as float32; the last block is filled up with the floor."""
     n = -(-len(mel) // BLOCK_FRAMES)
+    if n * BLOCK_FRAMES == len(mel) and mel.dtype == np.float32:
+        return mel.reshape(n, BLOCK_FRAMES, BANDS)
     full = np.full((n * BLOCK_FRAMES, BANDS), 10 * np.log10(FLOOR), np.float32)
     full[: len(mel)] = mel
     return full.reshape(n, BLOCK_FRAMES, BANDS)
@@ -172,13 +189,25 @@ def described(tensors: bytes, spans: list[tuple[float, float]]) -> str:
     return head + ",".join(f"{x:.1f}" for x in means) + f";tensors={hashlib.sha256(made.tobytes()).hexdigest()}"
 
 
+def parcels(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows, which close when the values of a binary column reach BATCH_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= BATCH_BYTES or i + 1 - start == rows:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored media table: id, ``n_bytes`` before padding, and ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+            for some in parcels(batch, 1, 1000):
                 raw = some.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x or b"") for x in raw], pa.int64()), pa.array([wav(payload(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
@@ -198,8 +227,7 @@ def features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                some = batch.slice(k, 200)
+            for some in parcels(batch, 2, 200):
                 read, tensors, spans = [], [], []
                 for m in some.column(2):
                     data = m.as_py()
@@ -220,8 +248,7 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                some = batch.slice(k, 200)
+            for some in parcels(batch, kept, 200):
                 spans = [[(x["start"], x["end"]) for x in s.as_py()] for s in some.column(kept + 1)]
                 made = [described(t.as_py(), s) for t, s in zip(some.column(kept), spans)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:kept], pa.array(made, pa.string())], ["id", "n_bytes", *READ_BACK, "feature"])

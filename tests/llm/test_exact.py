@@ -484,6 +484,81 @@ def test_resampler_and_tensors():
     assert table.column("end")[-1].as_py() >= table.column("start")[-1].as_py() and all(a < b for a, b in spans)
 
 
+def brute_features(data):
+    """Log-mel frames and loud spans, sample by sample and bin by bin."""
+    x = [(b - 128) / 128 for b in data]
+    y = []
+    for n in range(-(-len(x) * 3 // 4)):
+        t = n * 4 / 3
+        js = range(int(t + 1e-9) - 7, int(t + 1e-9) + 9)
+        w = [np.sinc((j - t) * 0.75) * np.i0(6 * np.sqrt(max(0, 1 - ((j - t) / 8) ** 2))) for j in js]
+        y.append(sum(a * x[j] for a, j in zip(w, js) if 0 <= j < len(x)) / sum(w))
+    frames = 1
+    while (frames - 1) * 128 + 256 < len(y):
+        frames += 1
+    y += [0.0] * ((frames - 1) * 128 + 256 - len(y))
+    to_mel, from_mel = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [from_mel(to_mel(3000) * i / 21) for i in range(22)]
+    mel, energy = np.zeros((frames, 20)), np.zeros(frames)
+    window = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / 256) for i in range(256)])
+    for f in range(frames):
+        cut = window * np.array(y[f * 128 : f * 128 + 256])
+        power = [abs(np.exp(-2j * np.pi * k * np.arange(256) / 256) @ cut) ** 2 for k in range(129)]
+        for b in range(20):
+            low, mid, high = edges[b : b + 3]
+            total = sum(p * max(0, min((k * 6000 / 256 - low) / (mid - low), (high - k * 6000 / 256) / (high - mid))) for k, p in enumerate(power))
+            mel[f, b] = 10 * np.log10(max(total, 1e-10))
+        energy[f] = 10 * np.log10(max(np.mean(cut**2), 1e-10))
+    spans, on = [], None
+    for f, e in enumerate(energy - energy.mean()):
+        if on is None and e > 0.5:
+            on = f
+        elif on is not None and e < -0.5:
+            spans.append((on, f))
+            on = None
+    if on is not None:
+        spans.append((on, frames))
+    return mel, [(a * 128 / 6000, ((b - 1) * 128 + 256) / 6000) for a, b in spans]
+
+
+@pytest.mark.parametrize("size,slice_", [(64, 4096), (320, 4096), (4096, 4096), (4096, 3), (13_056, 16)])
+def test_features_against_brute_force(monkeypatch, size, slice_):
+    monkeypatch.setattr(audio_columns, "SLICE", slice_)
+    rng = np.random.default_rng(size)
+    data = bytes((128 + rng.integers(-100, 100, size) * (np.arange(size) // 1500 % 2)).astype(np.uint8))
+    mel, spans, rate = audio_columns.analyse(data, 8000)
+    want, loud = brute_features(data)
+    assert rate == 6000 and mel.shape == want.shape and np.abs(mel - want).max() < 1e-3
+    assert spans == [(pytest.approx(a), pytest.approx(b)) for a, b in loud]
+    blocks, kept = audio_columns.stored_tensors(audio_columns.tensor_stream(mel, rate))
+    assert np.abs(kept - want).max() < 1e-3 and np.all(blocks.reshape(-1, 20)[len(want) :] == -100)
+    means = np.round(kept.mean(0, dtype=np.float64), 1) + 0.0
+    text = audio_columns.described(audio_columns.tensor_stream(mel, rate), spans)
+    assert text.startswith(f"frames={len(want)};segments={len(loud)};loud={sum(b - a for a, b in loud):.2f};mel={','.join(f'{m:.1f}' for m in means)};tensors=")
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    data = audio_columns.wav(bytes(range(32, 96)) * 312_500)  # 20 MB
+    tracemalloc.start()
+    mel, spans, rate = audio_columns.analyse(*audio_columns.samples_of(data))
+    stream = audio_columns.tensor_stream(mel, rate)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(audio_columns.stored_tensors(stream)[1]) == len(mel) == -(-(15_000_000 - 256) // 128) + 1
+    assert peak < 150e6
+
+
+def test_parcels_hold_all_rows():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([None, b"", *[bytes(5 << 20)] * 5, b"x", None])], ["i", "b"])
+    got = list(audio_columns.parcels(batch, 1, 3))
+    assert pa.Table.from_batches(got).column(0).to_pylist() == list(range(9)) and [g.num_rows for g in got] == [3, 2, 2, 2]
+    assert not list(audio_columns.parcels(batch.slice(0, 0), 1, 3))
+
+
 def test_hysteresis():
     e = np.array([0, 0, 10, 5.2, 5.2, 0, 10, 0.0])
     assert audio_columns.segments(e, 2, 0) == [(2, 5), (6, 7)]
