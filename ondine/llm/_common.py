@@ -60,13 +60,12 @@ def released(*tables: DataFrame) -> None:
             _remove(table.sparkSession, path)
 
 
-def joined_by_count(rows: DataFrame, answers: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows`` joined with ``answers`` on ``key``; answers has a row for each key, and in ``count`` how many rows hold it.
+def joined_by_count(rows: DataFrame, answers: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``answers`` on ``key``; answers has a row for each key, and in ``count`` how many of the ``total`` rows hold it.
 
     Keys of 1 / HOT_KEYS of all rows or more, of which there are at most HOT_KEYS, are broadcast, so that no task gets a hot key's
     rows; the others are joined by a shuffle.
     """
-    total = answers.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.broadcast(answers.where(F.col(count) * HOT_KEYS >= total))
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(answers, key))
 

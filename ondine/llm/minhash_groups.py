@@ -6,9 +6,10 @@ a class, and each class is treated once, however many copies it has. Classes tha
 
 1. each member is paired with the bucket's least member; pairs whose signatures agree too little go, the others are confirmed on
    their full sets; the links are joined to components by alternating large-star and small-star;
-2. in a bucket whose other members fall in several components, all members outside its largest component are compared
-   with all members on full sets, in tiles, and only links come out. So no link of two
-   classes that share a bucket is lost, and no list of pairs is made within a group.
+2. in a bucket whose other members fall in several components, all members outside its largest component meet
+   all members in tiles of bounded bytes, and only links come out. In a tile a pair is compared on its full sets only if both sets hold
+   one of the shingles that each has rarest in the tile, a fifth of its set: two sets of similarity 0.8 always do. So no link of two
+   classes that share a bucket is lost, no list of pairs is made within a group, and what many members share causes no comparisons.
 
 With 24 bands of 4 minima a pair at similarity 0.8 shares no bucket with a probability of 3e-6, and agrees in under
 60 % of 96 minima with one of 1e-6.
@@ -29,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondine.llm._common import staged
+from ondine.llm._common import joined_by_count, released, staged
 
 BANDS, ROWS = 24, 4
 #: Share of agreeing minima under which a pair is not confirmed on its sets.
 LEAST_AGREEMENT = 0.6
-#: Sides of a tile of a bucket that is compared whole.
-TILE_OUTSIDE, TILE_ALL = 1024, 4096
+#: Bytes of the sets on each side of a tile of a bucket that is compared whole; one set may be larger.
+TILE_BYTES = 4 << 20
 MIX, ONE_MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
 
 
@@ -133,37 +134,55 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its rarest shingles among all of ``sets``, as many as two linked sets can't both do without; with the numbers of their sets.
+
+    Linked sets share at least percent / 100 of either, so the first n - ceil(n * percent / 100) + 1 of both, in one
+    order of all shingles, hold one in common.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    names, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    order = np.lexsort((names[at], times[at], owner))
+    place = np.arange(len(every)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    first = place < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)
+    return every[order][first], owner[order][first]
+
+
 def _tile(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the tile's outside members and its members of other components."""
-    outside = np.flatnonzero(table.column("outside").to_numpy(zero_copy_only=False))
-    inside = np.flatnonzero(~table.column("outside").to_numpy(zero_copy_only=False).astype(bool))
-    fps, comps = table.column("fp").to_pylist(), np.array([c.hex() for c in table.column("comp").to_pylist()], object)
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("members").to_pylist()]
-    links: list[tuple[bytes, bytes]] = []
+    """Links between the tile's outside members and its members of other components; one link into each other component is enough."""
+    is_out = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+    outside, inside = np.flatnonzero(is_out), np.flatnonzero(~is_out)
+    links: list[tuple[int, int]] = []
     if len(outside) and len(inside):
-        sizes = np.array([len(sets[i]) for i in inside])
-        owner = np.repeat(np.arange(len(inside)), sizes)
-        every = np.concatenate([sets[i] for i in inside])
-        order = np.argsort(every, kind="stable")
-        owner, every = owner[order], every[order]
-        for i in outside:
-            x = sets[i]
-            low, high = np.searchsorted(every, x), np.searchsorted(every, x, "right")
-            counts = high - low
-            at = np.repeat(low - (counts.cumsum() - counts), counts) + np.arange(counts.sum())
-            both = np.bincount(owner[at], minlength=len(inside))
-            hit = (100 * both >= percent * (len(x) + sizes - both)) & (comps[inside] != comps[i])
-            # one link into each other component is enough
-            first = {comps[inside[j]]: inside[j] for j in np.flatnonzero(hit)}
-            links += [(fps[i], fps[j]) for j in first.values()]
-    return pa.table([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], names=["a", "b"])
+        _, comps = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("members").to_pylist()]
+        keys, owner = prefixes(sets, percent)
+        asked = is_out[owner]
+        there, of = keys[~asked], owner[~asked]
+        order = np.argsort(there, kind="stable")
+        there, of = there[order], of[order]
+        low, high = np.searchsorted(there, keys[asked]), np.searchsorted(there, keys[asked], "right")
+        who, starts = owner[asked], np.cumsum([0, *np.bincount(np.searchsorted(outside, owner[asked]), minlength=len(outside))])
+        by = np.argsort(who, kind="stable")
+        for k, i in enumerate(outside.tolist()):
+            mine = by[starts[k] : starts[k + 1]]
+            met = np.unique(np.concatenate([of[a:b] for a, b in zip(low[mine], high[mine])])) if len(mine) else mine
+            done = {comps[i]}
+            for j in met.tolist():
+                if comps[j] not in done and min(len(sets[i]), len(sets[j])) * 100 >= percent * max(len(sets[i]), len(sets[j])) and linked(sets[i], sets[j], percent):
+                    done.add(comps[j])
+                    links.append((i, j))
+    fps = table.column("fp")
+    a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+    return pa.table([fps.take(a).combine_chunks(), fps.take(b).combine_chunks()], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """Per node of the links (a, b): node and comp, the least node it reaches, by alternating large-star and small-star.
 
-    Every round is staged; the rounds end when the edges stay the same. Both steps take the least neighbour by sums on the
-    map side and a join, so a node with very many edges is no group in one task.
+    Every round is staged and the one before released; the rounds end when the edges stay the same. Both steps take the least neighbour by sums on the
+    map side and a join that treats nodes of very many edges apart, so such a node is no group in one task.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
@@ -173,12 +192,15 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by_count(both, least, "u", "n", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # after large-star a node has few edges downwards but where it links many components
+        small = joined_by_count(large, least, "u", "n", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        released(edges, large)
+        edges = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
@@ -204,11 +226,14 @@ def groups(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id
     links = held.select("a", "b", "x", "y").mapInArrow(lambda it: _confirmed(it, percent), "a binary, b binary")
     comps = staged(components(links), "components")
 
-    wide = live.where("size > 2").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    wide = live.where("size > 2").select("bucket", "fp", "leader").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     parts = wide.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.count_if(F.col("fp") != F.col("leader")).alias("others"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("out"), F.count_if(F.col("others") > 0).alias("k")).where("k > 1")
-    open_ = staged(wide.join(mixed, "bucket").select("bucket", "fp", "comp", "main", "all", "out").join(sets, "fp"), "open")
-    belts, stripes = F.ceil(F.col("out") / TILE_OUTSIDE), F.ceil(F.col("all") / TILE_ALL)
+    mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count_if(F.col("others") > 0).alias("k")).where("k > 1").drop("k")
+    open_ = staged(wide.join(mixed, "bucket").select("bucket", "fp", "comp", "main").join(sets, "fp"), "open")
+    held = F.octet_length("members")
+    sums = open_.groupBy("bucket").agg(F.sum(held).alias("all"), F.sum(F.when(F.col("comp") != F.col("main"), held).otherwise(0)).alias("out"))
+    open_kept, open_ = open_, open_.join(sums, "bucket")
+    belts, stripes = F.ceil(F.col("out") / TILE_BYTES), F.ceil(F.col("all") / TILE_BYTES)
     dealt = lambda count, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), count)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
     asked = open_.where("comp <> main").select("bucket", "fp", "comp", "members", dealt(belts, 1).alias("i"), every(stripes).alias("j"), F.lit(True).alias("outside"))
@@ -219,12 +244,15 @@ def groups(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id
     between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
     joined = components(between)
 
-    first = base.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("comp", "fp")).drop("comp")
-    named = first.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("comp", "c"))).select("id", "key", "n", "group")
+    # rows without a shingle are left out of the joins, where they would share one key
+    first = base.where("n > 0").select("id", "key", "n", "fp").join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("comp", "fp")).drop("comp")
+    named = first.join(joined.withColumnRenamed("node", "c"), "c", "left").select("id", "key", "n", F.coalesce("comp", "c").alias("group"))
     named = staged(named, "grouped")
-    least = named.where("n > 0").groupBy("group").agg(F.min("id").alias("component"), F.min_by(F.struct("id", "key"), F.struct(F.isnull("id"), "id", "key")).alias("first"))
-    out = named.join(least, "group", "left")
-    return out.select("id", "key", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "first")
+    alone = staged(base.where("n = 0").select("id", "key", "n"), "empty-sets")
+    least = named.groupBy("group").agg(F.min("id").alias("component"), F.min_by(F.struct("id", "key"), F.struct(F.isnull("id"), "id", "key")).alias("first"), F.count("*").alias("rows"))
+    out = joined_by_count(named, least, "group", "rows", named.count())
+    released(base, live, near, sets, comps, open_kept, more)
+    return out.select("id", "key", "n", "component", "first").unionByName(alone.select("id", "key", "n", F.col("id").alias("component"), F.lit(None).cast(out.schema["first"].dataType).alias("first")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

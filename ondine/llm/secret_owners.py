@@ -82,7 +82,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """Per row: ``__id``, ``__text``, ``__row``, and ``__spans`` with owners, repositories and ``live``; opaque ones of several owners are gone."""
     rows = staged(candidates(docs, id_col, text_col, source_col).withColumn("__row", F.monotonically_increasing_id()), "secret-spans")
     each = staged(spans(rows), "secret-places")
-    known = joined_by_count(each, staged(owners(each), "secret-owners"), "hash", "n_spans")
+    known = joined_by_count(each, staged(owners(each), "secret-owners"), "hash", "n_spans", each.count())
     kept = known.where((F.col("kind") < 3) | (F.col("n_owners") == 1))
     one = F.struct("at", "kind", "end", "hash", "n_owners", "n_repos", (F.col("n_owners") < widely).alias("live"))
     back = kept.groupBy("__row").agg(F.array_sort(F.collect_list(one)).alias("__spans"))

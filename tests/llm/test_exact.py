@@ -216,6 +216,55 @@ def test_near_duplicates_of_a_chain_and_a_crowd(spark):
     assert rows(minhash_groups.near_duplicates(df, 2)) == brute_groups(df.collect(), 2)
 
 
+def mixed_bucket(rng, count, shared=200, own=120):
+    """Sets that share most of what they hold but not enough to be linked, a few of them near copies of others."""
+    common = rng.integers(0, 1 << 62, shared).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 62, own).astype(np.uint64)])) for _ in range(count)]
+    for i in range(0, count, 10):
+        sets[i] = np.unique(np.concatenate([sets[i + 1][: -int(rng.integers(1, 50))], rng.integers(0, 1 << 62, 9).astype(np.uint64)]))
+    return sets
+
+
+@pytest.mark.parametrize("percent", [80, 100, 55])
+def test_tiles_lose_no_link(percent):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(percent)
+    sets = [*mixed_bucket(rng, 60), *(np.arange(n, dtype=np.uint64) for n in (1, 1, 2, 4, 5, 5, 6))]
+    comps = [bytes([i % 23]) for i in range(len(sets))]
+    outside = [i % 3 == 0 for i in range(len(sets))]
+    table = pa.table({"fp": pa.array([i.to_bytes(2) for i in range(len(sets))], pa.binary()), "comp": pa.array(comps, pa.binary()), "members": pa.array([s.tobytes() for s in sets], pa.binary()), "outside": outside})
+    got = {(int.from_bytes(a), comps[int.from_bytes(b)]) for a, b in zip(*(c.to_pylist() for c in minhash_groups._tile(table, percent).columns))}
+    want = {(i, comps[j]) for i in range(len(sets)) for j in range(len(sets)) if outside[i] and not outside[j] and comps[i] != comps[j] and minhash_groups.linked(sets[i], sets[j], percent)}
+    assert got == want and want
+
+
+def test_a_large_mixed_bucket_needs_few_comparisons(monkeypatch):
+    import pyarrow as pa
+
+    sets = mixed_bucket(np.random.default_rng(1), 6000)
+    calls = []
+    monkeypatch.setattr(minhash_groups, "linked", lambda x, y, p, f=minhash_groups.linked: calls.append(1) or f(x, y, p))
+    both = [*range(6000)] * 2
+    table = pa.table({"fp": pa.array([i.to_bytes(2) for i in both], pa.binary()), "comp": pa.array([i.to_bytes(2) for i in both], pa.binary()), "members": pa.array([sets[i].tobytes() for i in both], pa.binary()), "outside": [True] * 6000 + [False] * 6000})
+    found = minhash_groups._tile(table, 80)
+    assert found.num_rows >= 500 and len(calls) < 10_000  # of 36 million pairs
+
+
+def test_mixed_buckets_in_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(minhash_groups, "TILE_BYTES", 3000)
+    rng = random.Random(14)
+    docs = []
+    for g in range(6):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(90)]
+        for i in range(25):
+            own = base[:70] + [f"x{rng.randint(0, 10**6)}" for _ in range(20)] if i % 5 else list(base)
+            own[rng.randrange(90)] = "y"
+            docs.append((g * 100 + i, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows(minhash_groups.near_duplicates(df, 2)) == brute_groups(df.collect(), 2)
+
+
 def test_one_of_each_group_stays(hard):
     kept = minhash_groups.deduplicated(hard, 2)
     assert kept.columns == hard.columns
