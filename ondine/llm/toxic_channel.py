@@ -34,8 +34,8 @@ FEATURES = 4096
 LEAST_DOCUMENTS = 4
 #: Lower bound of the share of toxic documents from which on a feature counts by itself.
 CERTAIN = 0.97
-#: Words that a worker remembers before it starts anew.
-TABLE_WORDS = 400_000
+#: Words that a worker remembers before it starts anew, and the length from which on a word is not kept.
+TABLE_WORDS, LONG = 400_000, 200
 
 #: Signs and the letters that they may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y", "§": "s", "µ": "u"}
@@ -179,7 +179,9 @@ class Scorer:
             words.clear()
         get = self.weights.get
         found = {i for w in readings(word, self.chars) for f in forms(w) if (i := get(f)) is not None}
-        words[word] = out = tuple(found)
+        out = tuple(found)
+        if len(word) < LONG:
+            words[word] = out
         return out
 
     def score(self, text: str | None) -> float:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from ondine.llm import crf_language, nbsvm_quality, toxic_channel
 from ondine.llm.toxic_channel import CharModel, K, codes, restored
@@ -113,6 +115,106 @@ def test_quality_held_out(learned):
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
 
 
+def brute_quality(text):
+    """Each n-gram by itself, with Python's integers."""
+    m, mult = (1 << 64) - 1, int(nbsvm_quality.MULTIPLY)
+
+    def bucket(gram, salt):
+        h = salt
+        for x in gram:
+            h = (h ^ x) * mult & m
+            h ^= h >> 29
+        return h >> 48
+
+    def grams(x, n, salt):
+        return {bucket(x[i : i + n], salt) for i in range(len(x) - n + 1)}
+
+    data = (text or "").encode()
+    words = data.split()
+    if not words:
+        return set()
+    kind = [0 if b <= 32 or b == 127 else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b > 127 else b for b in data]
+    runs = [(k, len(list(g))) for k, g in itertools.groupby(kind)]
+    signs = [k * 4 + min(n, 3) for k, n in runs]
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    n, parted = len(data), sum(k == 0 for k, _ in runs)
+    lines = text.split("\n")
+    share = [sum(k == 2 for k in kind) / n, sum(k == 3 for k in kind) / n, sum(k > 4 for k in kind) / n, sum(k == 4 for k in kind) / n, sum(k == 0 for k in kind) / n]
+    share += [len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words), sum(w.isupper() for w in words) / len(words)]
+    share += [len(set(lines)) / len(lines), min(1, math.log1p(len(words)) / 12), min(1, (sum(map(len, words)) + parted) / len(words) / 20)]
+    steps = {bucket([i * 20 + j], 6) for i, s in enumerate(share) for j in range(20) if (j + 1) / 20 <= s}
+    return grams(hashes, 1, 1) | grams(hashes, 2, 2) | grams([*map(ord, text)], 3, 3) | grams(signs, 4, 4) | grams(signs, 2, 5) | steps
+
+
+def test_quality_query_against_brute_force(spark, learned, hard):
+    """Indicators, ratios and scores of the query, each computed again from the texts."""
+    rows, docs, marks = learned
+    model = nbsvm_quality.train(docs, marks)
+    for df in (docs, hard):
+        got = Counter((r.doc_id, round(r.score, 9), r.predicted) for r in nbsvm_quality.scores(df, model).collect())
+        want = Counter()
+        for r in df.collect():
+            at = sorted(brute_quality(r.text))
+            assert nbsvm_quality.features(r.text).tolist() == at
+            z = sum(model.weights[i] for i in at) / max(1e-9, math.sqrt(sum(model.squares[i] for i in at))) + model.bias
+            score = 1 / (1 + math.exp(-(model.slope * z + model.shift)))
+            want[r.doc_id, round(score, 9), int(score >= 0.3)] += 1
+        assert got == want
+    train = [r for r in sorted(rows) if zlib.crc32(str(r[0]).encode()) % 5]
+    assert nbsvm_quality.train(docs, marks, most_features=1).score("x") == 0.5
+    counts = {1: Counter(), 0: Counter()}
+    some = nbsvm_quality.fit([nbsvm_quality.features(r[1]) for r in train], np.array([r[4] for r in train]))
+    for i, r in enumerate(train):
+        if i % 5 != 4:
+            counts[r[4]].update(brute_quality(r[1]))
+    total = {k: nbsvm_quality.BUCKETS + sum(c.values()) for k, c in counts.items()}
+    for i in range(0, nbsvm_quality.BUCKETS, 501):
+        ratio = math.log((counts[1][i] + 1) / total[1]) - math.log((counts[0][i] + 1) / total[0]) if counts[1][i] + counts[0][i] > 2 else 0
+        assert some.squares[i] == pytest.approx(ratio**2)
+
+
+def test_toxicity_query_against_brute_force(spark, learned, hard):
+    """Scores of the query from the readings of each token and run, without the worker's table."""
+    model = toxic_channel.train(*learned[1:])
+    for df in (learned[1], hard):
+        got = Counter((r.doc_id, round(r.score, 9), r.predicted) for r in toxic_channel.scores(df, model).collect())
+        want = Counter()
+        for r in df.collect():
+            forms = toxic_channel.document_forms(r.text, model.chars)
+            held = sorted(model.weights[f] for f in forms if f in model.weights)
+            z = max([model.bias + sum(model.values[i] for i in held), *(model.alone[i] for i in held)])
+            want[r.doc_id, round(1 / (1 + math.exp(-z)), 9), int(z >= 0)] += 1
+        assert got == want
+
+
+def test_language_query_against_brute_force(learned, hard):
+    """Texts one by one, their posteriors from plain forward and backward steps."""
+    field = crf_language.train(learned[1])
+    a, pi, n = np.exp(field.transitions), np.exp(field.starts), 0
+    for df in (learned[1].limit(60), hard):
+        got = {}
+        for r in crf_language.predictions(df, field).collect():
+            got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+        for r in df.collect():
+            words = [w for t in (r.text or "").split() if (w := crf_language.plain(t))]
+            if len(words) > 2000:
+                continue
+            if not words:
+                assert ("und", 0.0) in got[r.doc_id]
+                continue
+            score = np.array([field.weights[crf_language.word_features(w, field.lexicon)].sum(0) for w in words])
+            e = np.exp(score - score.max(1, keepdims=True)) + 1e-12
+            forward, backward = [pi * e[0]], [np.ones(len(pi))]
+            for t in range(1, len(e)):
+                forward.append((forward[-1] / forward[-1].sum()) @ a * e[t])
+                backward.insert(0, a @ (e[-t] * backward[0] / backward[0].sum()))
+            gamma = np.array(forward) * np.array(backward)
+            share = (gamma / gamma.sum(1, keepdims=True)).mean(0)
+            assert any(lang == field.languages[share.argmax()] and abs(x - min(1, share.max())) < 1e-5 for lang, x in got[r.doc_id])
+            n += 1
+    assert n > 60
+
+
 def test_dual_descent_reaches_the_optimum():
     """Against a fine gradient descent of the same objective."""
     rng = np.random.default_rng(0)
