@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns
 of documents. A row that is toxic goes, of near-duplicates one row stays, live-looking secrets are cut from the texts, sources
 are mixed to their targets by repeating and leaving out rows, and what is left is encoded and decoded again.
+
+Null texts count as empty: the model's bias scores them, they are no one's duplicate, hold no secret and have size 0, so the mix
+repeats them as often as what stands beside them in its queue. Null ids and sources are values of their own. Rows that agree in id and text are duplicates, of which
+one stays; rows that share only an id are documents of their own. Very long texts are worked on whole. Further columns pass through all stages but
+the last, whatever their names; ``n_chars`` follows the text where it is there. Without rows every stage returns none.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are replaced by a mark, and n_chars follows; no row goes."""
     cut = secret_owners.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -48,16 +55,11 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 ORACLE_SQL = None
 
 
-def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that the last stage returns; the query ``pipeline``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents one after the other; each but the last is written and read again."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{name}")
     return docs
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids alone, without what the check of decoding adds."""
-    return whole(spark, sf_dir).select("doc_id", "n_tokens", "ids")
