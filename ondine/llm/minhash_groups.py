@@ -238,7 +238,8 @@ def groups(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
     asked = open_.where("comp <> main").select("bucket", "fp", "comp", "members", dealt(belts, 1).alias("i"), every(stripes).alias("j"), F.lit(True).alias("outside"))
     there = open_.select("bucket", "fp", "comp", "members", every(belts).alias("i"), dealt(stripes, 2).alias("j"), F.lit(False).alias("outside"))
-    more = asked.unionByName(there).groupBy("bucket", "i", "j").applyInArrow(lambda t: _tile(t, percent), "a binary, b binary")
+    # dealt anew: the join before it would leave all tiles of a bucket in one task
+    more = asked.unionByName(there).repartition("bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(lambda t: _tile(t, percent), "a binary, b binary")
     more = staged(more, "more-links")
     label = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"))
     between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
