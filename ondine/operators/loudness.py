@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ondine.functions.scalar import INF, at_share, at_share_capped, db_from_linear, finite, lufs_from_power
-from ondine.operators.filters import BANDS, band_pass, k_weighted, mapped
+from ondine.operators.filters import BANDS, band_pass, k_weighting, mapped
 from ondine.operators.framing import frames, hops, sliding_sums
 
 #: Mean square of -70 LUFS.
@@ -24,8 +24,7 @@ def power(*channels: str) -> Column:
 def weighted(signals: DataFrame, rate: int) -> DataFrame:
     """K-weights both channels."""
     raw = signals.select("track", "n", F.col("l").alias("l0"), F.col("r").alias("r0"))
-    kernel = lambda x: k_weighted(x, rate)
-    return mapped(raw, {"l": ("l0", kernel), "r": ("r0", kernel)}).select("track", "n", "l", "r")
+    return mapped(raw, {"l": ("l0", k_weighting(rate)), "r": ("r0", k_weighting(rate))}).select("track", "n", "l", "r")
 
 
 def windows(signals: DataFrame, rate: int, seconds: float) -> DataFrame:
@@ -104,16 +103,22 @@ def timeline(short: DataFrame, points: int = 200) -> DataFrame:
     return own.where(F.col("size") <= points).select("track", F.col("j").cast("bigint").alias("k"), "lufs").unionByName(made)
 
 
-def true_peak(signals: DataFrame, *channels: str) -> DataFrame:
-    """Largest value of the four-fold interpolated channels in dB; of the samples themselves for fewer than 12."""
-    order = Window.partitionBy("track").orderBy("n")
+def true_peak(signals: DataFrame, *channels: str, block: int = 1 << 16) -> DataFrame:
+    """Largest value of the four-fold interpolated channels in dB; of the samples themselves for fewer than 12.
+
+    A block of a track's samples is filtered by itself; the 11 samples before it come along.
+    """
+    own = F.floor(F.col("n") / block)
+    rows = signals.select("track", "n", *channels).withColumn("block", F.explode(F.when(F.col("n") % block >= block - 11, F.array(own, own + 1)).otherwise(F.array(own))))
+    order = Window.partitionBy("track", "block").orderBy("n")
     taps = {c: [F.lag(c, k).over(order) if k else F.col(c) for k in range(12)] for c in channels}
     levels = [F.abs(sum((t[k] * p[k] for k in range(1, 12)), t[0] * p[0])) for t in taps.values() for p in PHASES]
-    size = F.count("*").over(Window.partitionBy("track"))
     plain = F.greatest(*[F.abs(c) for c in channels]) if len(channels) > 1 else F.abs(channels[0])
-    made = signals.select("track", F.when(size < 12, plain).when(F.col("n") >= 11, F.greatest(*levels)).alias("level"), plain.alias("sample"))
-    out = made.groupBy("track").agg(F.max("level").alias("peak"), F.max("sample").alias("sample"))
-    return out.select("track", db_from_linear(F.col("peak")).alias("true_peak_db"), db_from_linear(F.col("sample")).alias("sample_peak_db"))
+    here = F.col("block") == own
+    made = rows.select("track", "n", F.when(here & (F.col("n") >= 11), F.greatest(*levels)).alias("level"), plain.alias("sample"))
+    out = made.groupBy("track").agg(F.max("level").alias("peak"), F.max("sample").alias("sample"), F.max("n").alias("last"))
+    peak = F.when(F.col("last") < 11, F.col("sample")).otherwise(F.col("peak"))
+    return out.select("track", db_from_linear(peak).alias("true_peak_db"), db_from_linear(F.col("sample")).alias("sample_peak_db"))
 
 
 def verified_peak(reported: Column, fallback: Column) -> Column:
@@ -125,8 +130,7 @@ def verified_peak(reported: Column, fallback: Column) -> Column:
 def per_band(signals: DataFrame, rate: int) -> DataFrame:
     """Gated loudness of each band that lies below the Nyquist frequency: (track, band, lufs); null where there is none."""
     usable = [(name, low, min(high, rate / 2 * 0.95)) for name, low, high in BANDS if low < min(high, rate / 2 * 0.95)]
-    chain = lambda low, high: lambda x: k_weighted(band_pass(x, low, high, rate), rate)
-    kernels = {f"{c}_{name}": (c, chain(low, high)) for name, low, high in usable for c in ("l", "r")}
+    kernels = {f"{c}_{name}": (c, band_pass(low, high, rate) + k_weighting(rate)) for name, low, high in usable for c in ("l", "r")}
     wide = mapped(signals.select("track", "n", "l", "r"), kernels)
     each = [wide.select(F.concat_ws("\x00", F.col("track").cast("string"), F.lit(name)).alias("track"), "n", F.col(f"l_{name}").alias("l"), F.col(f"r_{name}").alias("r")) for name, _, _ in usable]
     rows = each[0]

@@ -63,14 +63,14 @@ def width(signals: DataFrame) -> DataFrame:
 
 def band_width(signals: DataFrame, rate: int, low: float, high: float) -> DataFrame:
     """The same within a band."""
-    kernel = lambda x: band_pass(x, low, high, rate)
+    kernel = band_pass(low, high, rate)
     made = mapped(signals.select("track", "n", "l", "r"), {"a": ("l", kernel), "b": ("r", kernel)}).groupBy("track").agg(*_mid_side("a", "b"))
     return made.select("track", F.when(F.col("mid") > 0, clamp(F.col("side") / F.col("mid") * 100, 0.0, 300.0)).otherwise(0.0).alias("width"))
 
 
 def sub_bass(signals: DataFrame, rate: int, low: float = 20.0, high: float = 120.0) -> DataFrame:
     """Correlation of the lowest band, whether it is safe in mono, and whether its phase is wrong."""
-    kernel = lambda x: band_pass(x, low, high, rate)
+    kernel = band_pass(low, high, rate)
     made = correlation(mapped(signals.select("track", "n", "l", "r"), {"a": ("l", kernel), "b": ("r", kernel)}), "a", "b")
     return made.select("track", "correlation", (F.col("correlation") > 0.8).alias("mono_compatible"), (F.col("correlation") < 0.5).alias("phase_issues"))
 

@@ -119,14 +119,14 @@ def pole(cut: float) -> str:
 @query(f"""with recursive {SHORT}, y as (select track, n, (1 - {pole(100)}) * mono as y from short where n = 0 union all select s.track, s.n, (1 - {pole(100)}) * s.mono + {pole(100)} * y.y from y join short s on s.track = y.track and s.n = y.n + 1)
   select track, n, round(y, 6) as y from y""")
 def q_one_pole_lp(spark, d):
-    made = filters.mapped(short_signals(spark, d).select("track", "n", "mono"), {"y": ("mono", lambda x: filters.low_pass(x, 100, RATE))})
+    made = filters.mapped(short_signals(spark, d).select("track", "n", "mono"), {"y": ("mono", filters.low_pass(100, RATE))})
     return rounded(made.select("track", "n", "y"))
 
 
 @query(f"""with recursive {SHORT}, y as (select track, n, (1 - {pole(100)}) * mono as y from short where n = 0 union all select s.track, s.n, (1 - {pole(100)}) * s.mono + {pole(100)} * y.y from y join short s on s.track = y.track and s.n = y.n + 1)
   select track, n, round(mono - y, 6) as y from y join short using (track, n)""")
 def q_one_pole_hp(spark, d):
-    made = filters.mapped(short_signals(spark, d).select("track", "n", "mono"), {"y": ("mono", lambda x: filters.high_pass(x, 100, RATE))})
+    made = filters.mapped(short_signals(spark, d).select("track", "n", "mono"), {"y": ("mono", filters.high_pass(100, RATE))})
     return rounded(made.select("track", "n", "y"))
 
 
@@ -140,7 +140,7 @@ def band_sql(name: str, low: float, high: float, columns: str = "mono") -> str:
 
 @query(f"with recursive {SHORT}, {band_sql('bp', 50, 200)} select track, n, round(mono_y, 6) as y from bp")
 def q_one_pole_bandpass(spark, d):
-    made = filters.mapped(short_signals(spark, d).select("track", "n", "mono"), {"y": ("mono", lambda x: filters.band_pass(x, 50, 200, RATE))})
+    made = filters.mapped(short_signals(spark, d).select("track", "n", "mono"), {"y": ("mono", filters.band_pass(50, 200, RATE))})
     return rounded(made.select("track", "n", "y"))
 
 

@@ -15,16 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _signal(items: DataFrame, track: Column) -> DataFrame:
+#: Order keys of a stretch in which a long track's samples are numbered by themselves.
+STRETCH = 1 << 14
+
+
+def _signal(items: DataFrame, track: Column, long: bool = False) -> DataFrame:
+    """Samples numbered in ORDER. A long track is numbered stretch by stretch of its first order key, so that no task sorts a
+    whole track, and a row for each stretch carries the number of samples before it."""
     rows = items.select(track.alias("track"), *ORDER)
     n = F.row_number().over(Window.partitionBy("track").orderBy(*ORDER)).cast("bigint") - 1
+    if long:
+        stretch = F.floor(F.col("l_orderkey") / STRETCH)
+        before = Window.partitionBy("track").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy("track", stretch.alias("stretch")).agg(F.count("*").alias("size"))
+        counts = counts.select("track", "stretch", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+        rows = rows.withColumn("stretch", stretch).join(counts, ["track", "stretch"])
+        n = F.col("before") + F.row_number().over(Window.partitionBy("track", "stretch").orderBy(*ORDER)) - 1
     left, right = (F.col("l_quantity") - 25.5) / 24.5, F.col("l_discount") * 20 - 1
     return rows.select("track", n.alias("n"), left.alias("l"), right.alias("r")).withColumn("mono", (F.col("l") + F.col("r")) / 2)
 
 
 def long_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few long tracks: (track, n, l, r, mono)."""
-    return _signal(table(spark, sf_dir, "lineitem"), F.concat("l_returnflag", "l_linestatus"))
+    return _signal(table(spark, sf_dir, "lineitem"), F.concat("l_returnflag", "l_linestatus"), long=True)
 
 
 def short_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

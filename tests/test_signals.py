@@ -99,3 +99,35 @@ def test_spectrum_and_distortion(spark):
 def test_guards(spark):
     row = spark.range(1).select(X.db_from_linear(F.lit(0.0)).alias("zero"), X.db_from_linear(F.lit(float("nan"))).alias("nan"), X.upper_median(F.array(F.lit(1.0), F.lit(2.0))).alias("m"), X.next_power_of_2(F.lit(65)).alias("p"), X.duration_text(F.lit(3661.9)).alias("t"), X.pitch_class(F.lit(440.0)).alias("a")).first()
     assert row.zero == row.nan == float("-inf") and row.m == 2.0 and row.p == 128 and row.t == "1:01:01" and row.a == 9
+
+
+def test_blocks_of_a_track_agree_with_the_whole(spark):
+    """Tracks of many blocks, of one, and of less than a section's memory; all chains at once."""
+    rng = np.random.default_rng(5)
+    tracks = {"a": rng.normal(size=1000), "b": rng.normal(size=300), "c": rng.normal(size=299), "d": np.ones(1), "e": np.ones(2)}
+    df = spark.createDataFrame([(t, n, float(v), float(-v)) for t, x in tracks.items() for n, v in enumerate(x)], "track string, n bigint, x double, z double")
+    chains = {"k": filters.k_weighting(48000), "bp": filters.band_pass(100, 5000, 48000), "both": filters.band_pass(20, 80, 48000) + filters.k_weighting(44100), "hp": filters.high_pass(300, 48000)}
+    kernels = {name: ("z" if name == "bp" else "x", chain) for name, chain in chains.items()}
+    got = {(r.track, r.n): r for r in filters.mapped(df, kernels, size=100).collect()}
+    assert len(got) == sum(map(len, tracks.values()))
+    for t, x in tracks.items():
+        for name, chain in chains.items():
+            y = -x if name == "bp" else x
+            for b, a in chain:
+                out = []
+                for n in range(len(y)):
+                    out.append(sum(c * y[n - k] for k, c in enumerate(b) if n >= k) - sum(c * out[n - k] for k, c in enumerate(a) if k and n >= k))
+                y = np.array(out)
+            assert max(abs(got[t, n][name] - y[n]) for n in range(len(x))) < 1e-9
+
+
+def test_true_peak_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    tracks = {"a": rng.normal(size=100), "b": rng.normal(size=25), "c": rng.normal(size=11), "d": rng.normal(size=12), "e": rng.normal(size=13)}
+    df = spark.createDataFrame([(t, n, float(v)) for t, x in tracks.items() for n, v in enumerate(x)], "track string, n bigint, x double")
+    want = {r.track: r.true_peak_db for r in loudness.true_peak(df, "x").collect()}
+    for block in (12, 13, 25, 50):
+        assert {r.track: r.true_peak_db for r in loudness.true_peak(df, "x", block=block).collect()} == want
+    for t, x in tracks.items():
+        level = max((abs(sum(p[k] * x[n - k] for k in range(12))) for n in range(11, len(x)) for p in loudness.PHASES), default=max(abs(x)))
+        assert want[t] == pytest.approx(20 * np.log10(level), abs=1e-9)
