@@ -131,3 +131,16 @@ def test_true_peak_in_blocks(spark):
     for t, x in tracks.items():
         level = max((abs(sum(p[k] * x[n - k] for k in range(12))) for n in range(11, len(x)) for p in loudness.PHASES), default=max(abs(x)))
         assert want[t] == pytest.approx(20 * np.log10(level), abs=1e-9)
+
+
+def test_a_sine_has_its_record(spark, sine):
+    """All operators together on a signal of known measures; two equal channels of 1 kHz at an amplitude of 0.3055 measure -10.29 LUFS."""
+    from ondine import analysis
+
+    (r,) = analysis.track_record(sine, RATE).collect()
+    assert r.lufs == pytest.approx(-10.29, abs=0.05) and r.tp == pytest.approx(-10.29, abs=0.05) and r.crest == pytest.approx(3.01, abs=0.01)
+    assert r.corr == pytest.approx(1) and r.plr == pytest.approx(r.tp - r.lufs) and not r.clipped and not r.true_stereo and r.seconds == 2
+    assert [w.code for w in r.warnings if w.code == "dual_mono"] and not r.issues
+    (a,) = analysis.album_report(analysis.numbered(analysis.track_record(sine, RATE), sine.select("track", F.lit("x").alias("album")).distinct())).collect()
+    assert a.tracks == 1 and a.avg_lufs == pytest.approx(r.lufs, abs=0.06) and a.ready and a.worst_jump == 0
+    assert analysis.track_record(sine.limit(0), RATE).count() == 0
