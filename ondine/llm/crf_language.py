@@ -26,8 +26,6 @@ from ondine.llm._common import staged
 
 #: Bounds of the sample: labelled rows, and segments and words of a segment that each gives.
 SAMPLE_ROWS, SEGMENTS, SEGMENT_WORDS = 4_000, 4, 24
-#: Rows of one language at most; up to here Spark keeps the first rows of a window's group before it shuffles.
-PARTIAL = 1_000
 #: Words that are in the lexicon of a language, hashed feature buckets, gradient steps.
 LEXICON, BUCKETS, STEPS = 2_000, 1 << 16, 40
 #: Segments of a training chain, steps of a column, words that are labelled together.
@@ -242,11 +240,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learns from labelled rows outside the held-out fold: of each language ``most`` by the number of languages (one at least), by the hash of their ids."""
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    kinds = rows.agg(F.count_distinct("lang")).first()[0]
-    part = min(PARTIAL, max(1, most // max(1, kinds)))
-    # a task passes on `part` rows of a language at most, so the window gets few rows, however common a language is
+    sizes = staged(rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids")), "languages")
+    kinds = sizes.count()
+    part = max(1, most // max(1, kinds))
+    # by another hash only some three times the part are drawn, however common a language is; the window takes the part of these
+    share = (3 * part + 30) / F.col("ids")
+    drawn = rows.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30)).select("id", "lang").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= part).select("id", "lang").distinct()
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= part).select("id", "lang")
     sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_segments, "id bigint, lang string, words array<string>")
     found = staged(sample, "segments").orderBy(F.xxhash64("words", "id"), "lang", "words").limit(max(most, kinds) * SEGMENTS).toArrow()
     return fit(found.column("words").to_pylist(), found.column("lang").to_pylist())
