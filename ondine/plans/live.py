@@ -14,10 +14,8 @@ from ondine.streaming import live
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new temporary one where the session names none."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ondine-stream-")).rstrip("/")
+    """The folder that driver and executors share; one of the warehouse where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ondine"
 
 
 def source(spark: SparkSession, d: str) -> DataFrame:
@@ -34,14 +32,15 @@ def source(spark: SparkSession, d: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all there is and returns what its sink holds at the end."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        # a batch that is tried again replaces what it wrote; a complete one replaces all before it
+        batch.write.mode("overwrite").parquet(f"{base}/out/{0 if mode == 'complete' else number}")
 
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     running.awaitTermination()
-    made = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    made = spark.read.schema(stream.schema).parquet(f"{base}/out/*")
     return made.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in made.dtypes])
 
 
