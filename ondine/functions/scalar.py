@@ -30,6 +30,18 @@ def clamp(x: Column, low, high) -> Column:
     return F.greatest(lit(low), F.least(lit(high), x))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Text of a number with ``digits`` decimals, rounded by the exact value of the double; a value in the middle goes away from zero.
+
+    The formatter takes exact values but sends middles to even digits. A double in the middle is an odd multiple of
+    2 ** -(digits + 1), which scaling by a power of two shows without error; its decimal form is short, and exact.
+    """
+    scaled = F.abs(x) * float(1 << digits)
+    middle = scaled - F.floor(scaled) == 0.5
+    pattern = F.lit("0." + "0" * digits if digits else "0")
+    return F.call_function("format_number", F.when(middle, F.round(x, digits)).otherwise(x), pattern)
+
+
 def half_up(x: Column) -> Column:
     """Rounds halves towards plus infinity."""
     return F.floor(x + 0.5)

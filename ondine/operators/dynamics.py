@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,25 +91,47 @@ def attack_speed(signals: DataFrame, window: int, rate: int) -> DataFrame:
 
 
 def release_tail(signals: DataFrame, window: int, rate: int) -> DataFrame:
-    """Upper median of the time from an envelope's local maxima to the first level 10 dB lower.
+    """Upper median of the time from an envelope's local maxima to the first level 10 dB lower, of times below two seconds.
 
-    The envelope is packed per track; for each peak the first later place is found by ``array_position`` over what follows.
+    Two seconds are a fixed number of frames, so a peak meets the levels of two blocks of that many frames and no others.
     """
     hop_ms = window // 2 / rate * 1000
-    packed = envelope(signals, window).groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "level"))), lambda x: x["level"]).alias("v"))
-    at = packed.select("track", "v", F.posexplode("v").alias("i", "x"))
-    before, after = F.get("v", F.col("i") - 1), F.get("v", F.col("i") + 1)
-    peaks = at.where((F.col("i") > 0) & (F.col("x") > before) & (F.col("x") > after) & (F.col("x") > -40))
-    later = F.transform(F.slice("v", F.col("i") + 2, F.size("v")), lambda y: y <= F.col("x") - 10)
-    ms = F.array_position(later, F.lit(True)) * hop_ms
-    tails = peaks.select("track", ms.alias("ms")).groupBy("track").agg(upper_median(F.collect_list(F.when((F.col("ms") > 0) & (F.col("ms") < 2000), F.col("ms").cast("double")))).alias("tail_ms"))
-    return packed.select("track").join(tails, "track", "left").select("track", F.coalesce("tail_ms", F.lit(0.0)).alias("tail_ms"))
+    reach = math.ceil(2000 / hop_ms)
+    levels = envelope(signals, window)
+    order = Window.partitionBy("track").orderBy("frame")
+    around = levels.withColumns({"before": F.lag("level").over(order), "after": F.lead("level").over(order)})
+    peaks = around.where((F.col("level") > F.col("before")) & (F.col("level") > F.col("after")) & (F.col("level") > -40))
+    block = F.floor(F.col("frame") / reach)
+    peaks = peaks.select("track", F.col("frame").alias("peak"), F.col("level").alias("top"), F.explode(F.array(block, block + 1)).alias("block"))
+    near = peaks.join(levels.withColumn("block", block), ["track", "block"])
+    lower = near.where((F.col("frame") > F.col("peak")) & (F.col("level") <= F.col("top") - 10))
+    ms = lower.groupBy("track", "peak").agg(((F.min("frame") - F.col("peak")) * hop_ms).alias("ms"))
+    tails = ms.where("ms < 2000").groupBy("track").agg(upper_median(F.collect_list("ms")).alias("tail_ms"))
+    return levels.select("track").distinct().join(tails, "track", "left").select("track", F.coalesce("tail_ms", F.lit(0.0)).alias("tail_ms"))
+
+
+def _spaced(gap: int):
+    """Of ascending places: the first, and each that is at least ``gap`` after the last one taken."""
+
+    @F.pandas_udf("array<bigint>")
+    def pick(runs: pd.Series) -> pd.Series:
+        out = []
+        for run in runs:
+            taken = []
+            for i in run:
+                if not taken or i - taken[-1] >= gap:
+                    taken.append(i)
+            out.append(taken)
+        return pd.Series(out)
+
+    return pick
 
 
 def transients(signals: DataFrame, window: int, rate: int) -> DataFrame:
     """Onsets: (track, i) of the energy rises above mean plus two deviations, at least 50 ms after the last accepted one.
 
-    Which rise is accepted depends on the one accepted before, so the candidates of a track are folded in order.
+    Which rise is accepted depends on the one accepted before. A candidate that comes 50 ms or more after the candidate before it
+    is accepted in any case, so it opens a run that is decided by itself.
     """
     hop = window // 2
     energy = frames(signals, window, hop, (F.sum(F.col("mono") * F.col("mono")) / window).alias("energy"), strict=True)
@@ -114,11 +139,12 @@ def transients(signals: DataFrame, window: int, rate: int) -> DataFrame:
     rise = F.greatest(F.lit(0.0), F.col("energy") - F.lag("energy").over(order))
     rises = energy.withColumn("rise", rise).where("frame > 0").withColumn("i", F.col("frame") - 1)
     above = F.col("rise") > F.avg("rise").over(whole) + 2 * F.stddev_pop("rise").over(whole)
-    found = rises.withColumn("above", above).where("above").groupBy("track").agg(F.array_sort(F.collect_list("i")).alias("c"))
     gap = int(rate * 0.05 / hop)
-    start = F.struct(F.lit(-gap).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda s, i: F.when(i - s["last"] >= gap, F.struct(i.alias("last"), F.concat(s["out"], F.array(i)).alias("out"))).otherwise(s)
-    return found.select("track", F.explode(F.aggregate("c", start, step, lambda s: s["out"])).alias("i"))
+    by_place = Window.partitionBy("track").orderBy("i")
+    opens = F.coalesce(F.col("i") - F.lag("i").over(by_place) >= gap, F.lit(True))
+    found = rises.withColumn("above", above).where("above").withColumn("opens", opens.cast("bigint"))
+    runs = found.withColumn("run", F.sum("opens").over(by_place)).groupBy("track", "run").agg(F.array_sort(F.collect_list("i")).alias("c"))
+    return runs.select("track", F.explode(_spaced(gap)("c")).alias("i"))
 
 
 def timing_character(cv: Column) -> Column:

@@ -72,6 +72,20 @@ def q_export_json(spark, d):
     return report(ruled(spark, d), "Album")
 
 
+@query(f"""with {RULED}, {SUMMARY}, li as (select album, track_number, seconds, lufs, tp, dr, n_issues, n_warnings from ru)
+  select album, lower(regexp_replace(album, '[^a-zA-Z0-9]', '-', 'g')) || '-analysis.json' as file, '1.0' as version, 'Album' as kind, round(al.avg_lufs, 6) as avg_lufs, al.ready, al.issues as album_issues,
+    li.track_number, round(li.seconds, 6) as seconds, round(li.lufs, 6) as lufs, round(li.tp, 6) as tp, round(li.dr, 6) as dr, li.n_issues, li.n_warnings from al join li using (album)""")
+def q_export_readback(spark, d):
+    """The report's documents parsed again: one row per track, with what its album's head says."""
+    from ondine.sources.export import report
+
+    track = "array<struct<track_number:int,seconds:double,lufs:double,tp:double,dr:double,n_issues:bigint,n_warnings:bigint>>"
+    head = "struct<avg_lufs:double,ready:boolean,issues:bigint>"
+    docs = report(ruled(spark, d), "Album").withColumn("x", F.from_json("json", f"version string, kind string, name string, summary {head}, tracks {track}"))
+    rows = docs.select(F.col("x.name").alias("album"), "file", "x.version", "x.kind", "x.summary.avg_lufs", "x.summary.ready", F.col("x.summary.issues").alias("album_issues"), F.explode("x.tracks").alias("t"))
+    return rounded(rows.select("*", "t.*").drop("t"))
+
+
 @query()
 def q_pretty_json(spark, d):
     return A.summary(ruled(spark, d)).select("album", F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))

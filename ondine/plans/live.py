@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ondine.plans.dynamics import rounded
+from ondine.plans.loudness import pole
 from ondine.plans.registry import query
 from ondine.plans.views import table
 from ondine.streaming import live
@@ -64,7 +65,9 @@ def q_stream_clip_sessions(spark, d):
     return rounded(drained(live.loud_sessions(source(spark, d), 0.2, "12 hours", "1 day"), "complete"))
 
 
-@query()
+@query(f"""with recursive ev as (select user_id as track, event_id, row_number() over (partition by user_id order by ts, event_id) as n, (value - 50) / 500 as x from events),
+  s as (select track, n, event_id, (1 - {pole(100)}) * x as y from ev where n = 1 union all select ev.track, ev.n, ev.event_id, (1 - {pole(100)}) * ev.x + {pole(100)} * s.y from s join ev on ev.track = s.track and ev.n = s.n + 1)
+  select track, event_id as n, round(y, 6) as y from s""")
 def q_stream_iir_state(spark, d):
     return rounded(drained(live.low_passed(source(spark, d), 100, 1000), "append"))
 

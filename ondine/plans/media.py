@@ -26,7 +26,7 @@ def q_wav_header(spark, d):
     return wav.parsed(files).groupBy("path", "sample_rate", "channels", "bit_depth").agg(F.count("*").alias("chunks"))
 
 
-@query()
+@query("""select * from (values ('a.wav', null::int, null::int, null::int, 'no data chunk'), ('b.wav', null, null, null, 'no RIFF/WAVE file'), ('c.wav', 8000, 2, 5, null)) v(path, sample_rate, channels, samples, error)""")
 def q_reader_wav(spark, d):
     """Broken files give a row with the reason."""
     rows = spark.createDataFrame([("a.wav", b"RIFFxxxxWAVE"), ("b.wav", b"none"), ("c.wav", wav.encoded(np.zeros((5, 2)), 8000))], "path string, content binary")

@@ -38,7 +38,42 @@ def q_distribution_rules(spark, d):
     return ruled(spark, d).select("track", codes(F.col("issues")).alias("issues"), codes(F.col("warnings")).alias("warnings"), (F.size("issues") == 0).alias("ready"))
 
 
-@query()
+MESSAGES = {
+    "sample_rate": "printf('Sample rate %d Hz below 44.1 kHz.', sample_rate)",
+    "bit_depth": "printf('Bit depth %d-bit below 16-bit.', bit_depth)",
+    "true_peak": "printf('True peak %.1f dBTP exceeds -1.0 dBTP (may clip on lossy encoding).', tp)",
+    "clipping": "'Digital clipping detected.'",
+    "clip_events": "printf('%d clipping events detected.', clip_events)",
+    "mono": "'Mono file: consider stereo for streaming.'",
+    "effective_bits": "printf('Low effective bit depth (~%d-bit): may indicate lossy source or heavy limiting.', bits)",
+    "dual_mono": "'Dual mono detected: L and R channels are identical.'",
+    "loud": "printf('Very loud (%.1f LUFS): may cause listener fatigue and heavy attenuation on streaming.', lufs)",
+    "isp": "printf('High ISP margin (%.2f dB): inter-sample peaks significantly exceed sample peak.', isp)",
+    "lra_low": "printf('Low loudness range (%.1f LU): track may sound flat/over-compressed.', lra)",
+    "lra_high": "printf('High loudness range (%.1f LU): may need dynamic processing for streaming.', lra)",
+    "dc": "printf('DC offset detected (%.6f): may cause clicks on playback.', dc)",
+    "crest": "printf('Low crest factor (%.1f dB): heavily limited, may lack punch.', crest)",
+    "plr": "printf('Low PLR (%.1f dB): track is heavily compressed.', plr)",
+    "silence_start": "printf('Long silence at start (%.1fs).', silence_start / 1000)",
+    "silence_end": "printf('Long silence at end (%.1fs).', silence_end / 1000)",
+    "correlation": "printf('Negative stereo correlation (%.2f): out-of-phase content may cause mono cancellation.', corr)",
+    "correlation_worst": "printf('Severe phase issues in some sections (worst 1%% correlation: %.2f).', worst)",
+    "low_phase": "'Low frequency phase issues detected: may cause bass loss on mono playback.'",
+    "sub_bass": "'Sub-bass is wide/out-of-phase: may cause translation issues on mono/club systems.'",
+    "mono_loss": "printf('Significant mono summing loss (%.1f dB): phase cancellation issues.', mono_loss::double)",
+    "balance": "printf('Unbalanced stereo: %.1f dB %s heavy.', abs(balance), case when balance > 0 then 'right' else 'left' end)",
+    "low_width": "printf('Wide low frequencies (%.0f%% side energy): may cause vinyl cutting or club system issues.', low_width)",
+    "harshness": "printf('High harshness index (%.0f%%): 2-5kHz region is prominent, may cause ear fatigue.', harsh)",
+    "sibilance": "printf('High sibilance index (%.0f%%): 5-10kHz region is prominent, may sound harsh.', sib)",
+    "bright": "printf('Bright spectral tilt (+%.1f dB/oct): may sound fatiguing over time.', tilt::double)",
+    "dark": "printf('Dark spectral tilt (%.1f dB/oct): may lack clarity.', tilt::double)",
+    "spotify": "printf('Spotify: May clip post-normalization (TP %.1f dBTP > -1 dBTP)', tp - 14 - lufs)",
+    "spotify ": "'Spotify: Likely to clip or distort'",
+}
+TOLD = ", ".join(f"case when {w} then {{'code': '{c.strip()}', 'message': {MESSAGES[c]}}} end" for c, w in (ISSUES | WARNINGS).items())
+
+
+@query(f"with {TRK}, m as (select track, unnest([{TOLD}]) as x from tr) select track, x.code as code, x.message as message from m where x is not null")
 def q_rule_messages(spark, d):
     made = ruled(spark, d)
     return made.select("track", F.explode(F.concat("issues", "warnings")).alias("x")).select("track", "x.code", "x.message")

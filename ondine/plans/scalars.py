@@ -25,10 +25,12 @@ def q_round_js(spark, d):
     return table(spark, d, "events").select("event_id", X.half_up(F.col("value") - 250).alias("half_up"))
 
 
-@query("select event_id, round(value * 1.0001::double, 1) as one, round(value * 1.0001::double, 2) as two from events")
+@query("""select event_id, printf('%.1f', v) as one, printf('%.2f', v) as two, case when abs(event_id) % 2 = 1 then printf('%.1f', event_id / 4::double + sign(event_id) * 0.01) else printf('%.1f', event_id / 4::double) end as tie, printf('%.2f', event_id + 0.005::double) as near
+  from (select event_id, value * 1.0001::double as v from events)""")
 def q_tofixed(spark, d):
-    v = F.col("value") * 1.0001
-    return table(spark, d, "events").select("event_id", F.round(v, 1).alias("one"), F.round(v, 2).alias("two"))
+    """``tie``: quarters, of which the odd ones lie in the middle of two tenths; ``near``: decimal ties that no double holds."""
+    v, place = F.col("value") * 1.0001, F.col("event_id")
+    return table(spark, d, "events").select("event_id", X.fixed(v, 1).alias("one"), X.fixed(v, 2).alias("two"), X.fixed(place / 4, 1).alias("tie"), X.fixed(place + 0.005, 2).alias("near"))
 
 
 @query("""select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') else (s // 60) || ':' || lpad((s % 60)::varchar, 2, '0') end as duration
@@ -141,11 +143,11 @@ def q_sampled_frames(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query()
+@query("select label as track, vec_id as frame, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) as energy from embeddings")
 def q_frame_iterator(spark, d):
     from ondine.operators.framing_iter import energies
 
-    return energies(spec_frames(spark, d))
+    return rounded(energies(spec_frames(spark, d)))
 
 
 @query("""with t as (select n, n / 8000::double as s from range(2000) r(n)) select kind, count(*) as samples, round(sum(x * x), 5) as energy, round(max(abs(x)), 6) as peak from (
@@ -162,7 +164,7 @@ def q_log_sweep(spark, d):
     return made.agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.round(F.sum("x"), 5).alias("total"))
 
 
-@query()
+@query("""select n, round(avg(('0x' || substr(md5('7:' || k || ':' || (n >> k)), 1, 13))::bigint / pow(2, 51) - 1), 6) as x from range(1000) r(n), range(16) o(k) group by n""")
 def q_pink_noise(spark, d):
     """Seeded: the same on every run, whatever the partitions."""
     return rounded(synth.noise(spark, 1000, seed=7))

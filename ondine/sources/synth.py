@@ -49,5 +49,6 @@ def log_sweep(spark: SparkSession, rate: int, samples: int, low: float = 100.0,
 
 def noise(spark: SparkSession, samples: int, seed: int, octaves: int = 16) -> DataFrame:
     """(n, x): pink noise from sums of held random values, one octave slower each, from a hash of the place; seeded, so it is the same each time."""
-    held = [F.xxhash64(F.shiftright("id", k), F.lit(seed), F.lit(k)) / float(1 << 63) for k in range(octaves)]
+    digest = lambda k: F.md5(F.concat(F.lit(f"{seed}:{k}:"), F.shiftright("id", k).cast("string")))
+    held = [F.conv(F.substring(digest(k), 1, 13), 16, 10).cast("bigint") / float(1 << 51) - 1 for k in range(octaves)]
     return spark.range(samples).select(F.col("id").alias("n"), (sum(held[1:], held[0]) / octaves).alias("x"))
