@@ -49,3 +49,38 @@ def low_passed(stream: DataFrame, cut: float, rate: float) -> DataFrame:
 
     kind = stream.schema["track"].dataType.simpleString()
     return stream.groupBy("track").applyInPandasWithState(run, f"track {kind}, n bigint, y double", "last double", "append", "NoTimeout")
+
+
+#: A sample that waits for its turn.
+WAITING = np.dtype([("ts", "i8"), ("n", "i8"), ("x", "f8")])
+
+
+def low_passed_in_order(stream: DataFrame, cut: float, rate: float, late: str, idle_ms: int = 3_600_000) -> DataFrame:
+    """One-pole low-pass of (track, ts, n, x) in the order of ts and n, whatever the micro-batches that samples come in.
+
+    A sample is held until the watermark has passed it and then filtered; samples more than ``late`` behind are left out, as by the windows above.
+    A track's state goes when nothing is held and the watermark is ``idle_ms`` further; a track that comes back starts anew. What is held in the
+    state is at most the samples of ``late``.
+    """
+    a = math.exp(-2 * math.pi * cut / rate)
+
+    def run(key: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (0.0, b"")
+        rows = [np.frombuffer(bytes(held), WAITING)]
+        if not state.hasTimedOut:
+            rows += [np.rec.fromarrays([pdf["us"], pdf["n"], pdf["x"]], dtype=WAITING) for pdf in pdfs]
+        waiting = np.sort(np.concatenate(rows), order=["ts", "n"])
+        passed_ms = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(waiting["ts"], passed_ms * 1000))
+        done, waiting = waiting[:ready], waiting[ready:]
+        y = iir(done["x"].copy(), (1 - a,), (1.0, -a)) + last * a ** np.arange(1, ready + 1)
+        if state.hasTimedOut and not ready and not len(waiting):
+            state.remove()
+        else:
+            state.update((float(y[-1]) if ready else last, waiting.tobytes()))
+            state.setTimeoutTimestamp(max(int(waiting["ts"][0]) // 1000, passed_ms) + 1 if len(waiting) else passed_ms + idle_ms)
+        yield pd.DataFrame({"track": [key[0]] * ready, "n": done["n"], "y": y})
+
+    kind = stream.schema["track"].dataType.simpleString()
+    timed = stream.withWatermark("ts", late).select("track", "ts", F.unix_micros("ts").alias("us"), "n", "x")
+    return timed.groupBy("track").applyInPandasWithState(run, f"track {kind}, n bigint, y double", "last double, held binary", "append", "EventTimeTimeout")

@@ -144,3 +144,41 @@ def test_a_sine_has_its_record(spark, sine):
     (a,) = analysis.album_report(analysis.numbered(analysis.track_record(sine, RATE), sine.select("track", F.lit("x").alias("album")).distinct())).collect()
     assert a.tracks == 1 and a.avg_lufs == pytest.approx(r.lufs, abs=0.06) and a.ready and a.worst_jump == 0
     assert analysis.track_record(sine.limit(0), RATE).count() == 0
+
+
+def test_low_pass_of_a_stream_is_in_order_of_time(spark, tmp_path):
+    """Samples that come in a later file with an earlier time are filtered in their place; the last ones are held."""
+    import datetime as dt
+    import time
+
+    from ondine.streaming import live
+
+    start = dt.datetime(2024, 1, 1)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2, 60))
+    rows = [(t, start + dt.timedelta(seconds=int(n)), int(n), float(x[t, n])) for t in range(2) for n in range(60)]
+    parts = [[r for r in rows if r[2] < 20 and r[2] % 3], [r for r in rows if r[2] < 20 and not r[2] % 3 or 20 <= r[2] < 40], [r for r in rows if r[2] >= 40]]
+    schema = "track bigint, ts timestamp, n bigint, x double"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = live.low_passed_in_order(stream, 100, 1000, "25 seconds")
+    running = found.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out")
+    running.awaitTermination()
+    got = {(r.track, r.n): r.y for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert set(got) == {(t, n) for t in range(2) for n in range(59 - 25)}
+    a = np.exp(-2 * np.pi * 100 / 1000)
+    for t in range(2):
+        y = 0.0
+        for n in range(59 - 25):
+            y = (1 - a) * x[t, n] + a * y
+            assert got[t, n] == pytest.approx(y, abs=1e-12)
+
+
+def test_fixed_decimals(spark):
+    from ondine.functions.scalar import fixed
+
+    values = [0.125, 0.375, -0.125, 1.005, 2.675, 1e9 + 0.005, 0.0, 8.345]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v"), 2).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == {0.125: "0.13", 0.375: "0.38", -0.125: "-0.13", 1.005: "1.00", 2.675: "2.67", 1e9 + 0.005: "1000000000.00", 0.0: "0.00", 8.345: "8.35"}
