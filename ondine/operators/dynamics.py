@@ -147,6 +147,7 @@ def transients(signals: DataFrame, window: int, rate: int) -> DataFrame:
     return runs.select("track", F.explode(_spaced(gap)("c")).alias("i"))
 
 
+# Bounds and names of the characters.
 def timing_character(cv: Column) -> Column:
     return F.when(cv < 0.08, "robotic").when(cv < 0.18, "tight").when(cv < 0.40, "natural").otherwise("loose")
 
@@ -193,6 +194,7 @@ def transient_sharpness(signals: DataFrame, window: int, rate: int, onset_window
     )
 
 
+# Bounds, ratios, thresholds and weights of the two below, and the wording of the note.
 def compression(crest: Column, dr: Column, clips_per_minute: Column) -> Column:
     """Struct of character, ratio, threshold and confidence."""
     pick = lambda character, ratio, threshold, confidence: F.struct(F.lit(character).alias("character"), ratio.cast("double").alias("ratio"), F.lit(threshold).cast("double").alias("threshold_db"), confidence.alias("confidence"))

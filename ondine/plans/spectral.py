@@ -38,11 +38,12 @@ def q_dft_magnitude(spark, d):
     return rounded(spectra(spark, d))
 
 
-@query(f"""with px as (select vec_id, unnest(range(50)) as i, unnest(embedding[1:50])::double as x from embeddings)
-  select vec_id, k::int as k, round(sqrt(pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2)), 6) as mag from px, range(32) r(k) group by vec_id, k""")
+@query(f"""with px as (select vec_id, unnest(range(80)) as i, unnest(embedding || embedding[1:16])::double as x from embeddings)
+  select vec_id, k::int as k, round(sqrt(pow(sum(x * cos(2 * pi() * k * i / 128)), 2) + pow(sum(x * sin(2 * pi() * k * i / 128)), 2)), 6) as mag from px, range(64) r(k) group by vec_id, k""")
 def q_padded_magnitude(spark, d):
-    cut = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 50).alias("x"))
-    return rounded(cut.select("vec_id", F.posexplode(S.padded_magnitudes("x")).alias("k", "mag")))
+    """Whole frames, each going on with its own first quarter: 80 samples, padded to 128."""
+    longer = table(spark, d, "embeddings").select("vec_id", F.concat("embedding", F.slice("embedding", 1, 16)).alias("x"))
+    return rounded(longer.select("vec_id", F.posexplode(S.padded_magnitudes("x")).alias("k", "mag")))
 
 
 ROLL = "select {0}, min(freq) as rolloff from (select *, sum(mag * mag) over (partition by {0} order by k) as run, sum(mag * mag) over (partition by {0}) as total from {1}) where run >= 0.85::double * total and total > 0 group by {0}"
