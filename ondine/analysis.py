@@ -1,8 +1,8 @@
 """From samples to a track's record, and from records to an album's report.
 
 ``track_record`` joins what the operators measure on (track, n, l, r, mono), one row for each track, under the names that
-the rules, scores and album operators read. ``report`` adds issues and warnings, ``album_report`` sums up albums. What is not
-measured (spectral shares, tempo and key have operators of their own, over frames) is null, and a rule over a null doesn't hold.
+the rules, scores and album operators read. ``report`` adds issues and warnings, ``album_report`` sums up albums. What was not
+measured is null, and a rule over a null doesn't hold.
 
 A track without a whole window has null or empty window metrics; silence has a loudness of minus infinity, which counts as none in the record. Rows
 of equal (track, n) are samples of their own. An empty table gives no records.
@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ondine.functions.scalar import finite
-from ondine.operators import album, dynamics, loudness, rules, stereo
+from ondine.operators import album, dynamics, loudness, musical, rules, spectral, stereo
 
-#: What the rules read and no operator here measures.
-UNMEASURED = {"low_phase": "boolean", "low_width": "double", "harsh": "double", "sib": "double", "tilt": "double", "ai_score": "double"}
+#: Levels that silence makes infinite, which count as none.
+LIMITED = ("lufs", "tp", "sample_peak", "noise", "balance", "mono_loss", "hf")
+#: What only the filtered lows and the spectra tell.
+BANDED = {"sub_ok": "boolean", "low_phase": "boolean", "low_width": "double"}
+HEARD = {"harsh": "double", "sib": "double", "tilt": "double", "rolloff": "double", "hf": "double", "key_conf": "bigint", "tonal": "bigint"}
 
 
-def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = True) -> DataFrame:
-    """Every per-track metric of the operators. ``weigh`` K-weights before loudness, ``bands`` filters the sub-bass for its correlation."""
+def levels(signals: DataFrame, rate: int, weigh: bool = True) -> list[DataFrame]:
+    """What is measured on the samples themselves. ``weigh`` K-weights before loudness."""
     loud = loudness.weighted(signals, rate) if weigh else signals
     short = loudness.windows(loud, rate, 3)
-    parts = [
+    return [
+        signals.groupBy("track").agg((F.count("*") / rate).alias("seconds")),
         dynamics.basic_stats(signals).select("track", "dc", F.col("crest_db").alias("crest")),
         dynamics.silence_edges(signals, rate).select("track", F.col("start_ms").alias("silence_start"), F.col("end_ms").alias("silence_end")),
         dynamics.dynamic_range(signals).select("track", F.col("dynamic_range_db").alias("dr")),
@@ -41,22 +45,60 @@ def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = Tr
         stereo.balance(signals).select("track", F.col("balance_db").alias("balance")),
         stereo.mono_impact(signals, rate // 2).select("track", F.col("loss_db").alias("mono_loss")),
         stereo.true_stereo(signals).select("track", "true_stereo"),
-        signals.groupBy("track").agg((F.count("*") / rate).alias("seconds")),
     ]
-    if bands:
-        parts.append(stereo.sub_bass(signals, rate).select("track", F.col("mono_compatible").alias("sub_ok")))
-    made = parts[-1] if not bands else parts[-1].join(parts[-2], "track")
-    for part in parts[: -2 if bands else -1]:
+
+
+def rhythm(signals: DataFrame, rate: int) -> list[DataFrame]:
+    """Timing of the onsets, and how sure and steady the tempo is."""
+    envelope = musical.onset_envelope(signals, rate)
+    tempi = musical.tempo(envelope)
+    return [
+        dynamics.transient_spacing(signals, rate // 100, rate).select("track", "cv", F.col("character").alias("timing")),
+        tempi.select("track", F.col("confidence").alias("bpm_conf")),
+        musical.beat_stability(envelope, tempi),
+    ]
+
+
+def low_bands(signals: DataFrame, rate: int) -> list[DataFrame]:
+    """Phase of the sub-bass and width of the lows, from band-passed samples."""
+    return [
+        stereo.sub_bass(signals, rate).select("track", F.col("mono_compatible").alias("sub_ok"), F.col("phase_issues").alias("low_phase")),
+        stereo.band_width(signals, rate, 20, 150).withColumnRenamed("width", "low_width"),
+    ]
+
+
+def spectral_shares(signals: DataFrame, heard_at: float, frame: int) -> list[DataFrame]:
+    """What is read from the spectra of whole frames, and the key. ``heard_at``: the rate that gives bins their frequencies."""
+    spectra = spectral.bins(spectral.whole_frames(signals, frame), heard_at, frame)
+    average = spectral.averaged(spectra)
+    keys = musical.top_keys(musical.key_scores(musical.chroma(spectra, ["track"]), ["track"]), ["track"], most=1)
+    return [
+        spectral.shares(average, heard_at, frame).select("track", F.col("harshness").alias("harsh"), F.col("sibilance").alias("sib")),
+        spectral.tilt(average, heard_at, frame),
+        spectral.centroid_rolloff(spectra).select("track", "rolloff"),
+        spectral.band_level(spectra, 8000, 16000, frame).withColumnRenamed("level_db", "hf"),
+        keys.select("track", F.col("confidence").alias("key_conf"), F.col("tonalness").alias("tonal")),
+    ]
+
+
+def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = True, frame: int = 4096, heard_at: float | None = None) -> DataFrame:
+    """Every per-track metric of the operators. ``weigh`` K-weights before loudness, ``bands`` filters the lows, and ``frame`` is the size of the
+    spectra (0: none); what is left out is null."""
+    parts = levels(signals, rate, weigh) + rhythm(signals, rate)
+    parts += low_bands(signals, rate) if bands else []
+    parts += spectral_shares(signals, heard_at or rate, frame) if frame else []
+    made = parts[0]
+    for part in parts[1:]:
         made = made.join(part, "track", "left")
-    return made if bands else made.withColumn("sub_ok", F.lit(None).cast("boolean"))
+    return made.withColumns({c: F.lit(None).cast(t) for c, t in (BANDED | HEARD).items() if c not in made.columns})
 
 
 def derived(metrics: DataFrame, rate: int, bit_depth: int, channels: int = 2) -> DataFrame:
     """What follows from the metrics: peak to loudness, the margin between samples, clipping; and what the file says."""
-    own = metrics.withColumns({c: F.when(finite(F.col(c)), F.col(c)) for c in ("lufs", "tp", "sample_peak", "noise", "balance", "mono_loss")})
+    own = metrics.withColumns({c: F.when(finite(F.col(c)), F.col(c)) for c in LIMITED})
     own = own.withColumns({"plr": F.col("tp") - F.col("lufs"), "isp": F.col("tp") - F.col("sample_peak"), "clipped": F.col("clip_events") > 0})
     told = {"sample_rate": F.lit(rate), "bit_depth": F.lit(bit_depth), "channels": F.lit(channels)}
-    return own.withColumns(told | {c: F.lit(None).cast(t) for c, t in UNMEASURED.items()})
+    return own.withColumns({"ai_score": rules.artifacts(F.col("hf"), F.col("cv"), F.col("timing"))["overall"]} | told)
 
 
 def track_record(signals: DataFrame, rate: int, bit_depth: int = 24, channels: int = 2) -> DataFrame:

@@ -129,11 +129,11 @@ def rating(score: Column) -> Column:
     return F.when(score >= 8.5, "excellent").when(score >= 7.0, "good").when(score >= 5.0, "fair").otherwise("poor")
 
 
-def artifacts(hf: Column, cv: Column) -> Column:
-    """Struct of shimmer, timing and the score of both; the score is null where it would be 0."""
+def artifacts(hf: Column, cv: Column, timing_class: Column) -> Column:
+    """Struct of shimmer, timing and the score of both; the score is null where it would be 0. ``timing_class``: the onsets' timing character."""
     shimmer = F.coalesce(hf > -25, F.lit(False))
     shine = F.when(shimmer, F.least(F.lit(100.0), (hf + 25) * 10)).otherwise(0.0)
-    robotic = F.coalesce(cv < 0.08, F.lit(False))
+    robotic = F.coalesce(timing_class == "robotic", F.lit(False))
     timing = F.when(cv.isNotNull(), clamp((1 - cv) * 100, 0.0, 100.0))
     overall = F.least(F.lit(100.0), F.when(shimmer, shine * 0.6).otherwise(0.0) + F.when(robotic & timing.isNotNull(), timing * 0.4).otherwise(0.0))
     return F.struct(shimmer.alias("shimmer"), shine.alias("shimmer_score"), robotic.alias("robotic"), timing.alias("timing_score"), F.when(overall > 0, overall).alias("overall"))

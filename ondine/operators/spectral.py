@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ondine.functions.scalar import a_weight_db, half_up
+from ondine.functions.scalar import a_weight_db, db_from_linear, half_up
 
 #: The crest bands in Hz.
 CREST_BANDS = ((20, 80), (80, 250), (250, 2000), (2000, 5000), (5000, 10000), (10000, 20000))
@@ -43,6 +43,13 @@ def bins(frames: DataFrame, rate: float, size: int) -> DataFrame:
     return made.select("track", "frame", "k", (F.col("k") * F.lit(rate / size)).alias("freq"), "mag")
 
 
+def whole_frames(signals: DataFrame, size: int) -> DataFrame:
+    """The mono mix in frames of ``size`` samples that follow each other, without a last one that is not whole: (track, frame, x)."""
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("n", "mono"))), lambda s: s["mono"])
+    made = signals.groupBy("track", F.floor(F.col("n") / size).alias("frame")).agg(packed.alias("x"))
+    return made.where(F.size("x") == size)
+
+
 def averaged(spectra: DataFrame) -> DataFrame:
     """Mean magnitude of each bin over a track's frames."""
     return spectra.groupBy("track", "k", "freq").agg(F.avg("mag").alias("mag"))
@@ -82,6 +89,13 @@ def tilt(average: DataFrame, rate: float, size: int, a_weighted: bool = False) -
     return made.groupBy("track").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.regr_slope("y", F.log2("freq"))).alias("tilt"))
 
 
+def band_level(spectra: DataFrame, low: float, high: float, size: int) -> DataFrame:
+    """RMS level in dB of the windowed frames' part from ``low`` to ``high`` Hz: (track, level_db); minus infinity without energy."""
+    inside = F.when(F.col("freq").between(low, high), F.col("mag") * F.col("mag")).otherwise(0.0)
+    power = 2 * F.sum(inside) / F.countDistinct("frame") / float(size * np.sum(_hann(size) ** 2))
+    return spectra.groupBy("track").agg(db_from_linear(F.sqrt(power)).alias("level_db"))
+
+
 def flatness(average: DataFrame) -> DataFrame:
     """Geometric over arithmetic mean of the bins from 1 on."""
     return average.where((F.col("k") >= 1) & (F.col("mag") > 0)).groupBy("track").agg((F.exp(F.avg(F.log("mag"))) / F.avg("mag")).alias("flatness"))

@@ -8,39 +8,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ondine import analysis
-from ondine.plans import loudness, stereo  # noqa: F401  whose SQL is joined below
 from ondine.plans.album import SUMMARY
 from ondine.plans.dynamics import rounded
-from ondine.plans.registry import SQL, query
+from ondine.plans.kept import kept
+from ondine.plans.registry import query
 from ondine.plans.rules import ISSUES, WARNINGS, codes_sql
-from ondine.plans.views import LONG, RATE, long_signals
-
-#: Measurement: what of its columns goes into the record.
-PARTS = {
-    "q_basic_stats": "dc, crest_db as crest", "q_silence_edges": "start_ms as silence_start, end_ms as silence_end", "q_dynamic_range": "dynamic_range_db as dr", "q_clip_events": "events as clip_events",
-    "q_micro_contrast": "contrast_db as contrast", "q_noise_floor_bits": "noise_floor_db as noise, bits", "q_integrated_gated": "gated as lufs", "q_lra": "lra", "q_loudness_slope_volatility": "slope_db_per_min, volatility",
-    "q_true_peak_fir": "true_peak_db as tp, sample_peak_db as sample_peak", "q_correlation": "correlation as corr", "q_worst_correlation": "worst_1_percent as worst", "q_mid_side_width": "width", "q_balance": "balance_db as balance",
-    "q_mono_impact": "loss_db as mono_loss", "q_true_stereo": "true_stereo",
-}
-_JOINS = " ".join(f"left join (select track, {columns} from ({SQL[name]})) using (track)" for name, columns in PARTS.items())
-_NONE = ", ".join(f"null::{t} as {c}" for c, t in (analysis.UNMEASURED | {"sub_ok": "boolean"}).items())
-_FINITE = ", ".join(f"case when isfinite({c}) then {c} end as {c}" for c in ("lufs", "tp", "sample_peak", "noise", "balance", "mono_loss"))
-RECORDS = f"""me as (select * from (with {LONG} select track, round(count(*) / {RATE}::double, 6) as seconds from long group by track) {_JOINS}),
-  fi as (select * replace ({_FINITE}), {_NONE} from me),
-  re as (select *, tp - lufs as plr, tp - sample_peak as isp, clip_events > 0 as clipped, {RATE} as sample_rate, 24 as bit_depth, 2 as channels, left(track, 1) as album from fi),
+from ondine.plans.spectral import FS, SIZE
+from ondine.plans.tracks import DERIVED, LEVELS, SPECTRA, digits, measured_sql
+from ondine.plans.views import RATE, long_signals, signals_sql
+
+PARTS = LEVELS | SPECTRA
+RECORDS = f"""me as ({measured_sql(lambda name: f"{name} as ({signals_sql('l_returnflag || l_linestatus')})", PARTS)}),
+  re as (select *, {DERIVED}, {RATE} as sample_rate, 24 as bit_depth, 2 as channels, left(track, 1) as album from me),
   ru as (select *, len({codes_sql(ISSUES)}) as n_issues, len({codes_sql(WARNINGS)}) as n_warnings, array_to_string({codes_sql(ISSUES)}, ',') as issue_codes, array_to_string({codes_sql(WARNINGS)}, ',') as warning_codes,
     row_number() over (partition by album order by track)::int as track_number from re)"""
-KEPT = ["track", "album", "track_number", "seconds", *(c.split(" as ")[-1].strip() for columns in PARTS.values() for c in columns.split(",")), "plr", "isp", "clipped", "n_issues", "n_warnings"]
+KEPT = ["track", "album", "track_number", "seconds", *(c.split(" as ")[-1].strip() for columns in PARTS.values() for c in columns.split(",")), "plr", "isp", "clipped", "ai_score", "n_issues", "n_warnings"]
 
 
 def records(spark, d):
-    """The tracks of the long signals, which hold no weighting; an album is all tracks of one first letter."""
-    signals = long_signals(spark, d)
-    made = analysis.report(analysis.derived(rounded(analysis.measured(signals, RATE, weigh=False, bands=False)), RATE, 24))
-    return analysis.numbered(made, made.select("track", F.substring("track", 1, 1).alias("album")))
+    """The tracks of the long signals, which hold no weighting and no filtered lows; an album is all tracks of one first letter."""
+
+    def made():
+        signals = kept(spark, d, "long", lambda: long_signals(spark, d))
+        own = digits(analysis.measured(signals, RATE, weigh=False, bands=False, frame=SIZE, heard_at=FS))
+        own = analysis.report(analysis.derived(own, RATE, 24))
+        return analysis.numbered(own, own.select("track", F.substring("track", 1, 1).alias("album")))
+
+    return kept(spark, d, "records", made)
 
 
-@query(f"with {RECORDS} select {', '.join(f'round({c}, 6) as {c}' if c in ('plr', 'isp') else c for c in KEPT)}, issue_codes, warning_codes from ru")
+@query(f"with {RECORDS} select {', '.join(f'round({c}, 6) as {c}' if c in ('plr', 'isp', 'ai_score') else c for c in KEPT)}, issue_codes, warning_codes from ru")
 def q_track_analysis(spark, d):
     codes = lambda c: F.array_join(F.transform(c, lambda x: x["code"]), ",")
     return rounded(records(spark, d).select(*KEPT, codes(F.col("issues")).alias("issue_codes"), codes(F.col("warnings")).alias("warning_codes")))

@@ -8,17 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ondine.plans.dynamics import rounded
+from ondine.plans.kept import shared_dir
 from ondine.plans.loudness import pole
 from ondine.plans.registry import query
 from ondine.plans.views import table
 from ondine.streaming import live
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of the warehouse where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ondine"
-
-
 def source(spark: SparkSession, d: str) -> DataFrame:
     """(track, ts, n, x) of the events as a stream."""
     path = f"{d}/events.parquet"
@@ -33,7 +29,7 @@ def source(spark: SparkSession, d: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all there is and returns what its sink holds at the end."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that is tried again replaces what it wrote; a complete one replaces all before it

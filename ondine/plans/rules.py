@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ondine.operators import rules as R
 from ondine.plans.dynamics import rounded
 from ondine.plans.registry import query
-from ondine.plans.tracks import TRK, tracks
+from ondine.plans.tracks import ROBOTIC, SHIMMER, TRK, tracks
 
 ISSUES = {"sample_rate": "sample_rate < 44100", "bit_depth": "bit_depth < 16", "true_peak": "tp > -1", "clipping": "clipped", "clip_events": "clip_events > 10"}
 WARNINGS = {
@@ -128,9 +128,10 @@ def q_codec_quality(spark, d):
     return tracks(spark, d).select("track", R.codec_quality(F.col("rolloff"), F.col("bits"), F.col("noise")).alias("q")).select("track", "q.*")
 
 
-@query(f"""with {TRK} select track, hf > -25 as shimmer, round(case when hf > -25 then least(100, (hf + 25) * 10) else 0 end, 6) as shimmer_score, cv < 0.08 as robotic, round(least(100, greatest(0, (1 - cv) * 100)), 6) as timing_score, round(ai_score, 6) as overall from tr""")
+@query(f"""with {TRK} select track, coalesce(hf > -25, false) as shimmer, round({SHIMMER}, 6) as shimmer_score, {ROBOTIC} as robotic,
+  round(least(100, greatest(0, (1 - cv) * 100)), 6) as timing_score, round(ai_score, 6) as overall from tr""")
 def q_ai_artifacts(spark, d):
-    return rounded(tracks(spark, d).select("track", R.artifacts(F.col("hf"), F.col("cv")).alias("a")).select("track", "a.*"))
+    return rounded(tracks(spark, d).select("track", R.artifacts(F.col("hf"), F.col("cv"), F.col("timing")).alias("a")).select("track", "a.*"))
 
 
 @query(f"with {TRK} select track, round(least(100, greatest(0, (lufs + 30) / 30 * 100)), 6) as lufs_position, round(least(100, greatest(0, (dr - 0) / 20 * 100)), 6) as dr_position from tr")

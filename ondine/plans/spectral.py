@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ondine.operators import spectral as S
 from ondine.plans.dynamics import rounded
 from ondine.plans.registry import query
-from ondine.plans.views import table
+from ondine.plans.views import db, table
 
 FS, SIZE = 44100, 64
 RES = FS / SIZE
 
+FRAMES = f"fx as (select label as track, vec_id as frame, unnest(range({SIZE})) as i, unnest(embedding)::double as x from embeddings)"
 #: Discrete Fourier transform of Hann-windowed frames as a sum over samples.
-BINS = f"""fx as (select label as track, vec_id as frame, unnest(range({SIZE})) as i, unnest(embedding)::double as x from embeddings),
+BINS = f"""{FRAMES},
   bn as (select track, frame, k, k * {RES}::double as freq, sqrt(pow(sum(x * h * cos(2 * pi() * k * i / {SIZE})), 2) + pow(sum(x * h * sin(2 * pi() * k * i / {SIZE})), 2)) as mag
     from (select *, 0.5 * (1 - cos(2 * pi() * i / {SIZE - 1})) as h from fx), range({SIZE // 2}) r(k) group by track, frame, k),
   av as (select track, k, freq, avg(mag) as mag from bn group by track, k, freq)"""
@@ -109,6 +112,15 @@ def q_band_crest(spark, d):
     return rounded(S.band_energy(average(spark, d), bands), 5)
 
 
+LEVEL = f"sqrt(2 * sum(case when freq between 8000 and 16000 then mag * mag else 0 end) / count(distinct frame) / {SIZE * sum((0.5 * (1 - math.cos(2 * math.pi * i / (SIZE - 1)))) ** 2 for i in range(SIZE))!r}::double)"
+
+
+@query(f"with {BINS} select track, round({db(LEVEL)}, 6) as level_db from bn group by track")
+def q_band_level(spark, d):
+    """Level of the part from 8 to 16 kHz."""
+    return rounded(S.band_level(spectra(spark, d), 8000, 16000, SIZE))
+
+
 @query(f"""with {BINS}, t as (select track, regr_slope(20 * log10(mag + 1e-10::double), log2(freq)) as t from av where freq >= 100 and k >= 1 and k <= {int(10000 / RES)} and mag > 0 group by track),
   h as (select track, {share_sql((2000, 5000), (100, 10000), False)} as h from av group by track), c as (select track, avg(c) as c from (select track, frame, sum(freq * mag * mag) / sum(mag * mag) as c from bn group by track, frame) group by track),
   p as (select track, case when t > 0 then 2 when t > -2 then 1 when t < -5 then -1 else 0 end + case when h > 35 then 1 when h < 15 then -1 else 0 end + case when c > 4000 then 1 when c < 1200 then -1 else 0 end as p from t join h using (track) join c using (track))

@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 STRETCH = 1 << 14
 
 
-def _signal(items: DataFrame, track: Column, long: bool = False) -> DataFrame:
+def signals_of(spark: SparkSession, sf_dir: str, track: Column, long: bool = False) -> DataFrame:
     """Samples numbered in ORDER. A long track is numbered stretch by stretch of its first order key, so that no task sorts a
     whole track, and a row for each stretch carries the number of samples before it."""
-    rows = items.select(track.alias("track"), *ORDER)
+    rows = table(spark, sf_dir, "lineitem").select(track.alias("track"), *ORDER)
     n = F.row_number().over(Window.partitionBy("track").orderBy(*ORDER)).cast("bigint") - 1
     if long:
         stretch = F.floor(F.col("l_orderkey") / STRETCH)
@@ -37,12 +37,12 @@ def _signal(items: DataFrame, track: Column, long: bool = False) -> DataFrame:
 
 def long_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few long tracks: (track, n, l, r, mono)."""
-    return _signal(table(spark, sf_dir, "lineitem"), F.concat("l_returnflag", "l_linestatus"), long=True)
+    return signals_of(spark, sf_dir, F.concat("l_returnflag", "l_linestatus"), long=True)
 
 
 def short_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many short tracks, one per supplier."""
-    return _signal(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
+    return signals_of(spark, sf_dir, F.col("l_suppkey"))
 
 
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,14 +51,14 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), n.alias("n"), ((F.col("value") - 50) / 500).alias("mono"))
 
 
-def _sql(track: str) -> str:
+def signals_sql(track: str) -> str:
     return f"""select track, n, l, r, (l + r) / 2 as mono from (select {track} as track,
       row_number() over (partition by {track} order by {', '.join(ORDER)}) - 1 as n,
       (l_quantity - 25.5::double) / 24.5::double as l, l_discount * 20 - 1 as r from lineitem)"""
 
 
-LONG = f"long as ({_sql('l_returnflag || l_linestatus')})"
-SHORT = f"short as ({_sql('l_suppkey')})"
+LONG = f"long as ({signals_sql('l_returnflag || l_linestatus')})"
+SHORT = f"short as ({signals_sql('l_suppkey')})"
 EVENTS = "ev as (select user_id as track, row_number() over (partition by user_id order by ts, event_id) - 1 as n, (value - 50) / 500 as mono from events)"
 
 
