@@ -182,3 +182,14 @@ def test_fixed_decimals(spark):
     values = [0.125, 0.375, -0.125, 1.005, 2.675, 1e9 + 0.005, 0.0, 8.345]
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v"), 2).alias("t"))
     assert {r.v: r.t for r in df.collect()} == {0.125: "0.13", 0.375: "0.38", -0.125: "-0.13", 1.005: "1.00", 2.675: "2.67", 1e9 + 0.005: "1000000000.00", 0.0: "0.00", 8.345: "8.35"}
+
+
+def test_band_level(spark):
+    # a sine of 11,025 Hz and amplitude 0.5 at 44,100 Hz stands in one bin of 64; the last 10 samples make no whole frame
+    tone = spark.range(64 * 5 + 10).selectExpr("'a' as track", "id as n", "0.5 * sin(pi() * id / 2) as mono")
+    frames = spectral.whole_frames(tone, 64)
+    assert frames.count() == 5
+    spectra = spectral.bins(frames, 44100, 64)
+    (inside,), (outside,) = spectral.band_level(spectra, 8000, 16000, 64).collect(), spectral.band_level(spectra, 100, 5000, 64).collect()
+    assert abs(inside["level_db"] - 20 * np.log10(0.5 / np.sqrt(2))) < 0.1 and outside["level_db"] < -40
+    assert spectral.band_level(spectral.bins(spectral.whole_frames(tone.limit(0), 64), 44100, 64), 8000, 16000, 64).count() == 0
