@@ -1,4 +1,4 @@
-"""The queries of the ten operators and their SQL, as the driver's entry module registers them."""
+"""The queries of the operators and their SQL, as the driver's entry module registers them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import audio_columns, block_neighbours, crf_language, fair_mix, forced_bpe, minhash_groups, nbsvm_quality, secret_owners, toxic_channel, wavelet_store
+from ondine.llm import audio_columns, benchmark_overlap, block_neighbours, crf_language, exact_whitening, fair_mix, forced_bpe, minhash_groups, nbsvm_quality, secret_owners, toxic_channel, wavelet_store
 from ondine.llm._common import documents, labels
 
 
@@ -54,6 +54,14 @@ def op10_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_columns.digests(audio_columns.store(documents(spark, sf_dir)))
 
 
+def op11_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlap.digests(benchmark_overlap.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10))
+
+
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_whitening.rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxic_channel": op1_toxic_channel,
     "op2_block_neighbours": op2_block_neighbours,
@@ -65,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fair_mix": op8_fair_mix,
     "op9_secret_owners": op9_secret_owners,
     "op10_audio_columns": op10_audio_columns,
+    "op11_benchmark_overlap": op11_benchmark_overlap,
+    "op12_exact_whitening": op12_exact_whitening,
 }
 
-SQL: dict[str, str] = {"op2_block_neighbours": block_neighbours.SQL, "op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL}
+SQL: dict[str, str] = {"op2_block_neighbours": block_neighbours.SQL, "op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL, "op11_benchmark_overlap": benchmark_overlap.SQL}
