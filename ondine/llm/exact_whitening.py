@@ -44,11 +44,13 @@ def usable(vector: Column) -> Column:
 
 
 def integers(c: np.ndarray) -> np.ndarray:
-    """floor(SCALE * c) of doubles, exactly: 64-bit where they fit, else Python's integers."""
-    scaled = np.floor(c * SCALE)  # a power of two rounds nothing
+    """floor(SCALE * c) + SHIFT of doubles, exactly: 64-bit where they fit, else Python's integers."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(c * SCALE)  # a power of two rounds nothing
     if not scaled.size or np.abs(scaled).max() < EXACT:
-        return scaled.astype(np.int64)
-    return np.array([[int(np.ldexp(v, 0)) * SCALE if np.isinf(v * SCALE) else int(np.floor(v * SCALE)) for v in row] for row in c.tolist()], dtype=object)
+        return scaled.astype(np.int64) + SHIFT
+    whole = lambda v: int(np.floor(v * SCALE)) if abs(v) < 1e300 else int(v) * SCALE  # noqa: E731  so large a double is whole
+    return np.array([[whole(v) + SHIFT for v in row] for row in c.tolist()], dtype=object)
 
 
 def scatter(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +85,7 @@ def _sums(vectors: DataFrame, d: int) -> tuple[int, list[int], list[list[int]]]:
         n, sums, products = 0, np.zeros(d, dtype=object), np.zeros((d, d), dtype=object)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
-                s, p = scatter(integers(_matrix(batch.column(0).slice(k, ROWS), d)))
+                s, p = scatter(integers(_matrix(batch.column(0).slice(k, ROWS), d)) - SHIFT)
                 n, sums, products = n + min(ROWS, batch.num_rows - k), sums + s, products + p
         if n:
             cells = [(-1, -1, n)] + [(-1, j, int(sums[j])) for j in range(d)] + [(i, j, int(products[i, j])) for i in range(d) for j in range(i, d)]
@@ -103,14 +105,15 @@ def _matrix(cells: pa.Array, d: int) -> np.ndarray:
 
 
 class Whitening:
-    """n, sums (with the shift), the covariance's trace, and the first components with their variances, from the exact sums."""
+    """The first components of the covariance and their variances, from the exact sums."""
 
     def __init__(self, n: int, sums: list[int], products: list[list[int]], components: int = COMPONENTS) -> None:
         d = len(sums)
         self.n, self.sums = n, sums
         exact = [[n * products[i][j] - sums[i] * sums[j] for j in range(d)] for i in range(d)]
         # a common power of two keeps any size within doubles; it changes no component, and the variances by its own factor
-        self.power = max(0, max((abs(v).bit_length() for row in exact for v in row), default=0) - 900)
+        self.half = max(0, max((abs(v).bit_length() for row in exact for v in row), default=0) - 900) // 2
+        self.power = 2 * self.half
         scaled = np.array([[v / (1 << self.power) for v in row] for row in exact], dtype=np.float64).reshape(d, d)
         values, vectors = np.linalg.eigh(scaled) if d else (np.zeros(0), np.zeros((0, 0)))
         order = np.argsort(-values, kind="stable")[:components]
@@ -123,9 +126,9 @@ class Whitening:
 
     def project(self, y: np.ndarray) -> np.ndarray:
         """Whitened values of rows y = n * x - S: y's projection over the root of its variance."""
+        y = np.array([[v / (1 << self.half) for v in row] for row in y.tolist()], np.float64).reshape(y.shape) if y.dtype == object else y / 2.0**self.half
         size = np.sqrt(self.values)
-        root = 2.0 ** (-self.power / 2)
-        return np.where(size > 0, ((y * root) @ self.vectors) / np.where(size > 0, size, 1), 0.0)
+        return np.where(size > 0, (y @ self.vectors) / np.where(size > 0, size, 1), 0.0)
 
 
 def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
@@ -156,8 +159,8 @@ def _projected(vectors: DataFrame, model: Whitening, d: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 some = batch.slice(k, ROWS)
-                y = centred(integers(_matrix(some.column(1), d)), own.n, own.sums)
-                made = own.project(y.astype(np.float64))
+                y = centred(integers(_matrix(some.column(1), d)) - SHIFT, own.n, own.sums)
+                made = own.project(y)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(deviations(y), pa.int64()), pa.array(made.tolist(), pa.list_(pa.float64()))], ["id", "deviation", "whitened"])
 
     kind = T.StructType([vectors.schema["id"], T.StructField("deviation", T.LongType()), T.StructField("whitened", T.ArrayType(T.DoubleType()))])
@@ -176,7 +179,7 @@ def _identity_error(made: DataFrame, model: Whitening) -> float:
     return max(abs(v - (i == j)) for (i, j), v in zip(pairs, found))
 
 
-def whitened(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Whitening | None, float]:
+def whitened(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Whitening, float]:
     """Per vector id, deviation and its whitened values (an array), with the model and its measured error."""
     part = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vector")).where(usable(F.col("vector")))
     widths = part.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ondine.llm import audio_columns, benchmark_overlap, block_neighbours, crf_language, exact_whitening, fair_mix, forced_bpe, minhash_groups, nbsvm_quality, secret_owners, toxic_channel, wavelet_store
+from ondine.llm import audio_columns, benchmark_overlap, block_neighbours, crf_language, exact_whitening, fair_mix, forced_bpe, minhash_groups, nbsvm_quality, prefix_trie, secret_owners, toxic_channel, wavelet_store
 from ondine.llm._common import documents, labels
 
 
@@ -62,6 +62,10 @@ def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_whitening.rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxic_channel": op1_toxic_channel,
     "op2_block_neighbours": op2_block_neighbours,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_audio_columns": op10_audio_columns,
     "op11_benchmark_overlap": op11_benchmark_overlap,
     "op12_exact_whitening": op12_exact_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {"op2_block_neighbours": block_neighbours.SQL, "op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL, "op11_benchmark_overlap": benchmark_overlap.SQL}
+SQL: dict[str, str] = {"op2_block_neighbours": block_neighbours.SQL, "op8_fair_mix": fair_mix.SQL, "op9_secret_owners": secret_owners.SQL, "op11_benchmark_overlap": benchmark_overlap.SQL, "op13_prefix_trie": prefix_trie.SQL}
