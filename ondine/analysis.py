@@ -1,11 +1,12 @@
 """From samples to a track's record, and from records to an album's report.
 
-``track_record`` joins what the operators measure on (track, n, l, r, mono), one row for each track, under the names that
-the rules, scores and album operators read. ``report`` adds issues and warnings, ``album_report`` sums up albums. What was not
+``track_record`` measures (track, n, l, r), one row for each track, under the names that the rules, scores and album operators read. Samples are laid
+into blocks and read once: what a record needs of them is a sum, an extreme, a place or a frame of a block (``operators/blocks.py``), and all
+metrics are read from these. ``report`` adds issues and warnings, ``album_report`` sums up albums. What was not
 measured is null, and a rule over a null doesn't hold.
 
-A track without a whole window has null or empty window metrics; silence has a loudness of minus infinity, which counts as none in the record. Rows
-of equal (track, n) are samples of their own. An empty table gives no records.
+A track without a whole window has null or empty window metrics; silence has a loudness of minus infinity, which counts as none in the record. Samples
+are numbered from 0 without gaps or repeats. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondine.functions.scalar import finite
-from ondine.operators import album, dynamics, loudness, musical, rules, spectral, stereo
+from ondine.functions.scalar import at_share, clamp, db_from_linear, finite, half_up
+from ondine.operators import album, blocks, dynamics, loudness, musical, rules, spectral, stereo
+from ondine.staging import staged
 
 #: Levels that silence makes infinite, which count as none.
 LIMITED = ("lufs", "tp", "sample_peak", "noise", "balance", "mono_loss", "hf")
@@ -23,42 +25,60 @@ BANDED = {"sub_ok": "boolean", "low_phase": "boolean", "low_width": "double"}
 HEARD = {"harsh": "double", "sib": "double", "tilt": "double", "rolloff": "double", "hf": "double", "key_conf": "bigint", "tonal": "bigint"}
 
 
-def levels(signals: DataFrame, rate: int, weigh: bool = True) -> list[DataFrame]:
-    """What is measured on the samples themselves. ``weigh`` K-weights before loudness."""
-    loud = loudness.weighted(signals, rate) if weigh else signals
-    short = loudness.windows(loud, rate, 3)
-    return [
-        signals.groupBy("track").agg((F.count("*") / rate).alias("seconds")),
-        dynamics.basic_stats(signals).select("track", "dc", F.col("crest_db").alias("crest")),
-        dynamics.silence_edges(signals, rate).select("track", F.col("start_ms").alias("silence_start"), F.col("end_ms").alias("silence_end")),
-        dynamics.dynamic_range(signals).select("track", F.col("dynamic_range_db").alias("dr")),
-        dynamics.clip_events(signals, rate).select("track", F.col("events").alias("clip_events")),
-        dynamics.micro_contrast(signals, rate // 10).select("track", F.col("contrast_db").alias("contrast")),
-        dynamics.noise_floor(signals).select("track", F.col("noise_floor_db").alias("noise"), "bits"),
-        loudness.integrated(loud, rate).select("track", F.col("gated").alias("lufs")),
-        loudness.loudness_range(short),
-        loudness.slope_and_volatility(short),
-        loudness.true_peak(signals, "l", "r").select("track", F.col("true_peak_db").alias("tp"), F.col("sample_peak_db").alias("sample_peak")),
-        stereo.correlation(signals).select("track", F.col("correlation").alias("corr")),
-        stereo.windowed_stats(signals, rate // 5, rate).select("track", F.col("worst_1_percent").alias("worst")),
-        stereo.width(signals),
-        stereo.balance(signals).select("track", F.col("balance_db").alias("balance")),
-        stereo.mono_impact(signals, rate // 2).select("track", F.col("loss_db").alias("mono_loss")),
-        stereo.true_stereo(signals).select("track", "true_stereo"),
-    ]
-
-
-def rhythm(signals: DataFrame, rate: int) -> list[DataFrame]:
-    """Timing of the onsets, and how sure and steady the tempo is."""
-    envelope = musical.onset_envelope(signals, rate)
+def summed(tracks: DataFrame, rate: int) -> DataFrame:
+    """What follows from a track's sums, extremes and places alone."""
+    n, length = F.col("n"), F.col("n").cast("bigint")
+    rms = lambda x: F.sqrt(x / n)
+    db = db_from_linear
+    mid, side, left, right = rms(F.col("mm")), rms(F.col("side")), rms(F.col("ll")), rms(F.col("rr"))
+    ms = lambda x: half_up(x / rate * 1000)
+    low, high = F.coalesce(at_share(F.col("strided"), 0.10), F.lit(1e-4)), F.coalesce(at_share(F.col("strided"), 0.95), F.col("mono_top"))
+    return tracks.select(
+        "track",
+        (n / rate).alias("seconds"),
+        (F.col("mono") / n).alias("dc"),
+        (db(F.col("mono_top")) - db(mid)).alias("crest"),
+        ms(F.coalesce("first_loud", length)).alias("silence_start"),
+        ms(F.coalesce(length - 1 - F.col("last_loud"), length)).alias("silence_end"),
+        F.greatest(F.lit(0.0), db(high) - db(low)).alias("dr"),
+        F.col("clip_events").cast("bigint").alias("clip_events"),
+        db(F.when(n < 12, F.col("sample_top")).otherwise(F.col("between_top"))).alias("tp"),
+        db(F.col("sample_top")).alias("sample_peak"),
+        stereo.correlation_of(n, *(F.col(c) for c in ("l", "r", "ll", "rr", "lr"))).alias("corr"),
+        F.when((mid > 0) & (side > 0), clamp(side / mid * 100, 0.0, 300.0)).otherwise(0.0).alias("width"),
+        F.when((left > 0) & (right > 0), db(right) - db(left)).otherwise(0.0).alias("balance"),
+        (db(mid) - db(F.sqrt((F.col("ll") + F.col("rr")) / (2 * n)))).alias("mono_loss"),
+        (F.col("differs") / F.least(F.lit(10_000), length) > 1e-4).alias("true_stereo"),
+    )
+
+
+def framed(made: DataFrame, tracks: DataFrame, rate: int) -> list[DataFrame]:
+    """What is read from the frames of the samples as they are: contrast, noise, correlation, timing of onsets, tempo."""
+    sizes = tracks.select("track", F.col("n").cast("bigint").alias("length"))
+    frame = lambda name, *values: blocks.frames_of(made, name, *values)
+    window, hop = int(rate * 0.023), rate // 100
+    correlated = stereo.windowed_of(frame("corr", "sa", "sb", "saa", "sbb", "sab"), rate // 5)
+    onsets = dynamics.onsets(frame("onset", "power").withColumn("energy", F.col("power") / (rate // 100)), rate // 100 // 2, rate)
+    envelope = musical.envelope_of(frame("envelope", "power").withColumn("x", F.sqrt(F.col("power") / window)).drop("power"), sizes, window, hop)
     tempi = musical.tempo(envelope)
     return [
-        dynamics.transient_spacing(signals, rate // 100, rate).select("track", "cv", F.col("character").alias("timing")),
+        dynamics.contrast(frame("crest", "peak", "power"), rate // 10).select("track", F.col("contrast_db").alias("contrast")),
+        dynamics.quietest(frame("noise", "energy"), sizes, 4096).select("track", F.col("noise_floor_db").alias("noise"), "bits"),
+        stereo.lowest(correlated, rate // 5).select("track", F.col("worst_1_percent").alias("worst")),
+        dynamics.spacing(onsets, sizes, rate // 100 // 2, rate).select("track", "cv", F.col("character").alias("timing")),
         tempi.select("track", F.col("confidence").alias("bpm_conf")),
         musical.beat_stability(envelope, tempi),
     ]
 
 
+def loudnesses(made: DataFrame, rate: int) -> list[DataFrame]:
+    """Gated loudness, its range, trend and volatility."""
+    gate = int(rate * 0.4)
+    blocks_ = blocks.frames_of(made, "gate", "power").select("track", "frame", (F.col("power") / gate).alias("p"))
+    short = loudness.windows_of(blocks.hops_of(made), rate, rate // 10 * 30)
+    return [loudness.gated(blocks_).select("track", F.col("gated").alias("lufs")), loudness.loudness_range(short), loudness.slope_and_volatility(short)]
+
+
 def low_bands(signals: DataFrame, rate: int) -> list[DataFrame]:
     """Phase of the sub-bass and width of the lows, from band-passed samples."""
     return [
@@ -67,30 +87,34 @@ def low_bands(signals: DataFrame, rate: int) -> list[DataFrame]:
     ]
 
 
-def spectral_shares(signals: DataFrame, heard_at: float, frame: int) -> list[DataFrame]:
-    """What is read from the spectra of whole frames, and the key. ``heard_at``: the rate that gives bins their frequencies."""
-    spectra = spectral.bins(spectral.whole_frames(signals, frame), heard_at, frame)
-    average = spectral.averaged(spectra)
-    keys = musical.top_keys(musical.key_scores(musical.chroma(spectra, ["track"]), ["track"]), ["track"], most=1)
+def spectral_shares(made: DataFrame, tracks: DataFrame, heard_at: float, frame: int) -> list[DataFrame]:
+    """What is read from the sums of the spectra of whole frames, and the key. ``heard_at``: the rate that gives bins their frequencies."""
+    average = blocks.spectrum_of(made, heard_at / frame)
+    squares = average.withColumn("mag", F.sqrt("square"))
+    keys = musical.top_keys(musical.key_scores(musical.chroma(squares, ["track"]), ["track"]), ["track"], most=1)
     return [
         spectral.shares(average, heard_at, frame).select("track", F.col("harshness").alias("harsh"), F.col("sibilance").alias("sib")),
         spectral.tilt(average, heard_at, frame),
-        spectral.centroid_rolloff(spectra).select("track", "rolloff"),
-        spectral.band_level(spectra, 8000, 16000, frame).withColumnRenamed("level_db", "hf"),
+        tracks.where("heard > 0").select("track", (F.col("rolloffs") / F.col("heard")).alias("rolloff")),
+        spectral.band_level_of(average, 8000, 16000, frame).withColumnRenamed("level_db", "hf"),
         keys.select("track", F.col("confidence").alias("key_conf"), F.col("tonalness").alias("tonal")),
     ]
 
 
-def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = True, frame: int = 4096, heard_at: float | None = None) -> DataFrame:
-    """Every per-track metric of the operators. ``weigh`` K-weights before loudness, ``bands`` filters the lows, and ``frame`` is the size of the
-    spectra (0: none); what is left out is null."""
-    parts = levels(signals, rate, weigh) + rhythm(signals, rate)
-    parts += low_bands(signals, rate) if bands else []
-    parts += spectral_shares(signals, heard_at or rate, frame) if frame else []
-    made = parts[0]
-    for part in parts[1:]:
-        made = made.join(part, "track", "left")
-    return made.withColumns({c: F.lit(None).cast(t) for c, t in (BANDED | HEARD).items() if c not in made.columns})
+def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = True, frame: int = 4096, heard_at: float | None = None, block: int = blocks.BLOCK) -> DataFrame:
+    """Every per-track metric of the operators, from one pass over blocks of the samples; K-weighted samples (``weigh``) take another one for the
+    loudness, and filtered lows (``bands``) theirs. ``frame`` is the size of the spectra (0: none); what is left out is null."""
+    heard_at = heard_at or rate
+    made = blocks.parts(signals, rate, blocks.record_kinds(rate), frame, heard_at, block)
+    tracks = staged(blocks.merged(made), "merged")
+    loud = blocks.parts(loudness.weighted(signals, rate), rate, {"gate": blocks.record_kinds(rate)["gate"]}, 0, block=block) if weigh else made
+    rest = framed(made, tracks, rate) + loudnesses(loud, rate)
+    rest += low_bands(signals, rate) if bands else []
+    rest += spectral_shares(made, tracks, heard_at, frame) if frame else []
+    out = summed(tracks, rate)
+    for part in rest:
+        out = out.join(part, "track", "left")
+    return out.withColumns({c: F.lit(None).cast(t) for c, t in (BANDED | HEARD).items() if c not in out.columns})
 
 
 def derived(metrics: DataFrame, rate: int, bit_depth: int, channels: int = 2) -> DataFrame:

@@ -69,7 +69,11 @@ def peak_clusters(signals: DataFrame, window: int, threshold: float = HIGH) -> D
 
 def micro_contrast(signals: DataFrame, window: int) -> DataFrame:
     """Upper median of the windows' crest factors in dB."""
-    made = frames(signals, window, window // 2, F.max(F.abs("mono")).alias("peak"), F.sum(F.col("mono") * F.col("mono")).alias("power"), strict=True)
+    return contrast(frames(signals, window, window // 2, F.max(F.abs("mono")).alias("peak"), F.sum(F.col("mono") * F.col("mono")).alias("power"), strict=True), window)
+
+
+def contrast(made: DataFrame, window: int) -> DataFrame:
+    """The same from the windows' peak and power."""
     rms = F.sqrt(F.col("power") / window)
     crest = db_from_linear(F.col("peak")) - db_from_linear(rms)
     good = (rms > 1e-4) & (F.col("peak") > 0) & finite(crest) & (crest > 0)
@@ -134,7 +138,11 @@ def transients(signals: DataFrame, window: int, rate: int) -> DataFrame:
     is accepted in any case, so it opens a run that is decided by itself.
     """
     hop = window // 2
-    energy = frames(signals, window, hop, (F.sum(F.col("mono") * F.col("mono")) / window).alias("energy"), strict=True)
+    return onsets(frames(signals, window, hop, (F.sum(F.col("mono") * F.col("mono")) / window).alias("energy"), strict=True), hop, rate)
+
+
+def onsets(energy: DataFrame, hop: int, rate: int) -> DataFrame:
+    """The same from the energy of windows."""
     order, whole = Window.partitionBy("track").orderBy("frame"), Window.partitionBy("track")
     rise = F.greatest(F.lit(0.0), F.col("energy") - F.lag("energy").over(order))
     rises = energy.withColumn("rise", rise).where("frame > 0").withColumn("i", F.col("frame") - 1)
@@ -154,12 +162,16 @@ def timing_character(cv: Column) -> Column:
 
 def transient_spacing(signals: DataFrame, window: int, rate: int) -> DataFrame:
     """Onsets, their number a minute, and the variation of the time between them."""
-    hop = window // 2
+    return spacing(transients(signals, window, rate), lengths(signals), window // 2, rate)
+
+
+def spacing(found: DataFrame, sizes: DataFrame, hop: int, rate: int) -> DataFrame:
+    """The same from the onsets and the lengths of tracks."""
     gap = F.col("i") - F.lag("i").over(Window.partitionBy("track").orderBy("i"))
-    gaps = transients(signals, window, rate).withColumn("gap", gap * hop / rate)
+    gaps = found.withColumn("gap", gap * hop / rate)
     made = gaps.groupBy("track").agg(F.count("*").alias("onsets"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv"))
     cv = F.when(F.col("onsets") >= 3, F.col("cv")).otherwise(0.0)
-    out = lengths(signals).join(made, "track", "left").withColumns({"onsets": F.coalesce("onsets", F.lit(0)), "cv": F.coalesce(cv, F.lit(0.0))})
+    out = sizes.join(made, "track", "left").withColumns({"onsets": F.coalesce("onsets", F.lit(0)), "cv": F.coalesce(cv, F.lit(0.0))})
     return out.select("track", "onsets", (F.col("onsets") / (F.col("length") / rate / 60)).alias("per_minute"), "cv", F.when(F.col("onsets") < 3, "natural").otherwise(timing_character(F.col("cv"))).alias("character"))
 
 
@@ -223,8 +235,12 @@ def preservation_note(score: Column) -> Column:
 
 def noise_floor(signals: DataFrame, window: int = 4096) -> DataFrame:
     """Quietest window that is not silent, and the bits that it leaves; infinite and 8 without one."""
-    made = frames(signals, window, window, F.sum(F.col("mono") * F.col("mono")).alias("energy"), strict=True)
+    return quietest(frames(signals, window, window, F.sum(F.col("mono") * F.col("mono")).alias("energy"), strict=True), lengths(signals), window)
+
+
+def quietest(made: DataFrame, sizes: DataFrame, window: int) -> DataFrame:
+    """The same from the windows' energy and the lengths of tracks."""
     quiet = made.where("energy > 0").groupBy("track").agg(F.min("energy").alias("energy"))
-    out = lengths(signals).join(quiet, "track", "left")
+    out = sizes.join(quiet, "track", "left")
     db = F.coalesce(10 * F.log10(F.col("energy") / window), F.lit(INF))
     return out.select("track", db.alias("noise_floor_db"), F.when(db == INF, 8).otherwise(clamp(half_up((-db - 6) / 6), 8, 24)).cast("int").alias("bits"))

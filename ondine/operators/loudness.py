@@ -35,17 +35,29 @@ def windows(signals: DataFrame, rate: int, seconds: float) -> DataFrame:
     hop = rate // 10
     window = int(rate * seconds)
     if window % hop:
-        made = frames(signals, window, hop, F.sum(power("l", "r")).alias("p")).withColumnRenamed("frame", "i")
-    else:
-        parts = hops(signals, hop, F.sum(power("l", "r")).alias("p"))
-        made = sliding_sums(parts, hop, window // hop, "p").withColumnRenamed("hop", "i")
-    return made.select("track", "i", (F.col("i") * hop / rate).alias("t"), lufs_from_power(F.col("p") / window).alias("lufs"))
+        made = frames(signals, window, hop, F.sum(power("l", "r")).alias("p"))
+        return _windows(made.withColumnRenamed("frame", "i"), window, rate)
+    return windows_of(hops(signals, hop, F.sum(power("l", "r")).alias("p")), rate, window)
+
+
+def windows_of(parts: DataFrame, rate: int, window: int) -> DataFrame:
+    """The same from the sums p of hops of a tenth of a second, of which ``window`` is a whole number."""
+    hop = rate // 10
+    return _windows(sliding_sums(parts, hop, window // hop, "p").withColumnRenamed("hop", "i"), window, rate)
+
+
+def _windows(sums: DataFrame, window: int, rate: int) -> DataFrame:
+    return sums.select("track", "i", (F.col("i") * (rate // 10) / rate).alias("t"), lufs_from_power(F.col("p") / window).alias("lufs"))
 
 
 def integrated(signals: DataFrame, rate: int) -> DataFrame:
     """Gated and ungated loudness of blocks of 0.4 s that start every 0.3 s."""
     block = int(rate * 0.4)
-    blocks = frames(signals, block, int(block * 0.75), (F.sum(power("l", "r")) / block).alias("p"))
+    return gated(frames(signals, block, int(block * 0.75), (F.sum(power("l", "r")) / block).alias("p")))
+
+
+def gated(blocks: DataFrame) -> DataFrame:
+    """Gated and ungated loudness from the mean powers p of blocks."""
     mean = F.avg(F.when(F.col("p") >= ABSOLUTE_GATE, F.col("p"))).over(Window.partitionBy("track"))
     passed = (F.col("p") >= ABSOLUTE_GATE) & (F.col("p") >= F.col("mean") * 0.1)
     made = blocks.withColumn("mean", mean).groupBy("track").agg(F.avg(F.when(passed, F.col("p"))).alias("g"), F.avg("p").alias("u"))

@@ -20,7 +20,11 @@ def onset_envelope(signals: DataFrame, rate: int) -> DataFrame:
     """Rises of the level in windows of 23 ms at 100 a second, over their largest: (track, i, e). The first frame rises from 0."""
     window, hop = int(rate * 0.023), rate // FRAME_RATE
     made = frames(signals, window, hop, F.sqrt(F.sum(F.col("mono") * F.col("mono")) / window).alias("x"))
-    lengths = signals.groupBy("track").agg(F.count("*").alias("length"))
+    return envelope_of(made, signals.groupBy("track").agg(F.count("*").alias("length")), window, hop)
+
+
+def envelope_of(made: DataFrame, lengths: DataFrame, window: int, hop: int) -> DataFrame:
+    """The same from the level x of frames and the lengths of tracks."""
     made = made.join(lengths, "track").where(F.col("frame") < F.floor((F.col("length") - window) / hop))
     rise = F.greatest(F.lit(0.0), F.col("x") - F.lag("x", 1, 0.0).over(Window.partitionBy("track").orderBy("frame")))
     top = F.max("e").over(Window.partitionBy("track"))

@@ -96,6 +96,13 @@ def band_level(spectra: DataFrame, low: float, high: float, size: int) -> DataFr
     return spectra.groupBy("track").agg(db_from_linear(F.sqrt(power)).alias("level_db"))
 
 
+def band_level_of(sums: DataFrame, low: float, high: float, size: int) -> DataFrame:
+    """The same from the sum of squares of each bin over the frames: (track, freq, square, frames)."""
+    inside = F.when(F.col("freq").between(low, high), F.col("square")).otherwise(0.0)
+    power = 2 * F.sum(inside) / F.max("frames") / float(size * np.sum(_hann(size) ** 2))
+    return sums.groupBy("track").agg(db_from_linear(F.sqrt(power)).alias("level_db"))
+
+
 def flatness(average: DataFrame) -> DataFrame:
     """Geometric over arithmetic mean of the bins from 1 on."""
     return average.where((F.col("k") >= 1) & (F.col("mag") > 0)).groupBy("track").agg((F.exp(F.avg(F.log("mag"))) / F.avg("mag")).alias("flatness"))

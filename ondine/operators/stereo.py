@@ -31,13 +31,22 @@ def correlation(signals: DataFrame, a: str = "l", b: str = "r") -> DataFrame:
 
 def windowed(signals: DataFrame, window: int) -> DataFrame:
     """Correlation of half-overlapped windows: (track, frame, correlation, rms)."""
-    made = frames(signals, window, window // 2, *_sums("l", "r"), strict=True)
+    return windowed_of(frames(signals, window, window // 2, *_sums("l", "r"), strict=True), window)
+
+
+def windowed_of(made: DataFrame, window: int) -> DataFrame:
+    """The same from the windows' sums sa, sb, saa, sbb and sab."""
     return made.select("track", "frame", _correlation(F.lit(window)).alias("correlation"), F.sqrt((F.col("saa") + F.col("sbb")) / (2 * window)).alias("rms"))
 
 
 def windowed_stats(signals: DataFrame, window: int, rate: int, worst: int = 5) -> DataFrame:
     """Mean and worst percent of the windows, and the times of the lowest."""
-    made = windowed(signals, window).withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy("correlation", "frame")))
+    return lowest(windowed(signals, window), window, worst)
+
+
+def lowest(made: DataFrame, window: int, worst: int = 5) -> DataFrame:
+    """The same from the windows' correlations."""
+    made = made.withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy("correlation", "frame")))
     starts = F.array_sort(F.collect_list(F.when(F.col("rank") <= worst, F.struct("rank", "frame"))))
     out = made.groupBy("track").agg(F.avg("correlation").alias("mean"), worst_percent(F.collect_list("correlation")).alias("worst_1_percent"), starts.alias("w"))
     return out.select("track", "mean", "worst_1_percent", F.array_join(F.transform("w", lambda x: x["frame"] * (window // 2)), ",").alias("worst_at"))
