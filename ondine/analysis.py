@@ -81,10 +81,7 @@ def loudnesses(made: DataFrame, rate: int) -> list[DataFrame]:
 
 def low_bands(signals: DataFrame, rate: int) -> list[DataFrame]:
     """Phase of the sub-bass and width of the lows, from band-passed samples."""
-    return [
-        stereo.sub_bass(signals, rate).select("track", F.col("mono_compatible").alias("sub_ok"), F.col("phase_issues").alias("low_phase")),
-        stereo.band_width(signals, rate, 20, 150).withColumnRenamed("width", "low_width"),
-    ]
+    return [stereo.lows(signals, rate)]
 
 
 def spectral_shares(made: DataFrame, tracks: DataFrame, heard_at: float, frame: int) -> list[DataFrame]:
@@ -111,9 +108,11 @@ def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = Tr
     rest = framed(made, tracks, rate) + loudnesses(loud, rate)
     rest += low_bands(signals, rate) if bands else []
     rest += spectral_shares(made, tracks, heard_at, frame) if frame else []
+    # each part has one row for a track, so they are laid under each other and grouped once
     out = summed(tracks, rate)
     for part in rest:
-        out = out.join(part, "track", "left")
+        out = out.unionByName(part, allowMissingColumns=True)
+    out = out.groupBy("track").agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c != "track"])
     return out.withColumns({c: F.lit(None).cast(t) for c, t in (BANDED | HEARD).items() if c not in out.columns})
 
 
