@@ -10,8 +10,8 @@ Each indicator is scaled by its log-count ratio between the classes of the
 training rows; on the scaled indicators a linear model with squared hinge loss is fitted by dual coordinate descent,
 and a logistic curve over its margins, fitted on rows that the descent didn't see, gives the score.
 
-Counts and the descent are over a bounded sample of labelled rows; whole texts are read, PIECE characters at a time, so an n-gram that
-stands across two pieces is not seen. Empty and null
+Counts and the descent are over a bounded sample of labelled rows. Whole texts are read, PIECE characters at a time; the last characters and
+runs of a piece, with the run that is still open, go before the next one, so pieces make no difference. Empty and null
 texts have no features and get the model's bias. Repeated rows get equal scores; an empty table gives an empty result; other
 columns are not read.
 """
@@ -69,7 +69,18 @@ def buckets(x: np.ndarray, n: int, salt: int) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
-def features(text: str | None) -> np.ndarray:
+def runs(kind: np.ndarray, opened: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and lengths of the runs of equal kinds; a run (kind, length) that came before is the first, or a part of it."""
+    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    kinds_, sizes = kind[starts].astype(np.int64), np.diff(np.append(starts, len(kind)))
+    if opened and opened[0] == kinds_[0]:
+        sizes[0] += opened[1]
+    elif opened:
+        kinds_, sizes = np.insert(kinds_, 0, opened[0]), np.insert(sizes, 0, opened[1])
+    return kinds_, sizes
+
+
+def features(text: str | None, piece: int = PIECE) -> np.ndarray:
     """The distinct buckets of a text's n-grams and shares."""
     text = text or ""
     words = text.encode().split()
@@ -78,16 +89,18 @@ def features(text: str | None) -> np.ndarray:
         return np.zeros(0, np.int64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     mark[buckets(hashes, 1, 1)] = mark[buckets(hashes, 2, 2)] = True
-    seen, parted = np.zeros(256, np.int64), 0
-    for k in range(0, len(text), PIECE):
-        piece = text[k : k + PIECE]
-        mark[buckets(np.frombuffer(piece.encode("utf-32-le"), "<u4"), 3, 3)] = True
-        kind = kinds()[np.frombuffer(piece.encode(), np.uint8)]
-        starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-        runs = kind[starts].astype(np.uint64) * np.uint64(4) + np.minimum(np.diff(np.append(starts, len(kind))), 3).astype(np.uint64)
-        mark[buckets(runs, 4, 4)] = mark[buckets(runs, 2, 5)] = True
+    seen, parted, opened, signs = np.zeros(256, np.int64), 0, None, np.zeros(0, np.int64)
+    for k in range(0, len(text), piece):
+        end = k + piece >= len(text)
+        mark[buckets(np.frombuffer(text[max(0, k - 2) : k + piece].encode("utf-32-le"), "<u4"), 3, 3)] = True
+        kind = kinds()[np.frombuffer(text[k : k + piece].encode(), np.uint8)]
         seen += np.bincount(kind, minlength=256)
-        parted += int((kind[starts] == 0).sum())
+        of, sizes = runs(kind, opened)
+        if not end:
+            opened, of, sizes = (int(of[-1]), int(sizes[-1])), of[:-1], sizes[:-1]
+        signs = np.concatenate([signs[-3:], of * 4 + np.minimum(sizes, 3)])
+        mark[buckets(signs, 4, 4)] = mark[buckets(signs, 2, 5)] = True
+        parted += int((of == 0).sum())
     steps = np.array([np.arange(1, 21) / 20 <= s for s in shares(text, words, seen / seen.sum(), parted)])
     at = np.argwhere(steps)
     mark[buckets((at[:, 0] * 20 + at[:, 1]).astype(np.uint64), 1, 6)] = True

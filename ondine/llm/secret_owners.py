@@ -64,11 +64,18 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 
 
 def spans(rows: DataFrame) -> DataFrame:
-    """A row for each match that passes, with its place: the gaps and matches before it are summed up."""
-    each = rows.select("__row", "__source", F.explode("__found").alias("s")).select("__row", "__source", "s.*")
+    """A row for each match that passes, with its place: the gaps and matches before it are summed up.
+
+    Opaque tokens within what a keyword found go: assignments don't overlap, so the last one that begins before or with a token holds
+    it if any does.
+    """
+    each = rows.select("__row", "__source", F.explode("__found").alias("s")).select("__row", "__source", "s.*").repartition("__row")
     before = Window.partitionBy("__row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
-    return each.where("hash is not null").select("__row", "__source", (F.col("end") - F.col("size")).alias("at"), "kind", "end", "hash")
+    each = each.where("hash is not null").select("__row", "__source", (F.col("end") - F.col("size")).alias("at"), "kind", "end", "hash")
+    so_far = Window.partitionBy("__row").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("__named", F.max(F.when(F.col("kind") == 0, F.col("end"))).over(so_far))
+    return each.where((F.col("kind") < 3) | F.col("__named").isNull() | (F.col("__named") < F.col("end"))).drop("__named")
 
 
 def owners(each: DataFrame) -> DataFrame:
@@ -151,7 +158,8 @@ u as (select r, source, kind, unnest(ms) as m, unnest(range(1, len(ms) + 1)) as
 s as (select r, source, kind, m, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::int as b0 from u
       where case kind when 0 then length(regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2)) >= 12 when 1 then length(m) >= 18 when 2 then true
             else length(m) >= 24 and not regexp_matches(m, '[.=]') and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]') end),
-h as (select *, b0 + length(m) as e, case kind when 0 then regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2) else m end as v from s),
+h as (select *, b0 + length(m) as e, case kind when 0 then regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2) else m end as v from s
+      where kind < 3 or not exists (select 1 from s a where a.kind = 0 and a.r = s.r and a.b0 <= s.b0 and a.b0 + length(a.m) >= s.b0 + length(s.m))),
 o as (select v, count(distinct (split_part(source, '/', 1), source is null)) as n_owners from h group by v),
 k as (select h.*, n_owners from h join o using (v) where kind < 3 or n_owners = 1),
 g as (select r, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as b, count(*) filter (kind = 2) as c,

@@ -233,12 +233,14 @@ def held_out(name: str = "doc_id", folds: int = 5):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> DataFrame:
-    """Text and label of at most ``most`` labelled rows outside the held-out fold, by the hash of their ids."""
+    """Text and label of at most ``most`` labelled ids outside the held-out fold, by the hash of the ids; of an id's rows, that of the least hash of its
+    text, so there are at most ``most`` rows."""
     some = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     some = some.select(F.col(id_col).cast("bigint").alias("__id"), (F.col(label) > 0).cast("int").alias("label"))
     some = some.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
     text = docs.select(docs[id_col].cast("bigint").alias("__id"), docs[text_col].cast("string").alias("text"))
-    return text.join(F.broadcast(some), "__id").select("__id", "text", "label")
+    first = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))["text"]
+    return text.join(F.broadcast(some), "__id").groupBy("__id").agg(first.alias("text"), F.max("label").alias("label"))
 
 
 def _evidence(sample: DataFrame, chars: CharModel) -> DataFrame:

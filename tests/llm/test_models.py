@@ -146,6 +146,32 @@ def brute_quality(text):
     return grams(hashes, 1, 1) | grams(hashes, 2, 2) | grams([*map(ord, text)], 3, 3) | grams(signs, 4, 4) | grams(signs, 2, 5) | steps
 
 
+def test_pieces_of_a_text_make_no_difference():
+    rng = random.Random(21)
+    base = ["".join(rng.choices("ab cD1 !é\n\U0001f642\x85", k=k)) for k in (1, 6, 7, 8, 9, 21, 500)]
+    texts = base + [None, "", "   ", "ONE two", "a" * 5000, "a" * 30 + "XYZ" + " " * 9 + "\n\n1!1!é漢é" * 5, "x", "   y   "]
+    for text in texts:
+        want = sorted(brute_quality(text))
+        for piece in (7, 8, 1000):
+            if piece > 8 or len(text or "") < 20_000:
+                assert nbsvm_quality.features(text, piece).tolist() == want
+    long = "".join(rng.choices("ab cD1 !é\n", k=300_000))
+    for at in range(nbsvm_quality.PIECE - 4, nbsvm_quality.PIECE + 3):
+        text = long[:at] + "XYZ" + long[at + 3 :]
+        assert nbsvm_quality.features(text).tolist() == nbsvm_quality.features(text, 1 << 30).tolist()
+    assert nbsvm_quality.features(long).tolist() == sorted(brute_quality(long))
+
+
+def test_the_labelled_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5000)] + [(2, None), (3, "x"), (3, "x"), (None, "y")], "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(i, (i or 0) % 2) for i in (1, 1, 2, 3, 4, None)], "doc_id bigint, quality int")
+    for most in (1, 2, 10):
+        sample = toxic_channel.labelled_sample(docs, marks, "quality", "doc_id", "text", most).collect()
+        assert len(sample) <= most and len({r["__id"] for r in sample}) == len(sample)
+    again = toxic_channel.labelled_sample(docs.repartition(5), marks, "quality", "doc_id", "text", 10).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, sample))
+
+
 def test_quality_query_against_brute_force(spark, learned, hard):
     """Indicators, ratios and scores of the query, each computed again from the texts."""
     rows, docs, marks = learned
@@ -197,8 +223,6 @@ def test_language_query_against_brute_force(learned, hard):
             got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
         for r in df.collect():
             words = [w for t in (r.text or "").split() if (w := crf_language.plain(t))]
-            if len(words) > 2000:
-                continue
             if not words:
                 assert ("und", 0.0) in got[r.doc_id]
                 continue

