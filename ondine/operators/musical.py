@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,38 @@ def envelope_of(made: DataFrame, lengths: DataFrame, window: int, hop: int) -> D
     return made.withColumn("e", rise).select("track", F.col("frame").alias("i"), F.when(top > 0, F.col("e") / top).otherwise(F.col("e")).alias("e"))
 
 
-def autocorrelation(envelope: DataFrame, low: int, high: int) -> DataFrame:
-    """Mean product of the envelope with itself ``lag`` frames later: (track, lag, r). An equi-join on the later frame."""
-    size = F.count("*").over(Window.partitionBy("track"))
-    later = envelope.select("track", F.col("i").alias("j"), F.col("e").alias("y"))
-    each = envelope.withColumn("size", size).withColumn("lag", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("j", F.col("i") + F.col("lag"))
-    return each.join(later, ["track", "j"]).groupBy("track", "lag").agg((F.sum(F.col("e") * F.col("y")) / (F.max("size") - F.col("lag"))).alias("r"))
+#: Frames of an envelope that are correlated at once.
+STRETCH = 1 << 14
+
+
+def _products(low: int, high: int):
+    """Sum of the products of the first ``own`` values with those ``lag`` places later, for each lag; null where there are none."""
+
+    @F.pandas_udf("array<double>")
+    def sums(values: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for x, n in zip(values, own):
+            x = np.asarray(x, np.float64)
+            pairs = [min(n, len(x) - lag) for lag in range(low, high + 1)]
+            out.append([float(x[:m] @ x[lag : lag + m]) if m > 0 else None for lag, m in zip(range(low, high + 1), pairs)])
+        return pd.Series(out)
+
+    return sums
+
+
+def autocorrelation(envelope: DataFrame, low: int, high: int, stretch: int = STRETCH) -> DataFrame:
+    """Mean product of the envelope with itself ``lag`` frames later: (track, lag, r).
+
+    The frames, numbered from 0 without gaps, are laid into stretches of arrays with the next ``high`` frames behind them; each gives its sums
+    for all lags, and a track's are added up.
+    """
+    first = F.greatest(F.floor((F.col("i") - high) / stretch), F.lit(0).cast("bigint"))
+    laid = envelope.select("track", "i", "e", F.explode(F.sequence(first, F.floor(F.col("i") / stretch))).alias("block"))
+    laid = laid.groupBy("track", "block").agg(F.sort_array(F.collect_list(F.struct("i", "e"))).alias("s"), F.count_if(F.floor(F.col("i") / stretch) == F.col("block")).alias("own"))
+    summed = laid.select("track", "own", _products(low, high)(F.transform("s", lambda x: x["e"]), F.col("own")).alias("sums"))
+    sizes = summed.groupBy("track").agg(F.sum("own").alias("size"))
+    each = summed.select("track", F.posexplode("sums").alias("at", "v")).where("v is not null").groupBy("track", (F.col("at") + low).alias("lag")).agg(F.sum("v").alias("v"))
+    return each.join(sizes, "track").select("track", "lag", (F.col("v") / (F.col("size") - F.col("lag"))).alias("r"))
 
 
 def local_maxima(rows: DataFrame, order: str, value: str, above: float | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ondine.plans.dynamics import rounded
-from ondine.plans.kept import shared_dir
+from ondine.plans.kept import kept
 from ondine.plans.loudness import pole
 from ondine.plans.registry import query
 from ondine.plans.views import table
+from ondine.staging import remove, shared_dir, staged
 from ondine.streaming import live
 
 
@@ -26,18 +29,49 @@ def source(spark: SparkSession, d: str) -> DataFrame:
     return raw.select(F.col("user_id").alias("track"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("n"), ((F.col("value") - 50) / 500).alias("x"))
 
 
+#: Files of the mixed stream but the last two, days that each brings, and how late a sample may come.
+FILES, DAYS, LATE = 6, 5, "3 days"
+
+
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    """(track, ts, n, x, expected) of the events as a stream of several files, one a batch. A sample comes up to two days after its time, so files
+    bring samples out of order; last rows without a track move the watermark past all. ``expected`` is the number of a track's samples, and one more
+    for every fifth track, which so is never whole."""
+    raw = table(spark, d, "events")
+    sizes = raw.groupBy("user_id").agg((F.count("*") + (F.col("user_id") % 5 == 0).cast("int")).alias("expected"))
+    made = kept(spark, d, "mixed", lambda: raw.join(sizes, "user_id").select(F.col("user_id").cast("bigint").alias("track"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("bigint").alias("n"), ((F.col("value") - 50) / 500).alias("x"), "expected"), source="events")
+    first, last = made.agg(F.min("ts"), F.max("ts")).first()
+    base = f"{shared_dir(spark)}/ondine-events-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
+    day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / 86_400_000_000) + F.pmod(F.xxhash64("n"), F.lit(3))
+    part = F.least(F.floor(day / DAYS), F.lit(FILES - 1))
+    closing = spark.createDataFrame([(None, last + datetime.timedelta(days=60), None, None, None)], made.schema)
+    for k in range(FILES):
+        made.where(part == k).coalesce(1).write.mode("append").parquet(base)
+    for _ in range(2):  # the watermark that the first one moves holds from the next batch on
+        closing.coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all there is and returns what its sink holds at the end."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/ondine-stream-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
 
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that is tried again replaces what it wrote; a complete one replaces all before it
         batch.write.mode("overwrite").parquet(f"{base}/out/{0 if mode == 'complete' else number}")
 
-    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    running.awaitTermination()
-    made = spark.read.schema(stream.schema).parquet(f"{base}/out/*")
+    try:
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    made = staged(spark.read.schema(stream.schema).parquet(f"{base}/out/*"), "stream")
+    remove(spark, base)
     return made.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in made.dtypes])
 
 
@@ -65,10 +99,22 @@ def q_stream_clip_sessions(spark, d):
   s as (select track, n, event_id, (1 - {pole(100)}) * x as y from ev where n = 1 union all select ev.track, ev.n, ev.event_id, (1 - {pole(100)}) * ev.x + {pole(100)} * s.y from s join ev on ev.track = s.track and ev.n = s.n + 1)
   select track, event_id as n, round(y, 6) as y from s""")
 def q_stream_iir_state(spark, d):
-    return rounded(drained(live.low_passed(source(spark, d), 100, 1000), "append"))
+    return rounded(drained(live.folded(mixed(spark, d), LATE, live.LowPass("bigint", 100, 1000)), "append"))
+
+
+@query(f"""with {EV}, g as (select *, abs(x) >= 0.2 as loud, row_number() over (partition by track order by ts, n) - row_number() over (partition by track, abs(x) >= 0.2 order by ts, n) as island from ev)
+  select track, min(ts) as ts, count(*) as samples, round(max(abs(x)), 6) as peak from g where loud group by track, island""")
+def q_stream_clip_runs(spark, d):
+    return rounded(drained(live.folded(mixed(spark, d), LATE, live.LoudRuns("bigint", 0.2)), "append"))
+
+
+@query(f"""with recursive {EV}, l as (select track, ts, n from ev where abs(x) >= 0.1),
+  o as (select track, min(ts) as ts from l group by track union all select l.track, min(l.ts) from o join l on l.track = o.track and l.ts >= o.ts + interval 2 day group by l.track, o.ts)
+  select track, min(n) as n, ts from o join l using (track, ts) group by track, ts""")
+def q_stream_onsets(spark, d):
+    return drained(live.folded(mixed(spark, d), LATE, live.Onsets("bigint", 0.1, 2 * 86_400_000_000)), "append")
 
 
-@query("select user_id as track, count(*) as samples from events group by user_id")
+@query(f"""with {EV} select track, count(*) as samples, track % 5 <> 0 as whole, round(avg(x), 6) as dc, round(avg(x * x), 6) as power, round(max(abs(x)), 6) as peak, min(ts) as first, max(ts) as last from ev group by track""")
 def q_stream_results(spark, d):
-    seen = source(spark, d).groupBy("track").agg(F.count("*").alias("samples"))
-    return drained(seen, "complete")
+    return rounded(drained(live.folded(mixed(spark, d), LATE, live.Ends("bigint")), "append"))

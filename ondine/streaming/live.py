@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ondine.functions.scalar import lufs_from_power
 from ondine.operators.filters import iir
@@ -35,52 +35,178 @@ def loud_sessions(stream: DataFrame, least: float, gap: str, late: str) -> DataF
     return made.select("track", F.col("session_window.start").alias("start"), "samples", "peak")
 
 
-def low_passed(stream: DataFrame, cut: float, rate: float) -> DataFrame:
-    """One-pole low-pass of (track, ts, n, x); a track's last output is its state from batch to batch."""
-    a = math.exp(-2 * math.pi * cut / rate)
-
-    def run(key: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "n"], ignore_index=True)
-        last = state.get[0] if state.exists else 0.0
-        x = rows["x"].to_numpy(np.float64)
-        y = iir(x, (1 - a,), (1.0, -a)) + last * a ** np.arange(1, len(x) + 1)
-        state.update((float(y[-1]),))
-        yield pd.DataFrame({"track": rows["track"], "n": rows["n"], "y": y})
-
-    kind = stream.schema["track"].dataType.simpleString()
-    return stream.groupBy("track").applyInPandasWithState(run, f"track {kind}, n bigint, y double", "last double", "append", "NoTimeout")
-
-
 #: A sample that waits for its turn.
 WAITING = np.dtype([("ts", "i8"), ("n", "i8"), ("x", "f8")])
 
 
-def low_passed_in_order(stream: DataFrame, cut: float, rate: float, late: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """One-pole low-pass of (track, ts, n, x) in the order of ts and n, whatever the micro-batches that samples come in.
+class InOrder(StatefulProcessor):
+    """Folds the samples (track, ts, us, n, x) of a track in the order of ts and n, whatever the micro-batches that they come in.
 
-    A sample is held until the watermark has passed it and then filtered; samples more than ``late`` behind are left out, as by the windows above.
-    A track's state goes when nothing is held and the watermark is ``idle_ms`` further; a track that comes back starts anew. What is held in the
-    state is at most the samples of ``late``.
+    Samples are held until the watermark has passed them, then given to ``fold`` with the state it left (None at first). When nothing is held and
+    the watermark is ``idle_ms`` past the last sample, ``fold`` is told that the track has ended, and its state goes; a track that comes back starts
+    anew. Samples behind the watermark are left out. What is held is at most the samples of the watermark's delay.
     """
-    a = math.exp(-2 * math.pi * cut / rate)
-
-    def run(key: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (0.0, b"")
-        rows = [np.frombuffer(bytes(held), WAITING)]
-        if not state.hasTimedOut:
-            rows += [np.rec.fromarrays([pdf["us"], pdf["n"], pdf["x"]], dtype=WAITING) for pdf in pdfs]
-        waiting = np.sort(np.concatenate(rows), order=["ts", "n"])
-        passed_ms = state.getCurrentWatermarkMs()
-        ready = int(np.searchsorted(waiting["ts"], passed_ms * 1000))
-        done, waiting = waiting[:ready], waiting[ready:]
-        y = iir(done["x"].copy(), (1 - a,), (1.0, -a)) + last * a ** np.arange(1, ready + 1)
-        if state.hasTimedOut and not ready and not len(waiting):
-            state.remove()
-        else:
-            state.update((float(y[-1]) if ready else last, waiting.tobytes()))
-            state.setTimeoutTimestamp(max(int(waiting["ts"][0]) // 1000, passed_ms) + 1 if len(waiting) else passed_ms + idle_ms)
-        yield pd.DataFrame({"track": [key[0]] * ready, "n": done["n"], "y": y})
 
-    kind = stream.schema["track"].dataType.simpleString()
-    timed = stream.withWatermark("ts", late).select("track", "ts", F.unix_micros("ts").alias("us"), "n", "x")
-    return timed.groupBy("track").applyInPandasWithState(run, f"track {kind}, n bigint, y double", "last double, held binary", "append", "EventTimeTimeout")
+    #: Names and types of what ``fold`` leaves, and of the columns it gives besides track.
+    state_type = ""
+    out_type = ""
+
+    def __init__(self, kind: str, idle_ms: int = 3_600_000) -> None:
+        self.kind, self.idle_ms = kind, idle_ms
+
+    def fold(self, state: tuple | None, rows: np.ndarray, ended: bool) -> tuple[tuple | None, dict[str, list]]:
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "held binary, due bigint, last bigint")
+        self.own = handle.getValueState("own", self.state_type)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return iter(())
+        held, due, last = self.waiting.get() or (b"", None, 0)
+        new = [np.rec.fromarrays([pdf["us"], pdf["n"], pdf["x"]], dtype=WAITING) for pdf in rows]
+        every = np.sort(np.concatenate([np.frombuffer(bytes(held), WAITING), *new]), order=["ts", "n"])
+        self._wait(every, due, max(last, int(every["ts"][-1]) // 1000), timerValues)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, _, last = self.waiting.get()
+        every = np.frombuffer(bytes(held), WAITING)
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready = int(np.searchsorted(every["ts"], passed * 1000))
+        ended = ready == len(every) and passed >= last + self.idle_ms
+        state, out = self.fold(self.own.get() if self.own.exists() else None, every[:ready], ended)
+        if ended:
+            self.own.clear()
+            self.waiting.clear()
+        else:
+            if state is not None:
+                self.own.update(state)
+            self._wait(every[ready:], None, last, timerValues)
+        size = len(next(iter(out.values())))
+        if size:
+            yield pd.DataFrame({"track": [key[0]] * size} | out)
+
+    def _wait(self, every: np.ndarray, due: int | None, last: int, timerValues: TimerValues) -> None:
+        """Keeps what waits, with a timer for when the first of it is passed, or else for when the track counts as ended."""
+        then = max(int(every["ts"][0]) // 1000 + 1 if len(every) else last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        if due is not None and due != then:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(then)
+        self.waiting.update((every.tobytes(), then, last))
+
+    def close(self) -> None:
+        pass
+
+
+class LowPass(InOrder):
+    """One-pole low-pass; its last output is the state."""
+
+    state_type, out_type = "last double", "n bigint, y double"
+
+    def __init__(self, kind: str, cut: float, rate: float, **more: Any) -> None:
+        super().__init__(kind, **more)
+        self.a = math.exp(-2 * math.pi * cut / rate)
+
+    def fold(self, state, rows, ended):
+        last, x = state[0] if state else 0.0, rows["x"].copy()
+        y = iir(x, (1 - self.a,), (1.0, -self.a)) + last * self.a ** np.arange(1, len(x) + 1)
+        return (float(y[-1]) if len(y) else last,), {"n": rows["n"], "y": y}
+
+
+class LoudRuns(InOrder):
+    """Runs of samples of at least a level that follow each other; a run is given when a quieter sample or the track's end closes it."""
+
+    state_type, out_type = "start bigint, samples bigint, peak double", "us bigint, samples bigint, peak double"
+
+    def __init__(self, kind: str, least: float, **more: Any) -> None:
+        super().__init__(kind, **more)
+        self.least = least
+
+    def fold(self, state, rows, ended):
+        start, samples, peak = state or (0, 0, 0.0)
+        done = []
+        for us, x in zip(rows["ts"].tolist(), np.abs(rows["x"]).tolist()):
+            if x >= self.least:
+                start, samples, peak = (start, samples + 1, max(peak, x)) if samples else (us, 1, x)
+            elif samples:
+                done.append((start, samples, peak))
+                samples = 0
+        if ended and samples:
+            done.append((start, samples, peak))
+        return (start, samples, peak), {c: [d[k] for d in done] for k, c in enumerate(("us", "samples", "peak"))}
+
+
+class Onsets(InOrder):
+    """Samples of at least a level, each at least ``gap_us`` after the last one that was accepted; its time is the state."""
+
+    state_type, out_type = "last bigint", "n bigint, us bigint"
+
+    def __init__(self, kind: str, least: float, gap_us: int, **more: Any) -> None:
+        super().__init__(kind, **more)
+        self.least, self.gap_us = least, gap_us
+
+    def fold(self, state, rows, ended):
+        last, taken = state[0] if state else None, []
+        for us, n, x in rows.tolist():
+            if abs(x) >= self.least and (last is None or us - last >= self.gap_us):
+                last = us
+                taken.append((n, us))
+        return None if last is None else (last,), {"n": [t[0] for t in taken], "us": [t[1] for t in taken]}
+
+
+class Ends(StatefulProcessor):
+    """A track's record once, as soon as it is whole (it has as many samples as its rows' ``expected`` says) or ``patience_ms`` after its
+    last sample by the watermark. What is kept of a track is a state that merges in any order: sums, extremes and places. Samples after the record
+    change nothing; the mark that says so goes after the same patience."""
+
+    out_type = "samples bigint, whole boolean, dc double, power double, peak double, first_us bigint, last_us bigint"
+
+    def __init__(self, kind: str, patience_ms: int = 3_600_000) -> None:
+        self.kind, self.patience_ms = kind, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("track", "samples bigint, expected bigint, total double, squares double, peak double, first bigint, last bigint, due bigint, done boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        n, expected, total, squares, peak, first, last, due, done = self.state.get() or (0, None, 0.0, 0.0, 0.0, None, 0, None, False)
+        for pdf in rows:
+            x, us = pdf["x"].to_numpy(), pdf["us"]
+            n, total, squares, peak = n + len(pdf), total + float(x.sum()), squares + float(x @ x), max(peak, float(np.abs(x).max()))
+            first, last, expected = min(int(us.min()), first if first is not None else int(us.min())), max(last, int(us.max())), int(pdf["expected"].max())
+        then = max(last // 1000 + self.patience_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        if due is not None and due != then:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(then)
+        now = not done and n >= expected
+        self.state.update((n, expected, total, squares, peak, first, last, then, done or now))
+        if now:
+            yield self._record(key)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = self.state.get()[8]
+        made = None if done else self._record(key)
+        self.state.clear()
+        if made is not None:
+            yield made
+
+    def _record(self, key: Any) -> pd.DataFrame:
+        n, expected, total, squares, peak, first, last, _, _ = self.state.get()
+        return pd.DataFrame({"track": [key[0]], "samples": [n], "whole": [n >= expected], "dc": [total / n], "power": [squares / n], "peak": [peak], "first_us": [first], "last_us": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def folded(stream: DataFrame, late: str, processor: InOrder | Ends) -> DataFrame:
+    """What the processor gives for each track of (track, ts, n, x, ...). The state lies in RocksDB, which ``spark.sql.streaming.stateStore.providerClass``
+    must name. Rows without a track only move the watermark; a filter would be pushed below it."""
+    timed = stream.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    made = timed.groupBy("track").transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"track {processor.kind}, {processor.out_type}", outputMode="Append", timeMode="EventTime")
+    times = {c: F.timestamp_micros(c) for c in made.columns if c == "us" or c.endswith("_us")}
+    return made.select(*[times[c].alias("ts" if c == "us" else c.removesuffix("_us")) if c in times else F.col(c) for c in made.columns])

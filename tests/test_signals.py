@@ -163,9 +163,11 @@ def test_low_pass_of_a_stream_is_in_order_of_time(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1)  # files are taken in the order of their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    found = live.low_passed_in_order(stream, 100, 1000, "25 seconds")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = live.folded(stream, "25 seconds", live.LowPass("bigint", 100, 1000))
     running = found.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out")
     running.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {(r.track, r.n): r.y for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert set(got) == {(t, n) for t in range(2) for n in range(59 - 25)}
     a = np.exp(-2 * np.pi * 100 / 1000)
@@ -193,3 +195,50 @@ def test_band_level(spark):
     (inside,), (outside,) = spectral.band_level(spectra, 8000, 16000, 64).collect(), spectral.band_level(spectra, 100, 5000, 64).collect()
     assert abs(inside["level_db"] - 20 * np.log10(0.5 / np.sqrt(2))) < 0.1 and outside["level_db"] < -40
     assert spectral.band_level(spectral.bins(spectral.whole_frames(tone.limit(0), 64), 44100, 64), 8000, 16000, 64).count() == 0
+
+
+def test_any_cutting_into_blocks_gives_the_same_record(spark):
+    """Blocks of a few samples and of all of them; clipped runs, silence and frames that stand across blocks."""
+    from ondine import analysis
+    from ondine.operators import blocks
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for track, n in (("a", 5000), ("b", 777), ("c", 11), ("d", 1)):
+        x = np.clip(rng.normal(size=(n, 2)) * rng.choice([0.0, 0.3, 2.0], size=(n // 50 + 1, 1)).repeat(50, 0)[:n], -1, 1)
+        rows += [(track, i, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    signals = spark.createDataFrame(rows, "track string, n bigint, l double, r double").repartition(3).cache()
+    want = None
+    for size in (100_000, 1000, 333):
+        made = blocks.parts(signals, 1000, blocks.record_kinds(1000), 64, 44100, size)
+        tracks = {r.track: {c: round(v, 9) if isinstance(v, float) else sorted(v) if c == "strided" else v for c, v in r.asDict().items()} for r in blocks.merged(made).collect()}
+        kinds = {k: sorted((r.track, r.frame, tuple(round(v, 9) for v in r[2:])) for r in blocks.frames_of(made, k, *"abcde"[: {"corr": 5, "crest": 2}.get(k, 1)]).collect()) for k in blocks.record_kinds(1000)}
+        sums = sorted((r.track, r.hop, r["size"], round(r.p, 9)) for r in blocks.hops_of(made).collect())
+        spectrum = sorted((r.track, r.k, round(r.mag, 6), round(r.square, 6), r.frames) for r in blocks.spectrum_of(made, 1.0).collect())
+        want = want or (tracks, kinds, sums, spectrum)
+        assert (tracks, kinds, sums, spectrum) == want
+    assert tracks["a"]["n"] == 5000 and tracks["a"]["clip_events"] > 5 and len(kinds["gate"]) > 10
+    for track in "ab":
+        x = np.array([r[2:] for r in rows if r[0] == track])
+        hit = np.abs(x) >= 0.9999
+        starts = (hit & ~np.vstack([[False, False], hit[:-1]])).sum()
+        assert (tracks[track]["clip_events"], tracks[track]["clipped"]) == (starts, hit.sum())
+    record = {r.track: r for r in analysis.measured(signals, 1000, weigh=False, bands=False, frame=64, heard_at=44100, block=333).collect()}
+    other = {r.track: r for r in analysis.measured(signals, 1000, weigh=False, bands=False, frame=64, heard_at=44100).collect()}
+    assert set(record) == {"a", "b", "c", "d"}
+    for t, r in record.items():
+        for c in r.__fields__:
+            assert r[c] == other[t][c] or r[c] == pytest.approx(other[t][c], rel=1e-9, abs=1e-9), (t, c)
+    assert not blocks.parts(signals.limit(0), 1000, blocks.record_kinds(1000), 64).collect()
+
+
+def test_autocorrelation_in_stretches(spark):
+    from ondine.operators import musical
+
+    rng = np.random.default_rng(3)
+    data = {"a": rng.random(400), "b": rng.random(35), "c": rng.random(7)}
+    envelope = spark.createDataFrame([(t, i, float(e)) for t, v in data.items() for i, e in enumerate(v)], "track string, i bigint, e double").repartition(3)
+    for stretch in (50, 1 << 14):
+        got = {(r.track, r.lag): r.r for r in musical.autocorrelation(envelope, 5, 60, stretch).collect()}
+        assert set(got) == {(t, k) for t, v in data.items() for k in range(5, 61) if k < len(v)}
+        assert all(r == pytest.approx(np.mean(data[t][:-k] * data[t][k:])) for (t, k), r in got.items())
