@@ -11,11 +11,12 @@ are numbered from 0 without gaps or repeats. An empty table gives no records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ondine.functions.scalar import at_share, clamp, db_from_linear, finite, half_up
 from ondine.operators import album, blocks, dynamics, loudness, musical, rules, spectral, stereo
+from ondine.sources import wav
 from ondine.staging import staged
 
 #: Levels that silence makes infinite, which count as none.
@@ -116,11 +117,11 @@ def measured(signals: DataFrame, rate: int, weigh: bool = True, bands: bool = Tr
     return out.withColumns({c: F.lit(None).cast(t) for c, t in (BANDED | HEARD).items() if c not in out.columns})
 
 
-def derived(metrics: DataFrame, rate: int, bit_depth: int, channels: int = 2) -> DataFrame:
-    """What follows from the metrics: peak to loudness, the margin between samples, clipping; and what the file says."""
+def derived(metrics: DataFrame, rate: int | None, bit_depth: int | None, channels: int | None = 2) -> DataFrame:
+    """What follows from the metrics: peak to loudness, the margin between samples, clipping; and what the file says, where it is no column yet (None)."""
     own = metrics.withColumns({c: F.when(finite(F.col(c)), F.col(c)) for c in LIMITED})
     own = own.withColumns({"plr": F.col("tp") - F.col("lufs"), "isp": F.col("tp") - F.col("sample_peak"), "clipped": F.col("clip_events") > 0})
-    told = {"sample_rate": F.lit(rate), "bit_depth": F.lit(bit_depth), "channels": F.lit(channels)}
+    told = {c: F.lit(v) for c, v in (("sample_rate", rate), ("bit_depth", bit_depth), ("channels", channels)) if v is not None}
     return own.withColumns({"ai_score": rules.artifacts(F.col("hf"), F.col("cv"), F.col("timing"))["overall"]} | told)
 
 
@@ -145,3 +146,23 @@ def album_report(records: DataFrame) -> DataFrame:
     """Per album: the means, extremes and counts over its numbered records, and how its tracks follow each other in loudness."""
     flow = album.sequence(records).select("album", F.col("spread").alias("loudness_spread"), F.col("jump").alias("worst_jump"), F.col("at").alias("worst_jump_at"), F.col("score").alias("sequence_score"))
     return album.summary(records).join(flow, "album", "left")
+
+
+def from_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the WAV files under a folder, and the reports of their albums (the files' folders), whose tracks are numbered by name.
+
+    Files of one rate are measured together. Broken files and those without samples have no record.
+    """
+    chunks = wav.read(spark, path).where("error is null")
+    told = staged(chunks.groupBy("path").agg(F.first("sample_rate").alias("sample_rate"), F.first("channels").alias("channels"), F.first("bit_depth").alias("bit_depth")), "files")
+    records = None
+    for rate in sorted(r.sample_rate for r in told.select("sample_rate").distinct().collect()):  # a few
+        own = staged(measured(wav.samples(chunks.where(F.col("sample_rate") == rate)), rate), "records")
+        records = own if records is None else records.unionByName(own)
+    if records is None:
+        records = measured(wav.samples(chunks), 44100)
+    named = records.join(told.withColumnRenamed("path", "track"), "track")
+    named = report(derived(named, None, None, None))
+    albums = named.select("track", F.element_at(F.split("track", "/"), -2).alias("album"))
+    records = numbered(named, albums)
+    return records, album_report(records)

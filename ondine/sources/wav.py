@@ -1,19 +1,26 @@
 """WAV files as tables, and tables as WAV files.
 
-Files are listed and read by Spark's binary source, so any store that Spark reads will do; each file is parsed where it was
-read and comes out in chunks of a second. Formats: PCM of 8, 16, 24 and 32 bits and IEEE floats of 32 and 64 bits. A file that is
+``read`` takes files in splits, each a task's, and ``write`` commits one file for each track; both reach what Arrow's file systems reach. ``parsed``
+takes contents of small files that are in a table already, as from Spark's binary source. Formats: PCM of 8, 16, 24 and 32 bits and IEEE floats of 32 and 64 bits. A file that is
 broken gives one row with its ``error`` and no samples.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from ondine.operators.blocks import blocks
 
 #: File names and MIME types that count as audio.
 AUDIO_NAME = r"(?i)\.(wav|flac|aiff|aif|mp3|m4a|aac|ogg)$"
@@ -80,12 +87,21 @@ def decoded(kind: int, channels: int, bits: int, raw: bytes) -> np.ndarray:
     return x.reshape(-1, channels).astype(np.float32)
 
 
-def encoded(frames: np.ndarray, rate: int) -> bytes:
+def header_of(frames: int, channels: int, rate: int) -> bytes:
+    """Header of a file of 24-bit PCM."""
+    size = frames * channels * 3
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", min(36 + size, 0xFFFFFFFF), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * channels * 3, channels * 3, 24, b"data", min(size, 0xFFFFFFFF))
+
+
+def body_of(frames: np.ndarray) -> bytes:
     """24-bit PCM of (frames, channels), clipped to [-1, 1]."""
     x = np.floor(np.clip(frames, -1, 1) * 8388607 + 0.5).astype("<i4").reshape(-1, 1)
-    body = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    channels = frames.shape[1]
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * channels * 3, channels * 3, 24, b"data", len(body)) + body
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def encoded(frames: np.ndarray, rate: int) -> bytes:
+    """A whole file of 24-bit PCM."""
+    return header_of(*frames.shape, rate) + body_of(frames)
 
 
 def parsed(contents: DataFrame) -> DataFrame:
@@ -107,22 +123,168 @@ def parsed(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,wave,WAV}").load(path))
+#: Bytes of a file that one task reads, and frames of a row that comes of them.
+SPLIT, FRAMES = 32 << 20, 1 << 16
+FILE_SCHEMA = "path string, sample_rate int, channels int, bit_depth int, format int, start bigint, l array<float>, r array<float>, error string"
 
 
-def samples(chunks: DataFrame) -> DataFrame:
-    """Long form (track, n, l, r, mono); the right channel of a mono file is its left."""
-    rows = chunks.where("error is null").select(F.col("path").alias("track"), "chunk", "sample_rate", F.posexplode(F.arrays_zip("l", F.coalesce("r", "l").alias("r"))).alias("i", "x"))
-    made = rows.select("track", (F.col("chunk").cast("bigint") * F.col("sample_rate") + F.col("i")).alias("n"), F.col("x.l").cast("double").alias("l"), F.col("x.r").cast("double").alias("r"))
-    return made.withColumn("mono", (F.col("l") + F.col("r")) / 2)
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path, of those that Arrow reaches (local, S3, GCS, HDFS), and the path in it."""
+    return fs.FileSystem.from_uri(path)
+
+
+@dataclass
+class Split(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
+def located_data(file) -> tuple[int, int, int, int, int, int]:
+    """Format, channels, rate, bits, and where the sample bytes start and end, from the heads of a file's chunks alone."""
+    total, at, fmt = file.size(), 12, None
+    head = file.read_at(12, 0)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise ValueError("no RIFF/WAVE file")
+    while at + 8 <= total:
+        name, size = struct.unpack("<4sI", file.read_at(8, at))
+        if name == b"data":
+            if fmt is None:
+                raise ValueError("data before fmt")
+            # a size that overflowed, or was never set, means the rest of the file
+            return (*fmt, at + 8, total if size in (0, 0xFFFFFFFF) else min(total, at + 8 + size))
+        if name == b"fmt ":
+            own = file.read_at(min(size, 40), at + 8)
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", own)
+            if kind == 0xFFFE and size >= 26:
+                kind = struct.unpack_from("<H", own, 24)[0]
+            fmt = (kind, channels, rate, bits)
+        at += 8 + size + size % 2
+    raise ValueError("no data chunk")
+
+
+class WavReader(DataSourceReader):
+    """Files in splits of bytes: a task reads the head of its file and the frames that start in its split. The driver lists names and sizes alone.
 
+    A file that is broken gives one row with its ``error``; one without samples gives none.
+    """
 
-def contents(signals: DataFrame, rate: int) -> DataFrame:
-    """(track, content): each track of (track, n, l, r) as a WAV file's bytes."""
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.split, self.frames = options["path"], int(options.get("splitBytes", SPLIT)), int(options.get("rowFrames", FRAMES))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        return pd.DataFrame([(str(pdf["track"].iloc[0]), encoded(pdf[["l", "r"]].to_numpy(), rate))], columns=["track", "content"])
+    def partitions(self) -> list[Split]:
+        store, where = located(self.path)
+        root = self.path[: len(self.path) - len(where)] if self.path.endswith(where) else ""
+        one = store.get_file_info(where)
+        found = [one] if one.is_file else store.get_file_info(fs.FileSelector(where, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith((".wav", ".wave")) and "/_temporary/" not in f.path)
+        return [Split(root + name, k, min(size, k + self.split)) for name, size in files for k in range(0, max(1, size), self.split)] or [Split("", 0, 0)]
 
-    return signals.select("track", "n", "l", "r").groupBy("track").applyInPandas(run, "track string, content binary")
+    def read(self, partition: Split) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        store, where = located(partition.path)
+        with store.open_input_file(where) as file:
+            try:
+                kind, channels, rate, bits, begin, end = located_data(file)
+                wide = bits // 8 * channels
+                decoded(kind, channels, bits, b"")
+            except (ValueError, struct.error) as e:
+                if partition.start == 0:
+                    yield (partition.path, None, None, None, None, 0, None, None, str(e))
+                return
+            first = max(0, -(-(partition.start - begin) // wide))
+            last = min((end - begin) // wide, max(0, -(-(partition.end - begin) // wide)))
+            for k in range(first, last, self.frames):
+                x = decoded(kind, channels, bits, file.read_at((min(last, k + self.frames) - k) * wide, begin + k * wide))
+                yield (partition.path, rate, channels, bits, kind, k, x[:, 0].tolist(), x[:, 1].tolist() if channels > 1 else None, None)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class WavWriter(DataSourceWriter):
+    """One file for each track from rows (track, block, length, l, r), which come to a task by track and in order of block.
+
+    A task writes to names of its own in a folder for what is not done; commit moves what the tasks that succeeded have written and removes the
+    folder, abort removes it alone. So a task that fails and runs again leaves neither half a file nor two.
+    """
+
+    def __init__(self, options: dict[str, str], columns: list[str]) -> None:
+        self.path, self.rate, self.columns = options["path"].rstrip("/"), int(options["rate"]), columns
+        self.waiting = f"{self.path}/_temporary/{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator) -> Written:
+        store, waiting = located(self.waiting)
+        store.create_dir(waiting, recursive=True)
+        done, file, name = [], None, None
+        try:
+            for row in iterator:
+                if row["track"] != name:
+                    if file:
+                        file.close()
+                    name = row["track"]
+                    at = f"{waiting}/{uuid.uuid4().hex}"
+                    file = store.open_output_stream(at)
+                    file.write(header_of(row["length"], 2, self.rate))
+                    done.append((at, f"{re.sub(r'[^A-Za-z0-9_.-]', '_', str(name))}.wav"))
+                file.write(body_of(np.stack([np.asarray(row["l"], np.float64), np.asarray(row["r"], np.float64)], 1)))
+        finally:
+            if file:
+                file.close()
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, where = located(self.path)
+        for message in messages:
+            for at, name in message.files if message else []:
+                store.move(at, f"{where}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, where = located(f"{self.path}/_temporary")
+        if store.get_file_info(where).type != fs.FileType.NotFound:
+            store.delete_dir(where)
+
+
+class WavSource(DataSource):
+    """``spark.read.format("wav").load(path)`` and ``df.write.format("wav").option("rate", r).save(path)``, once registered."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wav"
+
+    def schema(self) -> str:
+        return FILE_SCHEMA
+
+    def reader(self, schema) -> WavReader:
+        return WavReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> WavWriter:
+        return WavWriter(dict(self.options), schema.names)
+
+
+def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """The files under ``path``, or one, in rows of at most FRAMES frames: FILE_SCHEMA."""
+    spark.dataSource.register(WavSource)
+    return spark.read.format("wav").option("splitBytes", split).load(path)
+
+
+def write(signals: DataFrame, path: str, rate: int, block: int = FRAMES) -> None:
+    """Each track of (track, n, l, r) as a WAV file in the folder ``path``. A track's blocks stream through the task that writes its file,
+    which holds one at a time; names keep letters, digits, and ``_.-``."""
+    signals.sparkSession.dataSource.register(WavSource)
+    laid = blocks(signals, 0, block)
+    lengths = signals.groupBy("track").agg(F.count("*").alias("length"))
+    rows = laid.join(lengths, "track").select(F.col("track").cast("string").alias("track"), "block", "length", "l", "r")
+    rows.repartition("track").sortWithinPartitions("track", "block").write.format("wav").option("rate", rate).mode("append").save(path)
+
+
+def samples(chunks: DataFrame) -> DataFrame:
+    """Long form (track, n, l, r, mono); the right channel of a mono file is its left."""
+    start = F.col("start") if "start" in chunks.columns else F.col("chunk").cast("bigint") * F.col("sample_rate")
+    rows = chunks.where("error is null").select(F.col("path").alias("track"), start.alias("start"), F.posexplode(F.arrays_zip("l", F.coalesce("r", "l").alias("r"))).alias("i", "x"))
+    made = rows.select("track", (F.col("start") + F.col("i")).alias("n"), F.col("x.l").cast("double").alias("l"), F.col("x.r").cast("double").alias("r"))
+    return made.withColumn("mono", (F.col("l") + F.col("r")) / 2)
