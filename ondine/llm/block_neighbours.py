@@ -7,7 +7,8 @@ width is exact. By the triangle inequality the true distance lies within the two
 of that, so a candidate whose lower bound is above the k-th smallest upper bound of a query cannot be among its k. The others
 are computed again in double precision from the original vectors, each tile keeps a heap of k per query, and heaps are merged in
 rounds of bounded groups. The result is exact. Bounds are made on vectors scaled by a tile's common power of two, and a distance whose
-squares leave the range of doubles is computed at a scale of its own, so sizes from 1e-300 to 1e300 may meet. Tiles hold fewer vectors the longer these are.
+squares leave the range of doubles is computed at a scale of its own, so sizes from 1e-300 to 1e300 may meet. Tiles hold fewer vectors the longer these are,
+and each length has tiles of its own.
 
 Vectors that are null, all zero, or hold null or non-finite components take no part, neither as queries nor as candidates;
 only vectors of one length are compared. Rows are their own selves: a repeated row is a candidate of its twin. Rows with a null id
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ondine.llm._common import spread, staged
+from ondine.llm._common import joined_by_count, spread, staged
 
 #: Rows of a tile: of its candidates and of its queries.
 TILE_CANDIDATES = 8192
@@ -137,21 +138,28 @@ def _merge(table: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(v, pa.float64() if i == 5 else pa.int64()) for i, v in enumerate(made)], names=["query_row", "query_id", "tile", "vec_id", "row", "score"])
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", tile_candidates: int = TILE_CANDIDATES, tile_queries: int = TILE_QUERIES) -> DataFrame:
+def tiling(dims: DataFrame, tile_candidates: int, tile_queries: int, tasks: int, tile_components: int) -> DataFrame:
+    """Into how many stripes of candidates and belts of queries the vectors of each length are dealt. dims: dim, n, n_queries."""
+    fit = F.greatest(F.lit(1), F.floor(F.lit(tile_components) / F.col("dim")))
+    parts = lambda n, most: F.ceil(F.col(n) / F.least(F.lit(most), fit))
+    wide = F.least(F.lit(tasks), F.ceil(F.col("n") / 1024))
+    return dims.withColumns({"stripes": F.greatest(F.lit(1), parts("n", tile_candidates), wide).cast("bigint"), "belts": F.greatest(F.lit(1), parts("n_queries", tile_queries)).cast("bigint")})
+
+
+def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", tile_candidates: int = TILE_CANDIDATES, tile_queries: int = TILE_QUERIES, tile_components: int = TILE_COMPONENTS) -> DataFrame:
     """Queries are the rows whose id ``every`` divides; returns query_id, rank (from 1), vec_id and score."""
     part = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].alias("vector"))
     part = part.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = staged(part.select("vec_id", "vector", F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("row")), "vectors")
-    n, n_queries, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.max("dim"), F.lit(1))).first()
-    fit = max(1, TILE_COMPONENTS // width)
-    tile_candidates, tile_queries = min(tile_candidates, fit), min(tile_queries, fit)
-    stripes = max(1, math.ceil(n / tile_candidates), min(spread(vectors.sparkSession), math.ceil(n / 1024)))
-    belts = max(1, math.ceil(n_queries / tile_queries))
-    stripe, belt = F.pmod(F.xxhash64("row"), F.lit(stripes)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(belts))
-    series = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-    here = rows.withColumns({"stripe": stripe, "is_query": F.lit(False)}).withColumn("belt", series(belts))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumns({"belt": belt, "is_query": F.lit(True)}).withColumn("stripe", series(stripes))
-    tiles = here.unionByName(asked).withColumn("tile", F.col("stripe"))
+    dims = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("n_queries"))
+    dims = staged(tiling(dims, tile_candidates, tile_queries, spread(vectors.sparkSession), tile_components), "dims")
+    total, stripes = dims.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("stripes"), F.lit(1))).first()
+    rows = joined_by_count(rows, dims.select("dim", "n", "stripes", "belts"), "dim", "n", total)
+    stripe, belt = F.pmod(F.xxhash64("row"), F.col("stripes")), F.pmod(F.xxhash64("row", F.lit(1)), F.col("belts"))
+    series = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    here = rows.withColumns({"stripe": stripe, "is_query": F.lit(False)}).withColumn("belt", series("belts"))
+    asked = rows.where(F.col("vec_id") % every == 0).withColumns({"belt": belt, "is_query": F.lit(True)}).withColumn("stripe", series("stripes"))
+    tiles = here.unionByName(asked).drop("n", "stripes", "belts").withColumn("tile", F.col("stripe"))
     heaps = tiles.groupBy("dim", "belt", "stripe").applyInArrow(lambda t: _tile(t, k), HEAP)
     left = stripes
     while left > 1:

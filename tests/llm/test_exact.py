@@ -341,17 +341,32 @@ def test_neighbours_of_any_size(sizes):
             assert Fraction(d) ** 2 == 0 or abs(float(Fraction(d) ** 2 / mine) - 1) < 1e-9
 
 
-def test_wide_vectors_in_small_tiles(spark, monkeypatch):
-    monkeypatch.setattr(block_neighbours, "TILE_COMPONENTS", 1200 * 20)
+def test_wide_vectors_in_small_tiles(spark):
     x = np.random.default_rng(1).normal(size=(110, 1200)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in block_neighbours.search(df).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in block_neighbours.search(df, tile_components=1200 * 20).collect()}
     d = np.sqrt(((x.astype(np.float64)[:, None] - x.astype(np.float64)[[0, 100]]) ** 2).sum(2))
     for k, q in enumerate((0, 100)):
         order = [j for j in np.argsort(d[:, k], kind="stable") if j != q][:10]
         assert [got[q, r + 1] for r in range(10)] == [(j, pytest.approx(d[j, k], rel=1e-12)) for j in order]
 
 
+def test_one_wide_vector_among_narrow_ones(spark):
+    """The tiles of a length know nothing of others: one vector of a million components costs its own tile."""
+    dims = spark.createDataFrame([(1_000_000, 1, 1), (64, 100_000, 1000), (3, 1, 0)], "dim int, n bigint, n_queries bigint")
+    made = {r.dim: (r.stripes, r.belts) for r in block_neighbours.tiling(dims, 8192, 4096, 12, block_neighbours.TILE_COMPONENTS).collect()}
+    assert made == {1_000_000: (1, 1), 64: (13, 1), 3: (1, 1)}
+    x = np.random.default_rng(2).normal(size=(200, 4))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, [1.0] * 5000), (600, [0.5] * 5000), (601, [2.0] * 5000)]
+    got = defaultdict(list)
+    for r in block_neighbours.search(spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3), tile_components=4096).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert set(got) == {0, 100, 500, 600} and sorted(got[500]) == [(1, 600), (2, 601)] and sorted(got[600]) == [(1, 500), (2, 601)]
+    for q in (0, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert [v for _, v in sorted(got[q])] == [j for j in np.argsort(d, kind="stable").tolist() if j != q][:10]
+
+
 def test_neighbours_of_nothing(spark):
     assert block_neighbours.search(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
