@@ -109,7 +109,7 @@ def test_the_rest_stands_without_the_folder(tmp_path):
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=clean)
     shutil.copytree(os.path.join(top, "ondine/llm"), tmp_path / "r/ondine/llm")
-    code = "import __spark_entry__ as e; q = e.queries(); assert sum(k.startswith('op') for k in q) == 10 and 'pipeline' not in q"
+    code = "import __spark_entry__ as e; q = e.queries(); assert sum(k.startswith('op') for k in q) == 13 and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=clean)
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert len(e.queries()) > 100 and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=top, check=True, env=clean)
