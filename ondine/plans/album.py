@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import functions as F
 
 from ondine.operators import album as A
@@ -9,6 +12,7 @@ from ondine.plans.dynamics import rounded
 from ondine.plans.registry import query
 from ondine.plans.rules import RULED, ruled
 from ondine.plans.tracks import TRK, tracks
+from ondine.staging import remove, shared_dir
 
 SUMMARY = """al as (select album, count(*) as tracks, round(avg(lufs), 1) as avg_lufs, round(min(lufs), 1) as min_lufs, round(max(lufs), 1) as max_lufs, round(stddev_pop(lufs), 2) as lufs_sd, round(avg(lra), 1) as avg_lra, round(coalesce(max(tp), -3), 1) as max_tp, round(avg(tp), 1) as avg_tp,
   round(avg(dr), 1) as avg_dr, round(avg(crest), 1) as avg_crest, round(avg(corr), 2) as avg_corr, round(avg(tilt), 1) as avg_tilt, round(avg(harsh), 0) as avg_harsh, round(coalesce(avg(ai_score), 0), 1) as avg_ai, count(*) filter (coalesce(tp, -10) > -1) as above_peak,
@@ -76,12 +80,17 @@ def q_export_json(spark, d):
   select album, lower(regexp_replace(album, '[^a-zA-Z0-9]', '-', 'g')) || '-analysis.json' as file, '1.0' as version, 'Album' as kind, round(al.avg_lufs, 6) as avg_lufs, al.ready, al.issues as album_issues,
     li.track_number, round(li.seconds, 6) as seconds, round(li.lufs, 6) as lufs, round(li.tp, 6) as tp, round(li.dr, 6) as dr, li.n_issues, li.n_warnings from al join li using (album)""")
 def q_export_readback(spark, d):
-    """The report's documents parsed again: one row per track, with what its album's head says."""
-    from ondine.sources.export import report
+    """The report's files, one for each album, read and parsed again: one row per track, with what its album's head says."""
+    from ondine.sources.export import report, write
+
+    path = f"{shared_dir(spark)}/ondine-reports-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    write(report(ruled(spark, d), "Album"), path)
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"), F.col("value").alias("json"))
 
     track = "array<struct<track_number:int,seconds:double,lufs:double,tp:double,dr:double,n_issues:bigint,n_warnings:bigint>>"
     head = "struct<avg_lufs:double,ready:boolean,issues:bigint>"
-    docs = report(ruled(spark, d), "Album").withColumn("x", F.from_json("json", f"version string, kind string, name string, summary {head}, tracks {track}"))
+    docs = files.withColumn("x", F.from_json("json", f"version string, kind string, name string, summary {head}, tracks {track}"))
     rows = docs.select(F.col("x.name").alias("album"), "file", "x.version", "x.kind", "x.summary.avg_lufs", "x.summary.ready", F.col("x.summary.issues").alias("album_issues"), F.explode("x.tracks").alias("t"))
     return rounded(rows.select("*", "t.*").drop("t"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ondine.functions.scalar import finite, slug
 from ondine.operators.album import findings, ready_note, summary
+from ondine.sources.committed import write_text
 
 VERSION = "1.0"
 
@@ -31,5 +32,5 @@ def report(tracks: DataFrame, kind: str) -> DataFrame:
 
 
 def write(reports: DataFrame, path: str) -> None:
-    """One line per album under ``path``."""
-    reports.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    """A file for each album in the folder ``path``, under the report's file name."""
+    write_text(reports.select("file", F.col("json").alias("content")), path)

@@ -18,9 +18,10 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ondine.operators.blocks import blocks
+from ondine.sources.committed import CommittedWriter, Written, located
 
 #: File names and MIME types that count as audio.
 AUDIO_NAME = r"(?i)\.(wav|flac|aiff|aif|mp3|m4a|aac|ogg)$"
@@ -128,11 +129,6 @@ SPLIT, FRAMES = 32 << 20, 1 << 16
 FILE_SCHEMA = "path string, sample_rate int, channels int, bit_depth int, format int, start bigint, l array<float>, r array<float>, error string"
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path, of those that Arrow reaches (local, S3, GCS, HDFS), and the path in it."""
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class Split(InputPartition):
     path: str
@@ -200,21 +196,12 @@ class WavReader(DataSourceReader):
                 yield (partition.path, rate, channels, bits, kind, k, x[:, 0].tolist(), x[:, 1].tolist() if channels > 1 else None, None)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
-
-
-class WavWriter(DataSourceWriter):
-    """One file for each track from rows (track, block, length, l, r), which come to a task by track and in order of block.
+class WavWriter(CommittedWriter):
+    """One file for each track from rows (track, block, length, l, r), which come to a task by track and in order of block."""
 
-    A task writes to names of its own in a folder for what is not done; commit moves what the tasks that succeeded have written and removes the
-    folder, abort removes it alone. So a task that fails and runs again leaves neither half a file nor two.
-    """
-
-    def __init__(self, options: dict[str, str], columns: list[str]) -> None:
-        self.path, self.rate, self.columns = options["path"].rstrip("/"), int(options["rate"]), columns
-        self.waiting = f"{self.path}/_temporary/{uuid.uuid4().hex}"
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.rate = int(options["rate"])
 
     def write(self, iterator: Iterator) -> Written:
         store, waiting = located(self.waiting)
@@ -236,18 +223,6 @@ class WavWriter(DataSourceWriter):
                 file.close()
         return Written(done)
 
-    def commit(self, messages: list[Written | None]) -> None:
-        store, where = located(self.path)
-        for message in messages:
-            for at, name in message.files if message else []:
-                store.move(at, f"{where}/{name}")
-        self.abort(messages)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        store, where = located(f"{self.path}/_temporary")
-        if store.get_file_info(where).type != fs.FileType.NotFound:
-            store.delete_dir(where)
-
 
 class WavSource(DataSource):
     """``spark.read.format("wav").load(path)`` and ``df.write.format("wav").option("rate", r).save(path)``, once registered."""
@@ -263,7 +238,7 @@ class WavSource(DataSource):
         return WavReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WavWriter:
-        return WavWriter(dict(self.options), schema.names)
+        return WavWriter(dict(self.options))
 
 
 def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:

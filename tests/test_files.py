@@ -56,7 +56,7 @@ def test_splits_of_any_size_read_the_same(spark, tmp_path):
 
 def test_only_what_was_committed_stays(tmp_path):
     rows = [{"track": t, "block": b, "length": 4, "l": [0.5, -0.5], "r": [0.25, b / 2]} for t in ("a/b", "c") for b in (0, 1)]
-    writer = wav.WavWriter({"path": str(tmp_path), "rate": "100"}, [])
+    writer = wav.WavWriter({"path": str(tmp_path), "rate": "100"})
 
     def fails():
         yield from rows[:3]
@@ -69,7 +69,7 @@ def test_only_what_was_committed_stays(tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["a_b.wav", "c.wav"]
     kind, channels, rate, bits, raw = wav.header((tmp_path / "c.wav").read_bytes())
     assert (kind, channels, rate, bits) == (1, 2, 100, 24) and np.allclose(wav.decoded(kind, channels, bits, raw), [[0.5, 0.25], [-0.5, 0.0], [0.5, 0.25], [-0.5, 0.5]], atol=1e-6)
-    again = wav.WavWriter({"path": str(tmp_path), "rate": "100"}, [])
+    again = wav.WavWriter({"path": str(tmp_path), "rate": "100"})
     again.write(iter(rows))
     again.abort([])
     assert sorted(os.listdir(tmp_path)) == ["a_b.wav", "c.wav"]
@@ -90,3 +90,12 @@ def test_from_a_folder_to_albums(spark, tmp_path):
     assert got["first", 1].sample_peak == pytest.approx(20 * np.log10(0.5), abs=1e-3) and got["first", 1].lufs - got["first", 2].lufs == pytest.approx(20, abs=0.01)
     assert {(r.sample_rate, r.bit_depth, r.channels, r.seconds) for r in got.values()} == {(8000, 24, 2, 1.0)}
     assert {r.album for r in albums.collect()} == {"first", "second"}
+
+
+def test_a_report_file_for_each_album(spark, tmp_path):
+    from ondine.sources import export
+
+    reports = spark.createDataFrame([("A b", "a-b-analysis.json", '{"name":"é"}'), ("c", "c-analysis.json", "{}")], "album string, file string, json string").repartition(2)
+    for _ in range(2):  # a second run replaces the first one's files
+        export.write(reports, str(tmp_path / "out"))
+    assert {p: (tmp_path / "out" / p).read_text() for p in os.listdir(tmp_path / "out")} == {"a-b-analysis.json": '{"name":"é"}', "c-analysis.json": "{}"}
