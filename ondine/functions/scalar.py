@@ -112,27 +112,11 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when(den == 0, 0.0).otherwise(F.try_divide(num, den))
 
 
-# Order statistics. Each takes an array column; they differ on purpose.
-
-
 def at_share(values: Column, p: float) -> Column:
-    """sorted[floor(n p)]; null beyond the end or of nothing."""
+    """sorted[floor(n p)] of an array; null beyond the end or of nothing. For groups without a bound: operators/ranks."""
     return F.get(F.array_sort(values), F.floor(F.size(values) * F.lit(p)).cast("int"))
 
 
-def at_share_capped(values: Column, p: float) -> Column:
-    """sorted[min(floor(n p), n - 1)] of the finite values; minus infinity of none."""
-    own = F.filter(values, finite)
-    at = F.least(F.floor(F.size(own) * F.lit(p)), F.size(own) - 1)
-    return F.when(F.size(own) == 0, F.lit(-INF)).otherwise(F.get(F.array_sort(own), at.cast("int")))
-
-
 def upper_median(values: Column) -> Column:
-    """sorted[floor(n / 2)], 0 of nothing."""
+    """sorted[floor(n / 2)] of an array, 0 of nothing."""
     return F.coalesce(at_share(values, 0.5), F.lit(0.0))
-
-
-def worst_percent(values: Column) -> Column:
-    """sorted[max(1, floor(n / 100)) - 1], 0 of nothing."""
-    at = F.greatest(F.lit(1), F.floor(F.size(values) * F.lit(0.01))) - 1
-    return F.coalesce(F.get(F.array_sort(values), at.cast("int")), F.lit(0.0))

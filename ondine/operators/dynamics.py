@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondine.functions.scalar import INF, at_share, clamp, db_from_linear, finite, half_up, upper_median
+from ondine.functions.scalar import INF, at_share, clamp, db_from_linear, finite, half_up
+from ondine.operators import ranks
+from ondine.operators.following import BLOCK, first_at_or_below, first_below, laid
 from ondine.operators.framing import frames, lengths
+from ondine.staging import staged
 
 CLIPPED, SILENT, HIGH = 0.9999, 0.001, 0.95
 
@@ -67,6 +69,12 @@ def peak_clusters(signals: DataFrame, window: int, threshold: float = HIGH) -> D
     return made.withColumn("kind", kind)
 
 
+def upper_median(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(track, name): sorted[floor(n / 2)] of the values that are not null, 0 without any."""
+    made = ranks.exact_ranks(rows, ["track"], value, median=ranks.at_share(0.5))
+    return made.select("track", F.coalesce("median", F.lit(0.0)).alias(name))
+
+
 def micro_contrast(signals: DataFrame, window: int) -> DataFrame:
     """Upper median of the windows' crest factors in dB."""
     return contrast(frames(signals, window, window // 2, F.max(F.abs("mono")).alias("peak"), F.sum(F.col("mono") * F.col("mono")).alias("power"), strict=True), window)
@@ -77,7 +85,7 @@ def contrast(made: DataFrame, window: int) -> DataFrame:
     rms = F.sqrt(F.col("power") / window)
     crest = db_from_linear(F.col("peak")) - db_from_linear(rms)
     good = (rms > 1e-4) & (F.col("peak") > 0) & finite(crest) & (crest > 0)
-    return made.groupBy("track").agg(upper_median(F.collect_list(F.when(good, crest))).alias("contrast_db"))
+    return upper_median(staged(made.select("track", F.when(good, crest).alias("crest")), "crests"), "crest", "contrast_db")
 
 
 def envelope(signals: DataFrame, window: int) -> DataFrame:
@@ -91,26 +99,20 @@ def attack_speed(signals: DataFrame, window: int, rate: int) -> DataFrame:
     """Upper median of the envelope's rises, in dB a millisecond."""
     hop_ms = window // 2 / rate * 1000
     slope = (F.col("level") - F.lag("level").over(Window.partitionBy("track").orderBy("frame"))) / hop_ms
-    return envelope(signals, window).withColumn("slope", slope).groupBy("track").agg(upper_median(F.collect_list(F.when(F.col("slope") > 0.1, F.col("slope")))).alias("attack_index"))
+    rises = envelope(signals, window).withColumn("slope", slope).select("track", F.when(F.col("slope") > 0.1, F.col("slope")).alias("slope"))
+    return upper_median(staged(rises, "rises"), "slope", "attack_index")
 
 
 def release_tail(signals: DataFrame, window: int, rate: int) -> DataFrame:
-    """Upper median of the time from an envelope's local maxima to the first level 10 dB lower, of times below two seconds.
-
-    Two seconds are a fixed number of frames, so a peak meets the levels of two blocks of that many frames and no others.
-    """
+    """Upper median of the time from an envelope's local maxima to the first level 10 dB lower, of times below two seconds."""
     hop_ms = window // 2 / rate * 1000
-    reach = math.ceil(2000 / hop_ms)
-    levels = envelope(signals, window)
+    levels = staged(envelope(signals, window), "envelope")
     order = Window.partitionBy("track").orderBy("frame")
     around = levels.withColumns({"before": F.lag("level").over(order), "after": F.lead("level").over(order)})
     peaks = around.where((F.col("level") > F.col("before")) & (F.col("level") > F.col("after")) & (F.col("level") > -40))
-    block = F.floor(F.col("frame") / reach)
-    peaks = peaks.select("track", F.col("frame").alias("peak"), F.col("level").alias("top"), F.explode(F.array(block, block + 1)).alias("block"))
-    near = peaks.join(levels.withColumn("block", block), ["track", "block"])
-    lower = near.where((F.col("frame") > F.col("peak")) & (F.col("level") <= F.col("top") - 10))
-    ms = lower.groupBy("track", "peak").agg(((F.min("frame") - F.col("peak")) * hop_ms).alias("ms"))
-    tails = ms.where("ms < 2000").groupBy("track").agg(upper_median(F.collect_list("ms")).alias("tail_ms"))
+    found = first_at_or_below(levels.select("track", F.col("frame").alias("n"), F.col("level").alias("x")), peaks.select("track", F.col("frame").alias("at"), (F.col("level") - 10).alias("level")))
+    ms = found.select("track", ((F.col("found") - F.col("at")) * hop_ms).alias("ms")).where("ms < 2000")
+    tails = upper_median(staged(ms, "tails"), "ms", "tail_ms")
     return levels.select("track").distinct().join(tails, "track", "left").select("track", F.coalesce("tail_ms", F.lit(0.0)).alias("tail_ms"))
 
 
@@ -175,28 +177,50 @@ def spacing(found: DataFrame, sizes: DataFrame, hop: int, rate: int) -> DataFram
     return out.select("track", "onsets", (F.col("onsets") / (F.col("length") / rate / 60)).alias("per_minute"), "cv", F.when(F.col("onsets") < 3, "natural").otherwise(timing_character(F.col("cv"))).alias("character"))
 
 
-def transient_sharpness(signals: DataFrame, window: int, rate: int, onset_window: int) -> DataFrame:
-    """Attack slopes and decay times around the onsets, scored; samples meet onsets by equal blocks of the window's length."""
+def _around(window: int, quarter: int):
+    """Of arrays of samples and of places in them: power before and after each place, the peak of a window from it, and how far from the place the first
+    sample of the nine windows after that lies which is at or below 0.316 of the peak (-1: none)."""
+
+    @F.pandas_udf("array<struct<pre: double, post: double, peak: double, decay: bigint>>")
+    def measure(samples: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for x, at in zip(samples, places):
+            x, at = np.asarray(x, np.float64), np.asarray(at, np.int64)
+            level = np.abs(x)
+            part = lambda low, high, at=at: at[:, None] + np.arange(low, high)
+            pre, post = (np.sqrt((x[part(low, low + quarter)] ** 2).sum(1) / quarter) for low in (-quarter, 0))
+            peak = level[part(0, window)].max(1)
+            decay = first_below(level, at + window - 1, peak * 0.316) - at
+            decay = np.where((decay >= window) & (decay < window * 10), decay, -1)
+            out.append([{"pre": a, "post": b, "peak": c, "decay": d} for a, b, c, d in zip(pre.tolist(), post.tolist(), peak.tolist(), decay.tolist())])
+        return pd.Series(out)
+
+    return measure
+
+
+def transient_sharpness(signals: DataFrame, window: int, rate: int, onset_window: int, block: int = BLOCK) -> DataFrame:
+    """Attack slopes and decay times around the onsets, scored. Samples are laid into blocks once, and a block is measured around all of its onsets."""
     hop, quarter = onset_window // 2, window // 4
-    onsets = transients(signals, onset_window, rate).withColumn("at", F.col("i") * hop)
+    places = staged(transients(signals, onset_window, rate), "onsets")
+    onsets = places.withColumn("at", F.col("i") * hop)
     total = onsets.groupBy("track").agg(F.count("*").alias("onsets"))
-    inside = onsets.join(lengths(signals), "track").where((F.col("at") >= window) & (F.col("at") + window < F.col("length")))
-    reach = inside.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / window) - 1, F.floor(F.col("at") / window) + 10)))
-    samples = signals.select(F.col("track").alias("t"), F.floor(F.col("n") / window).alias("b"), "n", "mono")
-    near = reach.join(samples, (F.col("track") == F.col("t")) & (F.col("block") == F.col("b"))).withColumn("d", F.col("n") - F.col("at"))
-    power = lambda low, high: F.sqrt(F.sum(F.when((F.col("d") >= low) & (F.col("d") < high), F.col("mono") * F.col("mono"))) / quarter)
-    a = F.abs("mono")
-    per = near.groupBy("track", "at").agg(power(-quarter, 0).alias("pre"), power(0, quarter).alias("post"), F.max(F.when((F.col("d") >= 0) & (F.col("d") < window), a)).alias("peak"), F.collect_list(F.when((F.col("d") >= window) & (F.col("d") < window * 10), F.struct("d", a.alias("a")))).alias("later"))
+    sizes = staged(lengths(signals), "lengths")
+    inside = onsets.join(sizes, "track").where((F.col("at") >= window) & (F.col("at") + window < F.col("length")))
+    # a block holds the onsets whose first quarter starts in it
+    start = F.col("at") - quarter
+    asked = inside.groupBy("track", F.floor(start / block).alias("block")).agg(F.collect_list(start % block + quarter).alias("places"))
+    arrays = laid(signals.select("track", "n", F.col("mono").alias("x")), block, quarter + window * 10)
+    per = asked.join(arrays, ["track", "block"]).select("track", F.explode(_around(window, quarter)("x", "places")).alias("m")).select("track", "m.*")
     slope = (db_from_linear(F.col("post")) - db_from_linear(F.col("pre"))) / (quarter / rate * 1000)
     slope = F.when((F.col("pre") > 1e-4) & (F.col("post") > 1e-4) & (slope > 0.1), slope)
-    first = F.array_min(F.transform(F.filter("later", lambda x: x["a"] <= F.col("peak") * 0.316), lambda x: x["d"]))
-    ms = first / rate * 1000
+    ms = F.when(F.col("decay") >= 0, F.col("decay") / rate * 1000)
     ms = F.when((F.col("peak") > 0.01) & (ms > 1) & (ms < 500), ms)
-    made = per.select("track", slope.alias("slope"), ms.alias("ms")).groupBy("track").agg(F.collect_list("slope").alias("slopes"), F.collect_list("ms").alias("decays"))
-    spacing = transient_spacing(signals, onset_window, rate).select("track", "cv")
-    out = spacing.join(total, "track", "left").join(made, "track", "left")
+    around = staged(per.select("track", slope.alias("slope"), ms.alias("ms")), "around")
+    median = lambda c: ranks.exact_ranks(around.select("track", c), ["track"], c, **{f"{c}_median": ranks.at_share(0.5)}).drop("size")
+    made = median("slope").join(median("ms"), "track")
+    out = spacing(places, sizes, hop, rate).select("track", "cv").join(total, "track", "left").join(made, "track", "left")
     enough = F.coalesce("onsets", F.lit(0)) >= 2
-    mid, decay = at_share(F.col("slopes"), 0.5), at_share(F.col("decays"), 0.5)
+    mid, decay = F.col("slope_median"), F.col("ms_median")
     return out.select(
         "track",
         F.when(enough, half_up(F.when(mid.isNull(), 50.0).otherwise(clamp(mid * 50, 0.0, 100.0)))).otherwise(50).alias("steepness"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondine.functions.scalar import INF, at_share, at_share_capped, db_from_linear, finite, lufs_from_power
+from ondine.functions.scalar import INF, db_from_linear, finite, lufs_from_power
 from ondine.operators.filters import BANDS, band_pass, k_weighting, mapped
 from ondine.operators.framing import frames, hops, sliding_sums
+from ondine.operators.ranks import at_share, at_share_capped, exact_ranks
+from ondine.staging import staged
 
 #: Mean square of -70 LUFS.
 ABSOLUTE_GATE = 10 ** ((-70 + 0.691) / 10)
@@ -66,14 +68,19 @@ def gated(blocks: DataFrame) -> DataFrame:
 
 def loudness_range(short: DataFrame) -> DataFrame:
     """From the 10th to the 95th percentile of the windows within 20 LU of their mean; 0 for fewer than two."""
-    valid = short.where(finite(F.col("lufs")) & (F.col("lufs") > -70)).withColumn("mean", F.avg("lufs").over(Window.partitionBy("track")))
-    made = valid.groupBy("track").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("lufs") >= F.col("mean") - 20, F.col("lufs"))).alias("v"))
-    return made.select("track", F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), at_share(F.col("v"), 0.95) - at_share(F.col("v"), 0.10))).alias("lra"))
-
-
-def percentiles(short: DataFrame) -> DataFrame:
-    packed = short.groupBy("track").agg(F.collect_list("lufs").alias("v"))
-    return packed.select("track", *[at_share_capped(F.col("v"), p / 100).alias(f"p{p}") for p in (10, 50, 90, 95)])
+    valid = staged(short.where(finite(F.col("lufs")) & (F.col("lufs") > -70)).select("track", "lufs"), "valid")
+    means = valid.groupBy("track").agg(F.count("*").alias("n"), F.avg("lufs").alias("mean"))
+    near = valid.join(means, "track").where(F.col("lufs") >= F.col("mean") - 20)
+    ends = exact_ranks(near, ["track"], "lufs", low=at_share(0.10), high=at_share(0.95))
+    made = means.join(ends, "track")
+    return made.select("track", F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("high") - F.col("low"))).alias("lra"))
+
+
+def percentiles(short: DataFrame, shares: tuple[int, ...] = (10, 50, 90, 95)) -> DataFrame:
+    """Percentiles p10, p50, ... of the finite windows; minus infinity where there is none."""
+    own = staged(short.select("track", F.when(finite(F.col("lufs")), F.col("lufs")).alias("lufs")), "windows")
+    made = exact_ranks(own, ["track"], "lufs", **{f"p{p}": at_share_capped(p / 100) for p in shares})
+    return made.select("track", *[F.coalesce(f"p{p}", F.lit(-INF)).alias(f"p{p}") for p in shares])
 
 
 def slope_and_volatility(short: DataFrame) -> DataFrame:

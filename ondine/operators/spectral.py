@@ -172,9 +172,10 @@ def asymmetry(left: DataFrame, right: DataFrame) -> DataFrame:
 def spectrogram(spectra: DataFrame, rate: float, size: int, low: float = -90.0) -> DataFrame:
     """(track, t, k, db) up to 20 kHz, between ``low`` and 0 dB; frames are numbered from 0 in their order."""
     count = min(size // 2, -int(-20000 // (rate / size)))
-    t = F.dense_rank().over(Window.partitionBy("track").orderBy("frame")) - 1
+    order = spectra.select("track", "frame").distinct()
+    order = order.withColumn("t", F.row_number().over(Window.partitionBy("track").orderBy("frame")) - 1)
     db = F.when(F.col("mag") > 0, F.greatest(F.lit(low), F.least(F.lit(0.0), 20 * F.log10(F.col("mag") / size)))).otherwise(low)
-    return spectra.where(F.col("k") < count).select("track", t.alias("t"), "k", db.alias("db"))
+    return spectra.where(F.col("k") < count).join(order, ["track", "frame"]).select("track", "t", "k", db.alias("db"))
 
 
 def downsampled(cells: DataFrame, columns: int) -> DataFrame:

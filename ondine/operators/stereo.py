@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ondine.functions.scalar import clamp, db_from_linear, finite, worst_percent
+from ondine.functions.scalar import clamp, db_from_linear, finite
 from ondine.operators.filters import band_pass, mapped
 from ondine.operators.framing import frames, lengths
+from ondine.operators.ranks import exact_ranks, worst_percent
+from ondine.staging import staged
 
 
 def correlation_of(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column) -> Column:
@@ -46,10 +48,11 @@ def windowed_stats(signals: DataFrame, window: int, rate: int, worst: int = 5) -
 
 def lowest(made: DataFrame, window: int, worst: int = 5) -> DataFrame:
     """The same from the windows' correlations."""
-    made = made.withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy("correlation", "frame")))
-    starts = F.array_sort(F.collect_list(F.when(F.col("rank") <= worst, F.struct("rank", "frame"))))
-    out = made.groupBy("track").agg(F.avg("correlation").alias("mean"), worst_percent(F.collect_list("correlation")).alias("worst_1_percent"), starts.alias("w"))
-    return out.select("track", "mean", "worst_1_percent", F.array_join(F.transform("w", lambda x: x["frame"] * (window // 2)), ",").alias("worst_at"))
+    made = staged(made.select("track", "frame", "correlation"), "correlation")
+    rank = F.row_number().over(Window.partitionBy("track").orderBy("correlation", "frame"))
+    low = made.withColumn("rank", rank).where(F.col("rank") <= worst).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("rank", "frame"))).alias("w"))
+    out = made.groupBy("track").agg(F.avg("correlation").alias("mean")).join(low, "track").join(exact_ranks(made, ["track"], "correlation", worst_1_percent=worst_percent()), "track")
+    return out.select("track", "mean", F.coalesce("worst_1_percent", F.lit(0.0)).alias("worst_1_percent"), F.array_join(F.transform("w", lambda x: x["frame"] * (window // 2)), ",").alias("worst_at"))
 
 
 def energy_weighted(signals: DataFrame, window: int, least: float = 0.01) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ondine.operators import dynamics as D
+from ondine.operators.following import first_at_or_below
 from ondine.plans.registry import query
 from ondine.plans.views import LONG, RATE, SHORT, db, long_signals, short_signals
 
@@ -97,6 +99,17 @@ def q_release_tail(spark, d):
     return rounded(D.release_tail(short_signals(spark, d), W10, RATE))
 
 
+@query(f"""with {SHORT}, w as (select track, n, mono as x, lag(mono) over o as a, lead(mono) over o as b from short window o as (partition by track order by n)), p as (select track, n as place, x / 2 as level from w where x > a and x > b and x > 0)
+  select p.track, place as at, round(level, 6) as level, min(s.n) as found from p left join short s on s.track = p.track and s.n > place and s.mono <= level group by p.track, place, level""")
+def q_first_below(spark, d):
+    """From each positive peak of a track to the first later sample that is no more than half of it."""
+    s = short_signals(spark, d)
+    order = Window.partitionBy("track").orderBy("n")
+    peaks = s.withColumns({"a": F.lag("mono").over(order), "b": F.lead("mono").over(order)}).where((F.col("mono") > F.col("a")) & (F.col("mono") > F.col("b")) & (F.col("mono") > 0))
+    events = peaks.select("track", F.col("n").alias("at"), (F.col("mono") / 2).alias("level"))
+    return rounded(first_at_or_below(s.select("track", "n", F.col("mono").alias("x")), events, block=256))
+
+
 GAP = int(RATE * 0.05 / (W10 // 2))
 #: Accepted onsets: a recursion from each to the first candidate that is late enough.
 ONSETS = f"""en as ({fr('{0}', W10, W10 // 2, 'sum(mono * mono) / ' + str(W10) + ' as e')}),

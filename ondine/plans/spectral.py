@@ -7,9 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from ondine.operators import spectral as S
+from ondine.operators import whole_spectrum
 from ondine.plans.dynamics import rounded
 from ondine.plans.registry import query
-from ondine.plans.views import db, table
+from ondine.plans.views import SHORT, db, short_signals, table
 
 FS, SIZE = 44100, 64
 RES = FS / SIZE
@@ -49,6 +50,14 @@ def q_padded_magnitude(spark, d):
     return rounded(longer.select("vec_id", F.posexplode(S.padded_magnitudes("x")).alias("k", "mag")))
 
 
+@query(f"""with {SHORT}, w as (select track, pow(2, ceil(log2(count(*))))::bigint as size from short group by track),
+  p as (select s.track, n, mono, size, 2 * pi() / size as turn from short s join w using (track)), b as (select track, size, unnest(range(size // 2)) as k from w)
+  select p.track, k, round(sqrt(pow(sum(mono * cos(turn * (k * n % p.size))), 2) + pow(sum(mono * sin(turn * (k * n % p.size))), 2)), 6) as mag from p join b using (track) group by p.track, k""")
+def q_whole_spectrum(spark, d):
+    """Of whole tracks, one a supplier, in blocks of 2,048 values."""
+    return rounded(whole_spectrum.magnitudes(short_signals(spark, d).select("track", "n", F.col("mono").alias("x")), 2048))
+
+
 ROLL = "select {0}, min(freq) as rolloff from (select *, sum(mag * mag) over (partition by {0} order by k) as run, sum(mag * mag) over (partition by {0}) as total from {1}) where run >= 0.85::double * total and total > 0 group by {0}"
 
 
