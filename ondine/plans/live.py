@@ -9,13 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondine.plans.dynamics import rounded
+from ondine.operators.loudness import ABSOLUTE_GATE
+from ondine.plans.dynamics import fr, rounded
 from ondine.plans.kept import kept
 from ondine.plans.loudness import pole
 from ondine.plans.registry import query
-from ondine.plans.views import table
+from ondine.plans.views import lufs, table
 from ondine.staging import remove, shared_dir, staged
-from ondine.streaming import live
+from ondine.streaming import histogram, live
 
 
 def source(spark: SparkSession, d: str) -> DataFrame:
@@ -118,3 +119,25 @@ def q_stream_onsets(spark, d):
 @query(f"""with {EV} select track, count(*) as samples, track % 5 <> 0 as whole, round(avg(x), 6) as dc, round(avg(x * x), 6) as power, round(max(abs(x)), 6) as peak, min(ts) as first, max(ts) as last from ev group by track""")
 def q_stream_results(spark, d):
     return rounded(drained(live.folded(mixed(spark, d), LATE, live.Ends("bigint")), "append"))
+
+
+#: Events as tracks of ten samples a second, with one channel.
+TEN = "te as (select user_id as track, row_number() over (partition by user_id order by ts, event_id) - 1 as n, (value - 50) / 500 as l from events)"
+
+
+def _percentile_sql(share: float, dropped: str) -> str:
+    return f"bs[least(c - 1, {dropped} + floor((c - {dropped}) * {share}::double)::bigint) + 1]"
+
+
+@query(f"""with {TEN}, g as (select track, p, floor({lufs('p')} / 0.01::double) as b from ({fr('te', 4, 3, 'sum(l * l) / 4 as p', strict=False)}) where p >= {ABSOLUTE_GATE!r}::double),
+  m as (select track, floor({lufs('avg(p) * 0.1')} / 0.01::double) as e from g group by track),
+  q as (select track, {lufs('avg(p)')} as low, {lufs('avg(p) filter (b > e)')} as high from g join m using (track) where b >= e group by track),
+  s as (select track, {lufs('p')} as v from ({fr('te', 30, 1, 'sum(l * l) / 30 as p', strict=False)}) where {lufs('p')} > -70), t as (select track, count(*) as c, floor((avg(v) - 20) / 0.01::double) as e from s group by track),
+  u as (select track, c, list(floor(v / 0.01::double) order by v) as bs, count(*) filter (floor(v / 0.01::double) < e) as few, count(*) filter (floor(v / 0.01::double) <= e) as many from s join t using (track) group by track, c)
+  select track, samples, round(coalesce(low, '-inf'::double), 6) as gated_low, round(coalesce(high, '-inf'::double), 6) as gated_high,
+    round(case when c >= 2 then greatest(0, ({_percentile_sql(0.95, 'few')} - {_percentile_sql(0.1, 'many')} - 1) * 0.01::double) else 0 end, 6) as lra_low,
+    round(case when c >= 2 then ({_percentile_sql(0.95, 'many')} + 1 - {_percentile_sql(0.1, 'few')}) * 0.01::double else 0 end, 6) as lra_high
+  from (select track, count(*) as samples from te group by track) left join q using (track) left join u using (track)""")
+def q_stream_gated(spark, d):
+    """Bounds of gated loudness and loudness range from a stream in mixed order."""
+    return rounded(drained(live.folded(mixed(spark, d), LATE, histogram.Loudness("bigint", 10)), "append"))
