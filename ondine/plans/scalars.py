@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ondine.functions import scalar as X
 from ondine.operators import catalog as C
-from ondine.operators import framing
+from ondine.operators import framing, postings
 from ondine.plans.dynamics import fr, rounded
+from ondine.plans.kept import kept
 from ondine.plans.registry import query
 from ondine.plans.spectral import frames as spec_frames
 from ondine.plans.views import EVENTS, LONG, SHORT, event_signals, long_signals, short_signals, table
@@ -88,6 +92,23 @@ def q_suggest(spark, d):
     return C.suggestions(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "an", _score("an"), "p_partkey").select("p_partkey", "p_name", "score")
 
 
+#: Texts of one query, as a session of a user types them.
+TYPED = ("wid", "widget", "d b", "BRAND#1", "econ", "ing", "no such part")
+
+
+def _typed_sql(text: str) -> str:
+    return f"select '{text}' as text, p_partkey, p_name, score from ({RANKED.format(text.lower()).removeprefix('rk as (').removesuffix(')')}) where score > 0"
+
+
+@query(" union all ".join(_typed_sql(t) for t in TYPED))
+def q_search_postings(spark, d):
+    columns = ("p_name", "p_brand", "p_type")
+    rows = table(spark, d, "part").select("p_partkey", *columns)
+    index = postings.indexed(rows, *columns, keep=lambda made, name: kept(spark, d, name, lambda: made, source="part"))
+    each = [postings.search(index, t, _score(t), "p_partkey").select(F.lit(t).alias("text"), "p_partkey", "p_name", "score") for t in TYPED]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 @query("""with c as (select p_type, count(*) as parts, min(p_partkey) as first from part group by p_type) select p.p_partkey, p.p_type, c.parts, c.first from part p left join c using (p_type)""")
 def q_catalog_scan(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_type")
