@@ -80,6 +80,11 @@ def time_text(seconds: Column) -> Column:
     return F.when(seconds.isNull(), F.lit("—")).otherwise(F.concat(F.floor(s / 60).cast("bigint").cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")))
 
 
+def iso_text(at: Column) -> Column:
+    """A time in UTC with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def slug(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "[^a-zA-Z0-9]", "-"))
 

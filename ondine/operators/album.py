@@ -65,15 +65,45 @@ def breakdown(tracks: DataFrame) -> DataFrame:
     )
 
 
+#: Wording of the findings, with the column that they name, and what to do about them.
+FINDINGS = {
+    "loud": ("Album is very loud (avg %.1f LUFS)", "avg_lufs", "Consider reducing loudness for better streaming platform performance"),
+    "quiet": ("Album is relatively quiet (avg %.1f LUFS)", "avg_lufs", "May be normalized up on streaming platforms, which is generally fine"),
+    "optimal": ("Album loudness is in optimal range (avg %.1f LUFS)", "avg_lufs", None),
+    "peaks": ("%d track(s) exceed -1 dBTP true peak", "above_peak", "Consider reducing peaks to below -1 dBTP for codec safety margin"),
+    "clipping": ("%d track(s) contain clipping", "with_clipping", "Review clipped tracks and consider re-mastering"),
+    "dynamics": ("Limited dynamic range detected", None, "Consider preserving more dynamics for improved listening experience"),
+    "phase": ("%d track(s) have phase issues", "with_phase", "Check mono compatibility and low-end phase alignment"),
+}
+
+
 def findings() -> Column:
-    """Codes of what to tell about a summarised album."""
+    """Codes of what to tell about a summarised album, in the order of FINDINGS; nothing on its loudness where that is missing."""
     c = F.col
     each = F.array(
-        F.when(c("avg_lufs") > -10, "loud").when(c("avg_lufs") < -16, "quiet").otherwise("optimal"),
+        F.when(c("avg_lufs") > -10, "loud").when(c("avg_lufs") < -16, "quiet").when(c("avg_lufs").isNotNull(), "optimal"),
         F.when(c("above_peak") > 0, "peaks"), F.when(c("with_clipping") > 0, "clipping"), F.when(c("avg_dr") < 6, "dynamics"), F.when(c("with_phase") > 0, "phase"),
     )
     return F.filter(each, lambda x: x.isNotNull())
 
 
+def key_findings() -> Column:
+    """The findings in words."""
+    text = lambda pattern, of: F.format_string(pattern, F.col(of)) if of else F.lit(pattern)
+    return _worded({code: text(pattern, of) for code, (pattern, of, _) in FINDINGS.items()})
+
+
+def recommendations() -> Column:
+    """What to do about the findings, in words; some ask for nothing."""
+    return _worded({code: F.lit(advice) for code, (_, _, advice) in FINDINGS.items() if advice})
+
+
+def _worded(texts: dict[str, Column]) -> Column:
+    held = findings()
+    each = F.array(*[F.when(F.array_contains(held, code), text) for code, text in texts.items()])
+    return F.filter(each, lambda x: x.isNotNull())
+
+
+# Wording of the note.
 def ready_note(ready: Column, avg_lufs: Column) -> Column:
     return F.when(ready, F.when(avg_lufs > -14, "Distribution Ready (with normalization)").otherwise("Distribution Ready")).otherwise("Address issues before distribution")

@@ -139,6 +139,7 @@ def artifacts(hf: Column, cv: Column, timing_class: Column) -> Column:
     return F.struct(shimmer.alias("shimmer"), shine.alias("shimmer_score"), robotic.alias("robotic"), timing.alias("timing_score"), F.when(overall > 0, overall).alias("overall"))
 
 
+# Bounds, losses and wording.
 def codec_quality(rolloff: Column, bits: Column, noise: Column) -> Column:
     """Struct of score, cut-off and note on what a codec may have taken away."""
     loss = F.coalesce(steps(rolloff, ("<", 15000, 40.0), ("<", 17000, 20.0), ("<", 19000, 10.0)), F.lit(0.0))

@@ -12,6 +12,7 @@ from ondine.plans.dynamics import rounded
 from ondine.plans.registry import query
 from ondine.plans.rules import RULED, ruled
 from ondine.plans.tracks import TRK, tracks
+from ondine.plans.views import table
 from ondine.staging import remove, shared_dir
 
 SUMMARY = """al as (select album, count(*) as tracks, round(avg(lufs), 1) as avg_lufs, round(min(lufs), 1) as min_lufs, round(max(lufs), 1) as max_lufs, round(stddev_pop(lufs), 2) as lufs_sd, round(avg(lra), 1) as avg_lra, round(coalesce(max(tp), -3), 1) as max_tp, round(avg(tp), 1) as avg_tp,
@@ -95,6 +96,30 @@ def q_export_readback(spark, d):
     return rounded(rows.select("*", "t.*").drop("t"))
 
 
+def _listed(pick: int) -> str:
+    """SQL of the texts of FINDINGS that hold: their wording (0) or what to do about them (2)."""
+    when = {"loud": "avg_lufs > -10", "quiet": "avg_lufs < -16", "optimal": "avg_lufs between -16 and -10", "peaks": "above_peak > 0", "clipping": "with_clipping > 0", "dynamics": "avg_dr < 6", "phase": "with_phase > 0"}
+    text = lambda f: f"printf('{f[0]}', {f[1]})" if pick == 0 and f[1] else f"'{f[pick]}'"
+    return "list_filter([" + ", ".join(f"case when {when[code]} then {text(f)} end" for code, f in A.FINDINGS.items() if f[pick]) + "], lambda x: x is not null)"
+
+
+@query(f"""with {RULED}, {SUMMARY}, e as (select album, (select max(o_orderdate) from orders)::date as day, {_listed(0)} as a, {_listed(2)} as b from al),
+  u as (select album, day, 'finding' as kind, unnest(range(len(a))) as place, unnest(a) as text from e union all select album, day, 'recommendation', unnest(range(len(b))), unnest(b) from e)
+  select album, strftime(day, '%Y-%m-%dT00:00:00.000Z') as exported, kind, place::int as place, text from u""")
+def q_export_findings(spark, d):
+    """What the report's files say in words, read back: one row per finding and recommendation. The day of the last order counts as that of the export."""
+    from ondine.sources.export import report, write
+
+    path = f"{shared_dir(spark)}/ondine-reports-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    last = table(spark, d, "orders").agg(F.max(F.col("o_orderdate").cast("date"))).first()[0]
+    day = F.lit(f"{last} 00:00:00Z").cast("timestamp")
+    write(report(ruled(spark, d), "Album", day), path)
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", "exported string, name string, summary struct<key_findings:array<string>,recommendations:array<string>>").alias("x"))
+    each = [docs.select(F.col("x.name").alias("album"), "x.exported", F.lit(kind).alias("kind"), F.posexplode(f"x.summary.{c}").alias("place", "text")) for kind, c in (("finding", "key_findings"), ("recommendation", "recommendations"))]
+    return each[0].unionByName(each[1])
+
+
 @query()
 def q_pretty_json(spark, d):
     return A.summary(ruled(spark, d)).select("album", F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))

@@ -38,6 +38,7 @@ def q_distribution_rules(spark, d):
     return ruled(spark, d).select("track", codes(F.col("issues")).alias("issues"), codes(F.col("warnings")).alias("warnings"), (F.size("issues") == 0).alias("ready"))
 
 
+# The wording of the messages, as in operators/rules.py.
 MESSAGES = {
     "sample_rate": "printf('Sample rate %d Hz below 44.1 kHz.', sample_rate)",
     "bit_depth": "printf('Bit depth %d-bit below 16-bit.', bit_depth)",

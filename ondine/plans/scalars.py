@@ -50,7 +50,7 @@ def q_format_time(spark, d):
 
 @query()
 def q_iso_now(spark, d):
-    return spark.range(1).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("now"))
+    return spark.range(1).select(X.iso_text(F.current_timestamp()).alias("now"))
 
 
 @query("select p_partkey, lower(regexp_replace(p_name || ' (' || p_brand || ')', '[^a-zA-Z0-9]', '-', 'g')) as slug from part")

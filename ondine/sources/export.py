@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ondine.functions.scalar import finite, slug
-from ondine.operators.album import findings, ready_note, summary
+from ondine.functions.scalar import finite, iso_text, slug
+from ondine.operators.album import findings, key_findings, ready_note, recommendations, summary
 from ondine.sources.committed import write_text
 
 VERSION = "1.0"
@@ -21,13 +21,14 @@ def file_name(name: Column) -> Column:
     return F.concat(slug(name), F.lit("-analysis.json"))
 
 
-def report(tracks: DataFrame, kind: str) -> DataFrame:
-    """(album, file, json): summary with findings, and an overview of the tracks in order."""
-    heads = plain(summary(tracks)).withColumns({"findings": findings(), "note": ready_note(F.col("ready"), F.col("avg_lufs"))})
+def report(tracks: DataFrame, kind: str, exported: Column | None = None) -> DataFrame:
+    """(album, file, json): summary with findings and recommendations, an overview of the tracks in order, and the time of the export (now, if none is given)."""
+    told = {"findings": findings(), "key_findings": key_findings(), "recommendations": recommendations(), "note": ready_note(F.col("ready"), F.col("avg_lufs"))}
+    heads = plain(summary(tracks)).withColumns(told)
     overview = plain(tracks.select("album", "track_number", "seconds", "lufs", "tp", "dr", "n_issues", "n_warnings"))
     packed = overview.groupBy("album").agg(F.array_sort(F.collect_list(F.struct("track_number", "seconds", "lufs", "tp", "dr", "n_issues", "n_warnings"))).alias("tracks"))
     both = heads.withColumn("summary", F.struct(*[c for c in heads.columns if c != "album"])).select("album", "summary").join(packed, "album")
-    made = F.struct(F.lit(VERSION).alias("version"), F.lit(kind).alias("kind"), F.col("album").alias("name"), "summary", "tracks")
+    made = F.struct(F.lit(VERSION).alias("version"), iso_text(F.current_timestamp() if exported is None else exported).alias("exported"), F.lit(kind).alias("kind"), F.col("album").alias("name"), "summary", "tracks")
     return both.select("album", file_name(F.col("album")).alias("file"), F.to_json(made, {"ignoreNullFields": "false"}).alias("json"))
 
 
