@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 import math
 import random
@@ -289,11 +290,15 @@ def test_gradient_of_the_field_by_differences():
     langs, k = [0, 1, 2, 1], 3
     lexicon = {"ein": [77], "one": [78]}
     chains = crf_language.Chains.of(segments, langs, lexicon, k, chain=2)
-    w, t, s = rng.normal(size=(crf_language.BUCKETS, k)) * 0.3, rng.normal(size=(k, k)), rng.normal(size=k)
+    weights = chains.weights()
+    v = rng.normal(size=len(weights.value)) * 0.3
+    moves = [rng.normal(size=k) for _ in range(4)]
     words = [x for some in segments for x in some]
 
-    def likelihood(w, t, s):
+    def likelihood(v, stay, leave, enter, s):
+        w = dataclasses.replace(weights, value=v)
         score = [w[crf_language.word_features(x, lexicon)].sum(0) for x in words]
+        t = np.where(np.eye(k) > 0, stay, leave[:, None] + enter)
 
         def path(labels, at):
             return sum(score[i][c] + (s[c] if chains.reset[i] else t[labels[j - 1], c]) for j, (i, c) in enumerate(zip(at, labels)))
@@ -305,15 +310,59 @@ def test_gradient_of_the_field_by_differences():
             total += path(chains.y[a:b], at) - np.logaddexp.reduce(every)
         return total
 
-    got = chains.gradient(w, t, s)
-    places = [(0, (int(f), c)) for f in np.unique(chains.feature)[:12] for c in range(k)] + [(1, (i, j)) for i in range(k) for j in range(k)] + [(2, (i,)) for i in range(k)]
+    got = chains.gradient(dataclasses.replace(weights, value=v), crf_language.Moves(*moves))
+    places = [(0, i) for i in range(0, len(v), 3)] + [(which, i) for which in range(1, 5) for i in range(k)]
     for which, at in places:
         value = []
         for step in (1e-5, -1e-5):
-            moved = [w.copy(), t.copy(), s.copy()]
+            moved = [v.copy(), *(x.copy() for x in moves)]
             moved[which][at] += step
             value.append(likelihood(*moved))
         assert got[which][at] == pytest.approx((value[0] - value[1]) / 2e-5, abs=1e-5)
+    whole = [x.copy() for x in got]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(crf_language, "BLOCK", 5)  # a chain at a time, some pairs at a time
+        parts = dataclasses.replace(chains).gradient(dataclasses.replace(weights, value=v), crf_language.Moves(*moves))
+    assert all(np.allclose(a, b, atol=1e-10) for a, b in zip(whole, parts))
+
+
+def _many_languages(n, seed=31):
+    """Segments of n languages, each with three words and an ending of its own."""
+    rng = random.Random(seed)
+    some = lambda size: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    words = {f"l{i:04}": [some(4) + end for _ in range(3)] for i in range(n) for end in [some(3)]}
+    pairs = [(lang, [rng.choice(own) for _ in range(rng.randint(2, 6))]) for lang, own in words.items() for _ in range(3)]
+    rng.shuffle(pairs)
+    return words, [x for _, x in pairs], [x for x, _ in pairs]
+
+
+def test_texts_aside_equal_texts_together(monkeypatch):
+    """Without transfer matrices, in short columns and small groups, the posteriors are the same."""
+    words, segments, langs = _many_languages(5)
+    field = crf_language.fit(segments, langs, steps=10)
+    rng = random.Random(4)
+    own = [w for some in words.values() for w in some]
+    texts = [" ".join(rng.choice(own) for _ in range(n)) for n in (1, 3, 7, 8, 30, 61)] + [None, "12"]
+    want = list(field.posteriors(texts))
+    assert [x[0] for x in want] == list(range(6))
+    monkeypatch.setattr(crf_language, "FEW", 0)
+    for column, block in ((1, 1), (7, 80), (8, 1 << 20), (128, 1 << 20)):
+        monkeypatch.setattr(crf_language, "COLUMN", column)
+        monkeypatch.setattr(crf_language, "BLOCK", block)
+        got = list(dataclasses.replace(field).posteriors(texts))
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[0] == b[0] and all(np.allclose(x, y, atol=1e-9) for x, y in zip(a[1:], b[1:]))
+
+
+def test_hundreds_of_languages():
+    """The model grows with the sample: weights only of pairs that it holds; each language is found again."""
+    words, segments, langs = _many_languages(300)
+    field = crf_language.fit(segments, langs, steps=15)
+    held = {(f, lang) for some, lang in zip(segments, langs) for w in some for f in crf_language.word_features(w, field.lexicon)}
+    assert len(field.languages) == 300 and len(field.weights.value) == len(held) < 20_000
+    found = field.label([" ".join(own * 2) for own in words.values()])
+    assert sum(a == b for (a, _), b in zip(found, words)) >= 295
 
 
 def test_rare_languages_are_learned(spark):
@@ -336,7 +385,7 @@ def test_stretches_of_one_language(spark, learned, hard):
     middle = len(text) // 2
     most = lambda spans, lang: sum(b - a for _, a, b, x, _ in spans if x == lang)
     assert most([f for f in found if f[2] < middle + 40], "fr") > 0.8 * len(french) and most([f for f in found if f[1] > middle - 40], "de") > 0.8 * len(german)
-    (want,) = [x for i, _, x in field.posteriors([text])]
+    (want,) = [best for _, _, best, _, _ in field.posteriors([text])]
     assert len(want) == 80 and sum((f[4] * 1 for f in found)) > 0
     assert crf_language.switches(hard, field).where("end <= start or start < 0").count() == 0
 
