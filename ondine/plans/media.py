@@ -6,12 +6,13 @@ import atexit
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ondine.operators import raster, spectral
 from ondine.plans.registry import query
 from ondine.plans.spectral import BINS, FS, GRAM, SIZE, spectra
-from ondine.plans.views import LONG, RATE, long_signals
+from ondine.plans.views import LONG, RATE, long_signals, table
 from ondine.sources import wav
 from ondine.staging import remove, shared_dir
 
@@ -39,11 +40,21 @@ def q_wav_header(spark, d):
     return written(spark, d).groupBy(name, "sample_rate", "channels", "bit_depth").agg(F.sum(F.size("l")).alias("frames"))
 
 
-@query("""select * from (values ('a.wav', null::int, null::int, null::int, 'no data chunk'), ('b.wav', null, null, null, 'no RIFF/WAVE file'), ('c.wav', 8000, 2, 5, null)) v(path, sample_rate, channels, samples, error)""")
+@query("""select 'text ' || doc_id as path, null::int as sample_rate, null::int as channels, null::int as samples, 'no RIFF/WAVE file' as error from documents where text is not null
+  union all select 'head ' || vec_id, null, null, null, 'no data chunk' from embeddings union all select 'file ' || vec_id, 8000, 2, (len(embedding) // 2)::int, null from embeddings""")
 def q_reader_wav(spark, d):
-    """Broken files give a row with the reason."""
-    rows = spark.createDataFrame([("a.wav", b"RIFFxxxxWAVE"), ("b.wav", b"none"), ("c.wav", wav.encoded(np.zeros((5, 2)), 8000))], "path string, content binary")
-    return wav.parsed(rows).select("path", "sample_rate", "channels", F.size("l").alias("samples"), "error")
+    """Vectors as files of two channels, their heads alone, and texts: what is broken gives a row with the reason."""
+    texts = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("text "), "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    vectors = table(spark, d, "embeddings")
+
+    @F.pandas_udf("binary")
+    def encoded(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: wav.encoded(np.asarray(v, float).reshape(-1, 2), 8000))
+
+    files = vectors.select(F.concat(F.lit("file "), "vec_id").alias("path"), encoded("embedding").alias("content"))
+    heads = vectors.select(F.concat(F.lit("head "), "vec_id").alias("path"), F.lit("RIFFxxxxWAVE").cast("binary").alias("content"))
+    made = wav.parsed(texts.unionByName(files).unionByName(heads))
+    return made.select("path", "sample_rate", "channels", F.size("l").alias("samples"), "error")
 
 
 @query()
@@ -68,6 +79,8 @@ def q_raster_cells(spark, d):
     return made.groupBy("track", F.floor(F.col("x") / 25).alias("part")).agg(F.count("*").alias("cells"), F.sum("color").alias("color_sum"), F.sum("y").alias("y_sum"))
 
 
-@query("""select i::int as i, {0} as r, {1} as g, {2} as b from range(256) q(i)""".format(*[f"greatest(0, least(255, floor(case when i / 255::double < 0.25 then {a[0]} + i / 255::double / 0.25 * {a[1]} when i / 255::double < 0.5 then {b[0]} + (i / 255::double - 0.25) / 0.25 * {b[1]} when i / 255::double < 0.75 then {c[0]} + (i / 255::double - 0.5) / 0.25 * {c[1]} else {e[0]} + (i / 255::double - 0.75) / 0.25 * {e[1]} end + 0.5)))::int" for a, b, c, e in (((68, -10), (58, -25), (33, 90), (123, 130)), ((1, 40), (41, 80), (121, 70), (191, 60)), ((84, 40), (124, -20), (104, -60), (44, -30)))]))
+@query(("""with q as (select event_id, """ + COLOR.replace("db", "(-value / 8)") + """ as i from events) select event_id, i, {0} as r, {1} as g, {2} as b from q""").format(*[f"greatest(0, least(255, floor(case when i / 255::double < 0.25 then {a[0]} + i / 255::double / 0.25 * {a[1]} when i / 255::double < 0.5 then {b[0]} + (i / 255::double - 0.25) / 0.25 * {b[1]} when i / 255::double < 0.75 then {c[0]} + (i / 255::double - 0.5) / 0.25 * {c[1]} else {e[0]} + (i / 255::double - 0.75) / 0.25 * {e[1]} end + 0.5)))::int" for a, b, c, e in (((68, -10), (58, -25), (33, 90), (123, 130)), ((1, 40), (41, 80), (121, 70), (191, 60)), ((84, 40), (124, -20), (104, -60), (44, -30)))]))
 def q_color_map(spark, d):
-    return spark.range(256).select(F.col("id").cast("int").alias("i"), raster.colors(F.col("id")).alias("c")).select("i", "c.*")
+    """The colours of the events, whose values count as levels."""
+    index = raster.color_index(-F.col("value") / 8)
+    return table(spark, d, "events").select("event_id", index.alias("i"), raster.colors(index).alias("c")).select("event_id", "i", "c.*")

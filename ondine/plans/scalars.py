@@ -48,9 +48,11 @@ def q_format_time(spark, d):
     return table(spark, d, "events").select("event_id", X.time_text(F.when(F.col("event_id") % 10 != 0, F.col("value"))).alias("time"))
 
 
-@query()
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as at, true as past from events")
 def q_iso_now(spark, d):
-    return spark.range(1).select(X.iso_text(F.current_timestamp()).alias("now"))
+    """The times of the events as text, and whether they lie before now, whose text sorts like its time."""
+    at = X.iso_text(F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    return table(spark, d, "events").select("event_id", at.alias("at"), (at < X.iso_text(F.current_timestamp())).alias("past"))
 
 
 @query("select p_partkey, lower(regexp_replace(p_name || ' (' || p_brand || ')', '[^a-zA-Z0-9]', '-', 'g')) as slug from part")
@@ -151,10 +153,12 @@ def q_frames_energy(spark, d):
     return rounded(framing.frames(short_signals(spark, d), 100, 40, F.sum(F.col("mono") * F.col("mono")).alias("energy")))
 
 
-@query("""select i::int as i, round(0.5 * (1 - cos(2 * pi() * i / 63)), 9) as hann, round(0.35875 - 0.48829 * cos(2 * pi() * i / 63) + 0.14128 * cos(4 * pi() * i / 63) - 0.01168 * cos(6 * pi() * i / 63), 9) as blackman_harris from range(64) r(i)""")
+@query("""select vec_id, round(list_sum(list_transform(range(len(embedding)), lambda i: embedding[i + 1]::double * 0.5 * (1 - cos(2 * pi() * i / 63)))), 6) as hann,
+  round(list_sum(list_transform(range(len(embedding)), lambda i: embedding[i + 1]::double * (0.35875 - 0.48829 * cos(2 * pi() * i / 63) + 0.14128 * cos(4 * pi() * i / 63) - 0.01168 * cos(6 * pi() * i / 63)))), 6) as blackman_harris from embeddings""")
 def q_window_funcs(spark, d):
-    made = spark.range(1).select(F.posexplode(F.arrays_zip(framing.hann(64).alias("h"), framing.blackman_harris(64).alias("b"))).alias("i", "w"))
-    return made.select("i", F.round("w.h", 9).alias("hann"), F.round("w.b", 9).alias("blackman_harris"))
+    """Vectors of 64 numbers under both windows, summed."""
+    under = lambda window: F.aggregate(F.zip_with("embedding", window, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
+    return rounded(table(spark, d, "embeddings").select("vec_id", under(framing.hann(64)).alias("hann"), under(framing.blackman_harris(64)).alias("blackman_harris")))
 
 
 @query(f"""with {LONG}, c as (select track, count(*) as n from long group by track) select track, count as frames, (k * ((n - 4096) // count)) as start from c, (values (30), (20), (10)) v(count), range(30) r(k) where k < count and n >= 4096""".replace("count as frames", "cnt as frames").replace("// count", "// cnt").replace("v(count)", "v(cnt)").replace("k < count", "k < cnt"))
@@ -171,21 +175,33 @@ def q_frame_iterator(spark, d):
     return rounded(energies(spec_frames(spark, d)))
 
 
-@query("""with t as (select n, n / 8000::double as s from range(2000) r(n)) select kind, count(*) as samples, round(sum(x * x), 5) as energy, round(max(abs(x)), 6) as peak from (
-  select 'sine' as kind, 0.5 * sin(2 * pi() * 440 * s) as x from t union all select 'clipped', greatest(-1, least(1, 1.5 * sin(2 * pi() * 1000 * s))) from t union all select 'dc', 0.3 * sin(2 * pi() * 1000 * s) + 0.1 from t
-  union all select 'tanh', 0.8 * tanh(3 * sin(2 * pi() * 440 * s)) / tanh(3) from t union all select 'alternating', case when n % 2 = 0 then 1 else -1 end from t union all select 'silence', 0 from t union all select 'lufs', sqrt(2) * pow(10, (-14 + 0.691) / 20) * sin(2 * pi() * 1000 * s) from t) group by kind""")
+#: Pitches of the test signals that are made for each supplier.
+TONES = "tones as (select s_suppkey as track, 100 + s_suppkey % 400 as low, 500 + s_suppkey % 700 as high from supplier)"
+
+
+def tones(spark, d):
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(key.alias("track"), (100 + key % 400).alias("low"), (500 + key % 700).alias("high"))
+
+
+@query(f"""with {TONES}, t as (select track, low, high, n, n / 8000::double as s from tones, range(400) r(n)) select track, kind, count(*) as samples, round(sum(x * x), 5) as energy, round(max(abs(x)), 6) as peak from (
+  select track, 'sine' as kind, 0.5 * sin(2 * pi() * low * s) as x from t union all select track, 'clipped', greatest(-1, least(1, 1.5 * sin(2 * pi() * high * s))) from t union all select track, 'dc', 0.3 * sin(2 * pi() * high * s) + 0.1 from t
+  union all select track, 'tanh', 0.8 * tanh(3 * sin(2 * pi() * low * s)) / tanh(3) from t union all select track, 'alternating', case when n % 2 = 0 then 1 else -1 end from t union all select track, 'silence', 0 from t
+  union all select track, 'lufs', sqrt(2) * pow(10, (-14 + 0.691) / 20) * sin(2 * pi() * high * s) from t) group by track, kind""")
 def q_synth_signals(spark, d):
-    made = synth.signals(spark, 8000, 2000)
-    return rounded(made.groupBy("kind").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.max(F.abs("x")).alias("peak")))
+    made = synth.signals_of(tones(spark, d), 8000, 400)
+    return rounded(made.groupBy("track", "kind").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.max(F.abs("x")).alias("peak")))
 
 
-@query("""select count(*) as samples, round(sum(x * x), 5) as energy, round(sum(x), 5) as total from (select sin(2 * pi() * 100 * 0.5 / ln(100) * (exp(n / 8000::double / 0.5 * ln(100)) - 1)) as x from range(4000) r(n))""")
+@query(f"""with {TONES} select track, count(*) as samples, round(sum(x * x), 5) as energy, round(sum(x), 5) as total from (select track, sin(2 * pi() * low * 0.05 / ln(high / low::double) * (exp(n / 8000::double / 0.05 * ln(high / low::double)) - 1)) as x from tones, range(400) r(n)) group by track""")
 def q_log_sweep(spark, d):
-    made = synth.log_sweep(spark, 8000, 4000)
-    return made.agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.round(F.sum("x"), 5).alias("total"))
+    x = synth.sweep(F.col("n") / 8000, 0.05, F.col("low"), F.col("high"))
+    made = synth.sampled(tones(spark, d), 400).select("track", x.alias("x"))
+    return made.groupBy("track").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("energy"), F.round(F.sum("x"), 5).alias("total"))
 
 
-@query("""select n, round(avg(('0x' || substr(md5('7:' || k || ':' || (n >> k)), 1, 13))::bigint / pow(2, 51) - 1), 6) as x from range(1000) r(n), range(16) o(k) group by n""")
+@query("""select s_suppkey as track, n::int as n, round(avg(('0x' || substr(md5(s_suppkey || ':' || k || ':' || (n >> k)), 1, 13))::bigint / pow(2, 51) - 1), 6) as x from supplier, range(100) r(n), range(16) o(k) group by s_suppkey, n""")
 def q_pink_noise(spark, d):
-    """Seeded: the same on every run, whatever the partitions."""
-    return rounded(synth.noise(spark, 1000, seed=7))
+    """Seeded by the supplier: the same on every run, whatever the partitions."""
+    made = synth.sampled(table(spark, d, "supplier").select(F.col("s_suppkey").alias("track")), 100)
+    return rounded(made.select("track", "n", synth.pink(F.col("n"), F.col("track")).alias("x")))
