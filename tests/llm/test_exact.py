@@ -647,3 +647,20 @@ def test_empty_tables(empty):
     assert fair_mix.mix(empty).count() == 0 and fair_mix.mixed(empty).count() == 0
     assert secret_owners.scan(empty).count() == 0 and secret_owners.redacted(empty).count() == 0
     assert audio_columns.digests(audio_columns.store(empty)).count() == 0
+
+
+@pytest.mark.parametrize("master, warehouse, fine", [("local[4]", "file:/w", True), ("spark://a:7077", "file:/w", False), ("spark://a:7077", "/w", False), ("spark://a:7077", "hdfs://a/w", True)])
+def test_no_local_folder_on_a_cluster(master, warehouse, fine):
+    """Without spark.checkpoint.dir, staged tables go into the warehouse only if all executors see it."""
+    from types import SimpleNamespace
+
+    from ondine.llm._common import shared_dir
+
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+    conf = SimpleNamespace(get=lambda key, *default: warehouse if "warehouse" in key else None)
+    session = SimpleNamespace(sparkContext=context, conf=conf)
+    if fine:
+        assert shared_dir(session) == f"{warehouse}/_ondine"
+    else:
+        with pytest.raises(ValueError, match="not set"):
+            shared_dir(session)
