@@ -242,3 +242,21 @@ def test_autocorrelation_in_stretches(spark):
         got = {(r.track, r.lag): r.r for r in musical.autocorrelation(envelope, 5, 60, stretch).collect()}
         assert set(got) == {(t, k) for t, v in data.items() for k in range(5, 61) if k < len(v)}
         assert all(r == pytest.approx(np.mean(data[t][:-k] * data[t][k:])) for (t, k), r in got.items())
+
+
+def test_variation_on_a_bound_is_that_of_the_sql(spark):
+    """Two gaps of 3 to 7 vary by 0.4, a bound of the characters, where the last bit decides."""
+    import duckdb
+
+    from ondine.plans.dynamics import SPACING
+
+    pairs = [(a, b) for a in range(10, 110) for b in range(10, 110) if a + b < 120 and any(abs(abs(a - b) / (a + b) - t) < 1e-12 for t in (0.08, 0.18, 0.4))]
+    onsets = [(t, i) for t, (a, b) in enumerate(pairs) for i in (3, 3 + a, 3 + a + b)] + [(len(pairs), 5)]
+    con = duckdb.connect()
+    con.execute("create table ons (track bigint, i bigint)")
+    con.executemany("insert into ons values (?, ?)", onsets)
+    con.execute(f"create table short as select track, n from range({len(pairs) + 2}) a(track), range(600) b(n)")
+    want = con.sql(f"with {SPACING.replace('{0}', 'short')} select track, onsets, cv, case when onsets < 3 then 'natural' when cv < 0.08 then 'robotic' when cv < 0.18 then 'tight' when cv < 0.4 then 'natural' else 'loose' end as character from sp").fetchall()
+    sizes = spark.createDataFrame([(t, 600) for t in range(len(pairs) + 2)], "track bigint, length bigint")
+    got = dynamics.spacing(spark.createDataFrame(onsets, "track bigint, i bigint").repartition(7), sizes, 5, 1000)
+    assert sorted(tuple(r) for r in got.select("track", "onsets", "cv", "character").collect()) == sorted(want)
