@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ondine.functions.scalar import INF
+from ondine.functions.scalar import INF, exact_avg
 from ondine.operators import filters, loudness as L
 from ondine.plans.dynamics import fr, rounded
 from ondine.plans.registry import query
@@ -108,7 +108,7 @@ def q_sample_peak(spark, d):
 @query(f"""with {SHORT}, p as (select track, avg(l) as reported, max(abs(r)) as fallback from short group by track)
   select track, round(case when reported > 0 then reported else fallback end, 6) as peak, case when reported > 0 then 'ebur128' else 'fallback' end as source from p""")
 def q_verify_true_peak(spark, d):
-    both = short_signals(spark, d).groupBy("track").agg(F.avg("l").alias("a"), F.max(F.abs("r")).alias("b"))
+    both = short_signals(spark, d).groupBy("track").agg(exact_avg(F.col("l")).alias("a"), F.max(F.abs("r")).alias("b"))
     return rounded(both.select("track", L.verified_peak(F.col("a"), F.col("b")).alias("p")).select("track", "p.*"))
 
 

@@ -260,3 +260,16 @@ def test_variation_on_a_bound_is_that_of_the_sql(spark):
     sizes = spark.createDataFrame([(t, 600) for t in range(len(pairs) + 2)], "track bigint, length bigint")
     got = dynamics.spacing(spark.createDataFrame(onsets, "track bigint, i bigint").repartition(7), sizes, 5, 1000)
     assert sorted(tuple(r) for r in got.select("track", "onsets", "cv", "character").collect()) == sorted(want)
+
+
+def test_exact_mean_in_any_order(spark):
+    import math
+    import random
+
+    up = [(q - 25.5) / 24.5 for q in range(1, 51)] * 12
+    values = {1: up, 2: [1.0, 2.0**-80, -1.0], 3: [-0.1] * 7 + [0.7], 4: [1 / 3] * 1000, 5: [-1.5, None]}
+    rows = [(k, x) for k, v in values.items() for x in v]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = dict(spark.createDataFrame(rows, "k int, x double").repartition(5).groupBy("k").agg(X.exact_avg(F.col("x"))).collect())
+        assert got == {k: math.fsum(x for x in v if x is not None) / sum(x is not None for x in v) for k, v in values.items()}
