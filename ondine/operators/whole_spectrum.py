@@ -7,8 +7,11 @@ columns or of rows, ``cells`` values or one column, so neither a task nor a cell
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,42 +22,66 @@ from ondine.staging import staged
 CELLS = 1 << 18
 
 
-def _columns(cells: int):
-    """Of a group of columns: chunks (rows, re, im) for each group of rows, turned."""
+#: Values of a batch that goes back to Spark.
+BATCH = 1 << 17
 
-    @F.pandas_udf("array<struct<rows: bigint, re: array<double>, im: array<double>>>")
-    def transform(group: pd.Series, places: pd.Series, values: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for g, n, x, rows, columns in zip(group, places, values, a, b):
-            wide, high = min(columns, max(1, cells // rows)), min(rows, max(1, cells // columns))
-            n = np.asarray(n, np.int64)
-            own = np.zeros((rows, wide))
-            own[n // columns, n % columns - g * wide] = x
-            turn = np.outer(np.arange(rows), g * wide + np.arange(wide)) % (rows * columns)
-            made = np.fft.fft(own, axis=0) * np.exp(-2j * np.pi / (rows * columns) * turn)
-            parts = [made[i : i + high].ravel() for i in range(0, rows, high)]
-            out.append([{"rows": i, "re": p.real, "im": p.imag} for i, p in enumerate(parts)])
-        return pd.Series(out)
 
-    return transform
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), np.concatenate(parts))
 
 
-def _rows(cells: int):
-    """Of a group of rows, whose chunks are in order of their columns: places and magnitudes of the lower half."""
+@functools.lru_cache(maxsize=4)
+def _turn(rows: int, columns: int, first: int, wide: int) -> np.ndarray:
+    angle = np.outer(np.arange(rows), first + np.arange(wide)) % (rows * columns)
+    return np.exp(-2j * np.pi / (rows * columns) * angle)
 
-    @F.pandas_udf("array<struct<k: bigint, mag: double>>")
-    def transform(group: pd.Series, re: pd.Series, im: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for g, real, imaginary, rows, columns in zip(group, re, im, a, b):
-            high = min(rows, max(1, cells // columns))
-            chunks = [(np.asarray(x) + 1j * np.asarray(y)).reshape(high, -1) for x, y in zip(real, imaginary)]
-            mags = np.abs(np.fft.fft(np.concatenate(chunks, 1), axis=1))
-            k = (g * high + np.arange(high))[:, None] + rows * np.arange(columns)
-            lower = k < rows * columns // 2
-            out.append([{"k": i, "mag": m} for i, m in zip(k[lower].tolist(), mags[lower].tolist())])
-        return pd.Series(out)
 
-    return transform
+def _columns(cells: int):
+    """Of rows (track, a, b, group, n, x), each a group of columns: chunks (track, a, b, rows, group, re, im) for each group of rows, turned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, chunks, held = [], [], 0
+            for i in range(batch.num_rows):
+                rows, columns, g = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                n, x = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5))
+                wide, high = min(columns, max(1, cells // rows)), min(rows, max(1, cells // columns))
+                own = np.zeros((rows, wide))
+                own[n // columns, n % columns - g * wide] = x
+                made = np.fft.fft(own, axis=0) * _turn(rows, columns, g * wide, wide)
+                own_chunks = [(k, made[r : r + high].ravel()) for k, r in enumerate(range(0, rows, high))]
+                chunks, at, held = chunks + own_chunks, at + [i] * len(own_chunks), held + made.size
+                if held >= BATCH or i == batch.num_rows - 1:
+                    place = pa.array(at, pa.int64())
+                    track, a, b, group = (batch.column(c).take(place) for c in range(4))
+                    yield pa.RecordBatch.from_arrays([track, a, b, pa.array([k for k, _ in chunks], pa.int64()), group, _lists([z.real for _, z in chunks]), _lists([z.imag for _, z in chunks])], ["track", "a", "b", "rows", "group", "re", "im"])
+                    at, chunks, held = [], [], 0
+
+    return run
+
+
+def _rows(cells: int):
+    """Of rows (track, a, b, rows, re, im), each a group of rows whose chunks are in order of their columns: (track, k, mag) of the lower half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, levels, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                rows, columns, g = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                high = min(rows, max(1, cells // columns))
+                re, im = ([c.values.to_numpy(zero_copy_only=False).reshape(high, -1) for c in batch.column(c)[i].values] for c in (4, 5))
+                mags = np.abs(np.fft.fft(np.concatenate(re, 1) + 1j * np.concatenate(im, 1), axis=1))
+                k = (g * high + np.arange(high))[:, None] + rows * np.arange(columns)
+                lower = k < rows * columns // 2
+                at.append(np.full(int(lower.sum()), i))
+                places.append(k[lower])
+                levels.append(mags[lower])
+                held += mags.size
+                if held >= BATCH or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(places)), pa.array(np.concatenate(levels))], ["track", "k", "mag"])
+                    at, places, levels, held = [], [], [], 0
+
+    return run
 
 
 def magnitudes(signals: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -74,7 +101,9 @@ def magnitudes(signals: DataFrame, cells: int = CELLS) -> DataFrame:
     # columns behind a short signal's end have no sample, and their group none at all
     every = shapes.select("track", "a", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("b") / wide) - 1)).alias("group"))
     whole = every.join(packed, ["track", "a", "b", "group"], "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<n: bigint, x: double>>")))
-    turned = whole.select("track", "a", "b", "group", F.explode(_columns(cells)("group", F.transform("s", lambda v: v["n"]), F.transform("s", lambda v: v["x"]), "a", "b")).alias("c"))
-    crossed = turned.groupBy("track", "a", "b", F.col("c.rows").alias("rows")).agg(F.sort_array(F.collect_list(F.struct("group", F.col("c.re").alias("re"), F.col("c.im").alias("im")))).alias("s"))
-    made = crossed.select("track", F.explode(_rows(cells)("rows", F.transform("s", lambda v: v["re"]), F.transform("s", lambda v: v["im"]), "a", "b")).alias("m"))
-    return made.select("track", "m.k", "m.mag")
+    kind = own.schema["track"].dataType.simpleString()
+    asked = whole.select("track", "a", "b", "group", F.transform("s", lambda v: v["n"]).alias("n"), F.transform("s", lambda v: v["x"]).alias("x"))
+    turned = asked.mapInArrow(_columns(cells), f"track {kind}, a bigint, b bigint, rows bigint, group bigint, re array<double>, im array<double>")
+    crossed = turned.groupBy("track", "a", "b", "rows").agg(F.sort_array(F.collect_list(F.struct("group", "re", "im"))).alias("s"))
+    chunks = crossed.select("track", "a", "b", "rows", F.transform("s", lambda v: v["re"]).alias("re"), F.transform("s", lambda v: v["im"]).alias("im"))
+    return chunks.mapInArrow(_rows(cells), f"track {kind}, k bigint, mag double")

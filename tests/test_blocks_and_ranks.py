@@ -90,3 +90,24 @@ def test_spectrum_of_a_long_sine(spark):
     made = whole_spectrum.magnitudes(s.select("track", "n", F.col("mono").alias("x")), 1 << 12)
     top = made.orderBy(F.desc("mag")).first()
     assert made.count() == 1 << 16 and abs(top.k * 48_000 / (1 << 17) - 1000) < 0.4
+
+
+def test_whole_spectra_go_back_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from ondine.operators import whole_spectrum as W
+
+    rng = np.random.default_rng(5)
+    signals = [rng.normal(size=1024) for _ in range(300)]
+    whole = lambda v: pa.array([v] * len(signals), pa.int64())
+    asked = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(300)]), whole(32), whole(32), whole(0), pa.array([np.arange(1024)] * 300), pa.array(signals)], ["track", "a", "b", "group", "n", "x"])
+    turned = list(W._columns(2048)(iter([asked])))
+    assert len(turned) > 1 and max(len(t.column("re").values) for t in turned) <= W.BATCH
+    nested = lambda c: pa.ListArray.from_arrays(list(range(len(c) + 1)), c)
+    chunks = [pa.RecordBatch.from_arrays([*(t.column(c) for c in ("track", "a", "b", "rows")), nested(t.column("re")), nested(t.column("im"))], ["track", "a", "b", "rows", "re", "im"]) for t in turned]
+    made = list(W._rows(2048)(iter([pa.Table.from_batches(chunks).combine_chunks().to_batches()[0]])))
+    assert len(made) > 1 and max(m.num_rows for m in made) <= W.BATCH
+    got = pa.Table.from_batches(made).to_pandas().sort_values(["track", "k"])
+    for i in (0, 150, 299):
+        assert np.allclose(got[got.track == f"t{i}"].mag, np.abs(np.fft.rfft(signals[i]))[:512])
