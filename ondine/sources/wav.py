@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from ondine.operators.blocks import blocks
 from ondine.sources.committed import CommittedWriter, Written, located
@@ -108,24 +108,36 @@ def encoded(frames: np.ndarray, rate: int) -> bytes:
 def parsed(contents: DataFrame) -> DataFrame:
     """Of (path, content): chunks of a second; a mono file has no right channel."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+    names, kinds = [c.split()[0] for c in SCHEMA.split(", ")], [ARROW[c.split()[1]] for c in SCHEMA.split(", ")]
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
                 try:
-                    kind, channels, rate, bits, raw = header(bytes(content))
+                    kind, channels, rate, bits, raw = header(batch.column(1)[i].as_py())
                     x = decoded(kind, channels, bits, raw)
                 except (ValueError, struct.error) as e:
-                    yield pd.DataFrame([(path, None, None, None, None, 0, None, None, str(e))], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                    continue
-                step = max(1, rate)
-                rows = [(path, rate, channels, bits, kind, k // step, x[k : k + step, 0], x[k : k + step, 1] if channels > 1 else None, None) for k in range(0, max(1, len(x)), step)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    rows.append((path, None, None, None, None, 0, None, None, str(e)))
+                else:
+                    step = max(1, rate)
+                    rows += [(path, rate, channels, bits, kind, k // step, x[k : k + step, 0], x[k : k + step, 1] if channels > 1 else None, None) for k in range(0, max(1, len(x)), step)]
+                    held += x.size
+                if held >= FRAMES or len(rows) >= 1000:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
 
-    return contents.select("path", "content").mapInPandas(run, SCHEMA)
+    return contents.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 #: Bytes of a file that one task reads, and frames of a row that comes of them.
 SPLIT, FRAMES = 32 << 20, 1 << 16
+#: Arrow's types of the columns.
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<float>": pa.list_(pa.float32())}
 FILE_SCHEMA = "path string, sample_rate int, channels int, bit_depth int, format int, start bigint, l array<float>, r array<float>, error string"
 
 
@@ -176,7 +188,13 @@ class WavReader(DataSourceReader):
         files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith((".wav", ".wave")) and "/_temporary/" not in f.path)
         return [Split(root + name, k, min(size, k + self.split)) for name, size in files for k in range(0, max(1, size), self.split)] or [Split("", 0, 0)]
 
-    def read(self, partition: Split) -> Iterator[tuple]:
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        """A batch for each row: Spark would gather thousands of rows before it sent one on."""
+        names, kinds = [c.split()[0] for c in FILE_SCHEMA.split(", ")], [ARROW[c.split()[1]] for c in FILE_SCHEMA.split(", ")]
+        for row in self._rows(partition):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+
+    def _rows(self, partition: Split) -> Iterator[tuple]:
         if not partition.path:
             return
         store, where = located(partition.path)
@@ -193,11 +211,11 @@ class WavReader(DataSourceReader):
             last = min((end - begin) // wide, max(0, -(-(partition.end - begin) // wide)))
             for k in range(first, last, self.frames):
                 x = decoded(kind, channels, bits, file.read_at((min(last, k + self.frames) - k) * wide, begin + k * wide))
-                yield (partition.path, rate, channels, bits, kind, k, x[:, 0].tolist(), x[:, 1].tolist() if channels > 1 else None, None)
+                yield (partition.path, rate, channels, bits, kind, k, x[:, 0], x[:, 1] if channels > 1 else None, None)
 
 
-class WavWriter(CommittedWriter):
-    """One file for each track from rows (track, block, length, l, r), which come to a task by track and in order of block."""
+class WavWriter(CommittedWriter, DataSourceArrowWriter):
+    """One file for each track from rows (track, block, length, l, r) or batches of them, which come to a task by track and in order of block."""
 
     def __init__(self, options: dict[str, str]) -> None:
         super().__init__(options)
@@ -208,7 +226,7 @@ class WavWriter(CommittedWriter):
         store.create_dir(waiting, recursive=True)
         done, file, name = [], None, None
         try:
-            for row in iterator:
+            for row in self._rows(iterator):
                 if row["track"] != name:
                     if file:
                         file.close()
@@ -223,6 +241,16 @@ class WavWriter(CommittedWriter):
                 file.close()
         return Written(done)
 
+    @staticmethod
+    def _rows(iterator: Iterator) -> Iterator:
+        for item in iterator:
+            if not isinstance(item, pa.RecordBatch):
+                yield item
+                continue
+            for i in range(item.num_rows):
+                row = {c: item.column(c)[i] for c in ("track", "length", "l", "r")}
+                yield {c: row[c].as_py() for c in ("track", "length")} | {c: row[c].values.to_numpy(zero_copy_only=False) for c in ("l", "r")}
+
 
 class WavSource(DataSource):
     """``spark.read.format("wav").load(path)`` and ``df.write.format("wav").option("rate", r).save(path)``, once registered."""

@@ -99,3 +99,37 @@ def test_a_report_file_for_each_album(spark, tmp_path):
     for _ in range(2):  # a second run replaces the first one's files
         export.write(reports, str(tmp_path / "out"))
     assert {p: (tmp_path / "out" / p).read_text() for p in os.listdir(tmp_path / "out")} == {"a-b-analysis.json": '{"name":"é"}', "c-analysis.json": "{}"}
+
+
+def test_small_files_share_a_batch():
+    import pyarrow as pa
+
+    class Contents:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    contents = [b"no file"] * 700 + [wav.encoded(np.full((32, 2), k / 1000), 8000) for k in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k}" for k in range(1400)]), pa.array(contents)], ["path", "content"])
+    made = list(wav.parsed(Contents())(iter([batch])))
+    assert [m.num_rows for m in made] == [1000, 400]
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert [r["path"] for r in rows] == [f"{k}" for k in range(1400)] and rows[0]["error"] == "no RIFF/WAVE file" and rows[0]["l"] is None
+    assert len(rows[1399]["l"]) == 32 and rows[1399]["r"][0] == pytest.approx(0.699, abs=1e-6) and rows[1399]["error"] is None
+
+
+def test_a_row_of_a_file_is_a_batch(tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav.encoded(np.zeros((1000, 2)), 100))
+    reader = wav.WavReader({"path": str(tmp_path), "rowFrames": "300"})
+    made = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [(b.num_rows, len(b.column(6)[0])) for b in made] == [(1, 300), (1, 300), (1, 300), (1, 100)]
+
+
+def test_batches_are_written_as_rows_are(tmp_path):
+    import pyarrow as pa
+
+    rows = [{"track": t, "block": b, "length": 4, "l": [0.5, -0.5], "r": [0.25, b / 2]} for t in ("a", "c") for b in (0, 1)]
+    for name, given in (("rows", rows), ("batches", pa.Table.from_pylist(rows).to_batches(3))):
+        writer = wav.WavWriter({"path": str(tmp_path / name), "rate": "100"})
+        writer.commit([writer.write(iter(given))])
+    for file in ("a.wav", "c.wav"):
+        assert (tmp_path / "rows" / file).read_bytes() == (tmp_path / "batches" / file).read_bytes()
