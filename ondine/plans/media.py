@@ -18,13 +18,13 @@ from ondine.staging import remove, shared_dir
 
 
 def written(spark, d):
-    """The long signals as WAV files, read in at least four splits a file."""
+    """The long signals as WAV files, read in splits: at least four of the longest, and none above what a task takes."""
     path = f"{shared_dir(spark)}/ondine-wav-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     signals = long_signals(spark, d)
     wav.write(signals, path, RATE, block=1 << 14)
     longest = signals.groupBy("track").count().agg(F.max("count")).first()[0] or 1
-    return wav.read(spark, path, split=max(4096, longest * 6 // 4))
+    return wav.read(spark, path, split=min(wav.SPLIT, max(4096, longest * 6 // 4)))
 
 
 @query(f"""with {LONG}, q as (select track, n, floor(greatest(-1, least(1, l)) * 8388607 + 0.5) / 8388608 as l, floor(greatest(-1, least(1, r)) * 8388607 + 0.5) / 8388608 as r from long)
