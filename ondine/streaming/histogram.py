@@ -84,7 +84,6 @@ class Loudness(InOrder):
     ten thousand bins each, however long the track.
     """
 
-    state_type = "samples bigint, part double, hops binary, blocks binary, windows binary"
     out_type = "samples bigint, gated_low double, gated_high double, lra_low double, lra_high double"
 
     def __init__(self, kind: str, rate: int, **more: Any) -> None:

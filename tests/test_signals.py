@@ -273,3 +273,55 @@ def test_exact_mean_in_any_order(spark):
         random.Random(seed).shuffle(rows)
         got = dict(spark.createDataFrame(rows, "k int, x double").repartition(5).groupBy("k").agg(X.exact_avg(F.col("x"))).collect())
         assert got == {k: math.fsum(x for x in v if x is not None) / sum(x is not None for x in v) for k, v in values.items()}
+
+
+def test_tracks_of_a_bucket_share_its_calls_to_the_state():
+    import pandas as pd
+
+    from ondine.streaming import live
+
+    class Handle:
+        calls, timers, value = 0, set(), None
+        getValueState = lambda self, name, kind: self
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.discard(at)
+        get = lambda self: self.update(self.value)
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+            return value
+
+        def clear(self):
+            self.value = None
+
+    class Watermark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    rng = np.random.default_rng(2)
+    us = rng.permutation(20_000) * 1000
+    rows = pd.DataFrame({"track": np.arange(20_000) % 100, "us": us, "n": us // 1000, "x": rng.normal(size=20_000)})
+    for processor, want in ((live.LowPass("bigint", 100, 1000), None), (live.Onsets("bigint", 0.5, 1_000_000), None)):
+        handle, got = Handle(), []
+        handle.timers = set()
+        processor.init(handle)
+        processor.idle_ms = 5
+        for low, high, passed in ((0, 6, 5_000), (6, 13, 12_000), (13, 20, 19_000), (20, 21, 40_000)):
+            some = rows[(rows.us >= low * 1_000_000) & (rows.us < high * 1_000_000)]
+            if len(some):
+                list(processor.handleInputRows((7,), iter([some[: len(some) // 2], some[len(some) // 2 :]]), Watermark(passed - 1000)))
+            assert len(handle.timers) == 1
+            handle.timers.clear()
+            got += list(processor.handleExpiredTimer((7,), Watermark(passed), None))
+        assert handle.calls < 20 and handle.value is None and not handle.timers
+        got = pd.concat(got)
+        for track in (0, 42, 99):
+            own = rows[rows.track == track].sort_values("us")
+            alone = np.empty(len(own), live.WAITING)
+            alone["ts"], alone["n"], alone["x"] = own.us, own.n, own.x
+            want = processor.fold(None, alone, True)[1]
+            mine = got[got.track == track]
+            assert all(np.allclose(mine[c].to_numpy(np.float64), np.asarray(want[c], np.float64)) for c in want)
