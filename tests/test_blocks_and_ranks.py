@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ondine.operators import following, ranks, whole_spectrum
+from ondine import analysis
+from ondine.operators import following, ranks, stereo, whole_spectrum
 from ondine.sources import synth
 
 
@@ -111,3 +112,26 @@ def test_whole_spectra_go_back_in_bounded_batches():
     got = pa.Table.from_batches(made).to_pandas().sort_values(["track", "k"])
     for i in (0, 150, 299):
         assert np.allclose(got[got.track == f"t{i}"].mag, np.abs(np.fft.rfft(signals[i]))[:512])
+
+
+def test_record_reads_its_samples_once(spark):
+    """Filtered lows too are read from the blocks, of one block or of several, and not from the samples again."""
+    rng = np.random.default_rng(7)
+    rows = [(t, n, float(x), float(y)) for t, size in (("a", 5000), ("b", 12_345)) for n, (x, y) in enumerate(rng.uniform(-1, 1, (size, 2)).cumsum(0) / 50)]
+    plain = spark.createDataFrame(rows, "track string, n bigint, l double, r double").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    signals = plain.mapInPandas(counted, plain.schema)
+    got = {r.track: r for r in analysis.measured(signals, 1000, weigh=False, frame=64, block=5000).collect()}
+    assert read.value == len(rows)
+    wide = {r.track: r.width for r in stereo.band_width(plain, 1000, 20, 150).collect()}
+    sub = {r.track: r for r in stereo.sub_bass(plain, 1000).collect()}
+    assert set(got) == {"a", "b"}
+    for track, r in got.items():
+        assert r.low_width == pytest.approx(wide[track], rel=1e-9)
+        assert (r.sub_ok, r.low_phase) == (sub[track].mono_compatible, sub[track].phase_issues)
