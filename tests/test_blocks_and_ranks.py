@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ondine import analysis
-from ondine.operators import following, ranks, stereo, whole_spectrum
+from ondine.operators import filters, following, loudness, ranks, stereo, whole_spectrum
 from ondine.sources import synth
 
 
@@ -135,3 +135,37 @@ def test_record_reads_its_samples_once(spark):
     for track, r in got.items():
         assert r.low_width == pytest.approx(wide[track], rel=1e-9)
         assert (r.sub_ok, r.low_phase) == (sub[track].mono_compatible, sub[track].phase_issues)
+
+
+def test_bands_and_peaks_by_blocks_read_their_samples_once(spark):
+    """Of one block or of several, with gate blocks, windows and filters that stand across blocks."""
+    rng = np.random.default_rng(11)
+    rows = [(t, n, float(x), float(y)) for t, size in (("a", 4000), ("b", 9321)) for n, (x, y) in enumerate(np.clip(rng.normal(size=(size, 2)).cumsum(0) / 30, -1, 1))]
+    plain = spark.createDataFrame(rows, "track string, n bigint, l double, r double").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    signals = plain.mapInPandas(counted, plain.schema)
+    got = {(r.track, r.band): r.lufs for r in loudness.per_band(signals, 1000, size=3000).collect()}
+    assert read.value == len(rows)
+    chains = {"sub": (20, 80), "bass": (80, 250), "mid": (250, 475.0)}
+    assert set(got) == {(t, b) for t in "ab" for b in chains}
+    for band, (low, high) in chains.items():
+        sections = filters.band_pass(low, high, 1000) + filters.k_weighting(1000)
+        wide = filters.mapped(plain, {"a": ("l", sections), "b": ("r", sections)}).select("track", "n", F.col("a").alias("l"), F.col("b").alias("r"))
+        for r in loudness.integrated(wide, 1000).collect():
+            assert got[r.track, band] == pytest.approx(r.gated, rel=1e-9)
+
+    before = read.value
+    peaks = {r.track: r for r in loudness.peaks_and_loudness(signals, 1000, size=3000).collect()}
+    assert read.value - before == len(rows)
+    gated = {r.track: r.gated for r in loudness.integrated(plain, 1000).collect()}
+    true = {r.track: r for r in loudness.true_peak(plain, "l", "r").collect()}
+    tops = {r.track: r.top for r in loudness.windows(plain, 1000, 3).groupBy("track").agg(F.max("lufs").alias("top")).collect()}
+    for t, r in peaks.items():
+        assert (r.gated, r.true_peak_db, r.sample_peak_db, r.top) == pytest.approx((gated[t], true[t].true_peak_db, true[t].sample_peak_db, tops[t]), rel=1e-9)
+    assert set(peaks) == {"a", "b"}
