@@ -184,8 +184,7 @@ def q_per_band_loudness(spark, d):
   select track, round(tp - gated, 6) as plr, round(tp - top, 6) as psr, round(tp - sp, 6) as isp_margin, round(-14 - gated, 6) as correction,
     case when abs(-14 - gated) < 0.5 then 'at target' when gated < -14 then 'raise' else 'lower' end as advice from i join k using (track) join m using (track)""")
 def q_peak_gains(spark, d):
-    s = long_signals(spark, d)
-    made = L.integrated(s, RATE).join(L.true_peak(s, "l", "r"), "track").join(short_term(spark, d).groupBy("track").agg(F.max("lufs").alias("top")), "track")
+    made = L.peaks_and_loudness(long_signals(spark, d), RATE)
     fix = L.correction(F.col("gated"))
     advice = F.when(F.col("gated") == -INF, "unknown").when(F.abs(fix) < 0.5, "at target").when(fix > 0, "raise").otherwise("lower")
     tp = F.col("true_peak_db")
